@@ -20,6 +20,7 @@ from mendgrid.operators import integrity
 from mendgrid.operators.audit import patch_status_audit
 from mendgrid.operators.ingest import finding_pre_insert
 from mendgrid.schemas import TABLES, Table
+from mendgrid.sources.storage import settle
 
 Tables = Mapping[str, DataFrame]
 
@@ -59,10 +60,9 @@ def normalize(spec: Table, rows: DataFrame) -> DataFrame:
 
 
 def _with_finding(rows: DataFrame, condition: Column, rule: str, column: str, value: Column) -> DataFrame:
-    broken = F.array(integrity.finding(rule, column, value))
-    return rows.withColumn(
-        "findings", F.when(condition, F.concat("findings", broken)).otherwise(F.col("findings"))
-    )
+    # Refers to the earlier findings once: a second use would double the expression with every rule.
+    broken = F.array_compact(F.array(F.when(condition, integrity.finding(rule, column, value))))
+    return rows.withColumn("findings", F.concat("findings", broken))
 
 
 def _judge_references(tables: Tables, spec: Table, rows: DataFrame) -> DataFrame:
@@ -85,28 +85,41 @@ def _judge_repeated_ids(spec: Table, rows: DataFrame) -> DataFrame:
     ).drop("repeated_key", "n")
 
 
-def _judge_unique(tables: Tables, spec: Table, rows: DataFrame) -> DataFrame:
-    """Refuse a row whose unique key another stored row holds; of equal new keys the lowest id stays."""
+def _same_key(spec: Table) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c) == F.col(f"held_{c}") for c in spec.unique])
+
+
+def _key_finding(spec: Table, rows: DataFrame, condition: Column) -> DataFrame:
+    shown = F.concat_ws("|", *[F.col(c).cast("string") for c in spec.unique])
+    return _with_finding(rows, condition, integrity.UNIQUE, ",".join(spec.unique), shown)
+
+
+def _judge_held_keys(tables: Tables, spec: Table, rows: DataFrame) -> DataFrame:
+    """Refuse a row whose unique key another stored row holds."""
     if not spec.unique:
         return rows
-    label = ",".join(spec.unique)
-    shown = F.concat_ws("|", *[F.col(c).cast("string") for c in spec.unique])
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"held_{c}") for c in spec.unique])
+    names = [f"held_{c}" for c in spec.unique]
     held = tables[spec.name].groupBy(*[F.col(c).alias(f"held_{c}") for c in spec.unique]).agg(
         F.min(spec.pk).alias("held_low"), F.max(spec.pk).alias("held_high")
     )
     by_other = F.col("held_low").isNotNull() & (
         (F.col("held_low") != F.col(spec.pk)) | (F.col("held_high") != F.col(spec.pk))
     )
+    return _key_finding(spec, rows.join(held, _same_key(spec), "left"), by_other).drop(
+        "held_low", "held_high", *names
+    )
+
+
+def _judge_rivals(spec: Table, rows: DataFrame) -> DataFrame:
+    """Of rows that bring the same unique key and keep all other rules, the lowest id stays."""
+    if not spec.unique:
+        return rows
     names = [f"held_{c}" for c in spec.unique]
-    rows = rows.join(held, same, "left")
-    rows = _with_finding(rows, by_other, integrity.UNIQUE, label, shown).drop("held_low", "held_high", *names)
     first = rows.where(F.size("findings") == 0).groupBy(*[F.col(c).alias(f"held_{c}") for c in spec.unique]).agg(
         F.min(spec.pk).alias("first_id")
     )
-    rows = rows.join(first, same, "left")
     beaten = (F.size("findings") == 0) & F.col("first_id").isNotNull() & (F.col("first_id") != F.col(spec.pk))
-    return _with_finding(rows, beaten, integrity.UNIQUE, label, shown).drop("first_id", *names)
+    return _key_finding(spec, rows.join(first, _same_key(spec), "left"), beaten).drop("first_id", *names)
 
 
 def _rejected(spec: Table, judged: DataFrame) -> DataFrame:
@@ -123,9 +136,12 @@ class Inserted:
     after: DataFrame
 
 
-def insert_batch(tables: Tables, table: str, rows: DataFrame, now: datetime) -> Inserted:
+def insert_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, work_dir: str) -> Inserted:
     """Append the rows that keep every rule. Only editable columns are taken; an empty value stays NULL
-    even where the column has a default. Load-time columns get ``now``; findings are completed."""
+    even where the column has a default. Load-time columns get ``now``; findings are completed.
+
+    The judged rows are written to ``work_dir``, so accepted and rejected rows stem from one reading.
+    """
     spec = TABLES[table]
     judged = _judge_repeated_ids(spec, _judge_references(tables, spec, normalize(spec, rows)))
     present = tables[table].select(F.col(spec.pk).alias("present_key"))
@@ -133,7 +149,8 @@ def insert_batch(tables: Tables, table: str, rows: DataFrame, now: datetime) ->
     judged = _with_finding(
         judged, F.col("present_key").isNotNull(), integrity.PRIMARY_KEY, spec.pk, F.col(spec.pk)
     ).drop("present_key")
-    judged = _judge_unique(tables, spec, judged)
+    judged = settle(_judge_held_keys(tables, spec, judged), f"{work_dir}/judged")
+    judged = _judge_rivals(spec, judged)
     good = judged.where(F.size("findings") == 0)
     if table == "scan_findings":
         accepted = finding_pre_insert(tables, good, now)
@@ -159,19 +176,20 @@ class Updated:
     history: DataFrame | None
 
 
-def update_batch(tables: Tables, table: str, rows: DataFrame, now: datetime) -> Updated:
+def update_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, work_dir: str) -> Updated:
     """Overwrite every editable column of the rows named by primary key; other columns stay.
 
     Findings that become remediated get their fix time, organisations their update time, and patch
-    actions whose status changes yield history rows.
+    actions whose status changes yield history rows. The judged rows are written to ``work_dir``.
     """
     spec = TABLES[table]
     old = tables[table]
     judged = _judge_repeated_ids(spec, _judge_references(tables, spec, normalize(spec, rows)))
     known = old.select(F.col(spec.pk).alias("known_key"))
-    missing = judged.join(known, F.col(spec.pk) == F.col("known_key"), "left_anti").select(spec.pk)
-    judged = judged.join(known, F.col(spec.pk) == F.col("known_key"), "left_semi")
-    judged = _judge_unique(tables, spec, judged)
+    judged = judged.join(known, F.col(spec.pk) == F.col("known_key"), "left")
+    judged = settle(_judge_held_keys(tables, spec, judged), f"{work_dir}/judged")
+    missing = judged.where("known_key is null").select(spec.pk)
+    judged = _judge_rivals(spec, judged.where("known_key is not null").drop("known_key"))
     good = judged.where(F.size("findings") == 0)
     editable = spec.flagged("edit")
     changed = good.select(F.col(spec.pk).alias("changed_key"), *[F.col(c).alias(f"new_{c}") for c in editable])
@@ -200,16 +218,20 @@ class Deleted:
     effects: DataFrame
 
 
-def delete_batch(tables: Tables, keys: Mapping[str, DataFrame]) -> Deleted:
+def delete_batch(tables: Tables, keys: Mapping[str, DataFrame], work_dir: str) -> Deleted:
     """Delete rows by primary key and follow every reference to them.
 
     ``keys`` maps a table to a DataFrame whose first column holds the keys. Children of a cascading
     reference go too, all the way down; other references to a deleted row become NULL. ``effects``
     lists each deleted row and each blanked reference.
+
+    The keys to delete from a referenced table are written to ``work_dir``: the tables below read them
+    several times, and their measured size decides how they are joined.
     """
     doomed: dict[str, DataFrame] = {}
     after: dict[str, DataFrame] = {}
     effects: list[DataFrame] = []
+    parents = {r.parent for spec in TABLES.values() for r in spec.references}
     for table, spec in TABLES.items():
         rows = tables[table]
         parts = []
@@ -222,8 +244,8 @@ def delete_batch(tables: Tables, keys: Mapping[str, DataFrame]) -> Deleted:
                 parts.append(rows.join(gone, F.col(r.column) == F.col("doomed_key"), "left_semi").select(spec.pk))
         left = rows
         if parts:
-            all_keys = reduce(DataFrame.union, parts).distinct()
-            doomed[table] = all_keys.select(F.col(spec.pk).alias("doomed_key"))
+            all_keys = reduce(DataFrame.union, parts).distinct().select(F.col(spec.pk).alias("doomed_key"))
+            doomed[table] = settle(all_keys, f"{work_dir}/{table}") if table in parents else all_keys
             left = rows.join(doomed[table], F.col(spec.pk) == F.col("doomed_key"), "left_anti")
             effects.append(_effect(table, doomed[table].select(F.col("doomed_key").alias("key")), "deleted", ""))
         for r in spec.references:

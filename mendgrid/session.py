@@ -33,6 +33,7 @@ def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
             "spark.sql.shuffle.partitions": shuffles,
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
             **settings,

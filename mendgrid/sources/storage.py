@@ -47,6 +47,15 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def settle(df: DataFrame, path: str) -> DataFrame:
+    """Write an intermediate result to a shared path and go on from there.
+
+    Cuts the lineage in a way that survives lost executors, and gives later joins a measured size.
+    """
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 

@@ -20,10 +20,27 @@ AS_OF = date(1998, 7, 1)
 
 # Large derived tables are written once per application and test folder, then read as typed parquet.
 _STORED: dict[tuple[str, str, str], str] = {}
+# The bound tables of a session, so that a job does not declare them anew.
+_BOUND: dict[tuple[int, str, str], TableSet] = {}
+
+# Columns of the test parquet the binding reads.
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(spark: SparkSession, sf_dir: str, table: str, build) -> DataFrame:
@@ -36,6 +53,13 @@ def stored(spark: SparkSession, sf_dir: str, table: str, build) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> TableSet:
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _BOUND:
+        _BOUND[key] = bind(spark, sf_dir)
+    return _BOUND[key]
+
+
+def bind(spark: SparkSession, sf_dir: str) -> TableSet:
     def src(name):
         return raw(spark, sf_dir, name)
 

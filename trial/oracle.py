@@ -447,11 +447,17 @@ UPDATES = {
         "FROM patch_actions WHERE action_id % 4 = 0"
     )
 }
-say(
-    "t1_patch_status_audit",
+_audit = (
     "SELECT CAST(NULL AS BIGINT) history_id, mid action_id_fk, old_status, new_status, who changed_by_fk, "
     f"{NOW} changed_at, 'Status changed from ' || old_status || ' to ' || new_status change_reason, FALSE automated "
-    "FROM moved WHERE old_status <> new_status",
+    "FROM moved WHERE old_status <> new_status"
+)
+say("t1_patch_status_audit", _audit, **UPDATES)
+# As a batch update the same change also has to keep every rule: the assignee must be a known user.
+say(
+    "m2_action_history",
+    _audit + " AND mid NOT IN (SELECT action_id FROM refused)",
+    refused="SELECT action_id FROM patch_actions WHERE assigned_to_fk NOT IN (SELECT user_id FROM users)",
     **UPDATES,
 )
 _feed_audit = (

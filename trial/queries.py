@@ -19,7 +19,7 @@ from mendgrid.streaming import audit as audit_stream
 from mendgrid.streaming import daily as daily_stream
 from mendgrid.streaming import sightings as sighting_stream
 from trial import changesets as given
-from trial.binding import AS_OF, raw, sightings, status_events, tables
+from trial.binding import AS_OF, RAW, raw, sightings, status_events, tables
 
 NOW = datetime(AS_OF.year, AS_OF.month, AS_OF.day)
 ALLOWED_DELAY = "1 day"
@@ -174,32 +174,48 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.finding_pre_insert(known, given.pre_insert_rows(batch), NOW)
 
 
-def _remediated(t: TableSet) -> DataFrame:
-    return changes.update_batch(t, "scan_findings", given.finding_updates(t["scan_findings"]), NOW).after
+def _updated(t: TableSet, spark: SparkSession, table: str, rows: DataFrame) -> changes.Updated:
+    return changes.update_batch(t, table, rows, NOW, work_dir(spark, "update"))
+
+
+def _remediated(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _updated(t, spark, "scan_findings", given.finding_updates(t["scan_findings"])).after
+
+
+def _organizations(t: TableSet, spark: SparkSession) -> changes.Updated:
+    return _updated(t, spark, "organizations", given.organization_updates(t["organizations"]))
 
 
 job("t3_finding_remediated")(_remediated)
-job("t4_org_updated_at")(
-    lambda t: changes.update_batch(t, "organizations", given.organization_updates(t["organizations"]), NOW).after
+job("t4_org_updated_at")(lambda t, spark, sf_dir: _organizations(t, spark).after)
+job("t5_time_to_remediate")(
+    lambda t, spark, sf_dir: entities.time_to_remediate(t.with_tables(scan_findings=_remediated(t, spark, sf_dir)))
 )
-job("t5_time_to_remediate")(lambda t: entities.time_to_remediate(t.with_tables(scan_findings=_remediated(t))))
 
 
 def _inserted(t: TableSet, spark: SparkSession, sf_dir: str) -> changes.Inserted:
-    return changes.insert_batch(t, "assets", given.new_assets(raw(spark, sf_dir, "customer")), NOW)
+    rows = given.new_assets(raw(spark, sf_dir, "customer"))
+    return changes.insert_batch(t, "assets", rows, NOW, work_dir(spark, "insert"))
 
 
 job("m1_inserted_assets")(lambda t, spark, sf_dir: _inserted(t, spark, sf_dir).accepted)
 job("m1_rejected_assets")(lambda t, spark, sf_dir: _inserted(t, spark, sf_dir).rejected)
 job("m2_updated_actions")(
-    lambda t: changes.update_batch(t, "patch_actions", given.action_updates(t["patch_actions"]), NOW).after
+    lambda t, spark, sf_dir: _updated(t, spark, "patch_actions", given.action_updates(t["patch_actions"])).after
 )
-job("m2_unknown_organizations")(
-    lambda t: changes.update_batch(t, "organizations", given.organization_updates(t["organizations"]), NOW).missing
+job("m2_action_history")(
+    lambda t, spark, sf_dir: _updated(t, spark, "patch_actions", given.action_updates(t["patch_actions"])).history
 )
-job("m3_delete_effects")(lambda t: changes.delete_batch(t, given.deletions(t)).effects)
-job("m3_findings_after")(lambda t: changes.delete_batch(t, given.deletions(t)).after["scan_findings"])
-job("m3_actions_after")(lambda t: changes.delete_batch(t, given.deletions(t)).after["patch_actions"])
+job("m2_unknown_organizations")(lambda t, spark, sf_dir: _organizations(t, spark).missing)
+
+
+def _deleted(t: TableSet, spark: SparkSession) -> changes.Deleted:
+    return changes.delete_batch(t, given.deletions(t), work_dir(spark, "m3"))
+
+
+job("m3_delete_effects")(lambda t, spark, sf_dir: _deleted(t, spark).effects)
+job("m3_findings_after")(lambda t, spark, sf_dir: _deleted(t, spark).after["scan_findings"])
+job("m3_actions_after")(lambda t, spark, sf_dir: _deleted(t, spark).after["patch_actions"])
 
 
 @job("m4_upsert_snapshots")
@@ -218,7 +234,7 @@ for _rule, _title in {
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a file stream; the pattern fits a single file as well as a folder of files."""
-    return spark.readStream.schema(raw(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 @job("s1_stream_record_findings")
