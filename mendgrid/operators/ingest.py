@@ -23,15 +23,24 @@ def finding_key(asset: Column, pair: Column) -> Column:
     return asset * F.lit(10_000_000_000) + pair
 
 
-def summarize_sightings(sightings: DataFrame) -> DataFrame:
-    """One row per (asset, pair): the first sighting supplies the fields, the last one the time.
+FIRST = ["seen_at", "scan_source_id_fk", "evidence_snippet", "notes"]
 
-    First means earliest, then lowest source, then lowest evidence text, then lowest notes, absent
-    values first. Both aggregates merge in any order and are combined before the shuffle, so repeated
+
+def summarize_sightings(sightings: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per (asset, pair): the first usable sighting supplies the fields, the last one the time.
+
+    A sighting is usable when its source is absent or known. First means earliest, then lowest source,
+    then lowest evidence text, then lowest notes, absent values first; where no sighting is usable it is
+    the first of all. The aggregates merge in any order and are combined before the shuffle, so repeated
     sightings of one key cost one row per map task.
     """
-    return sightings.groupBy(*KEY).agg(
-        F.min(F.struct("seen_at", "scan_source_id_fk", "evidence_snippet", "notes")).alias("first"),
+    known = sources.select(F.col("source_id").alias("known_source"))
+    judged = sightings.join(known, F.col("scan_source_id_fk") == F.col("known_source"), "left")
+    usable = F.col("scan_source_id_fk").isNull() | F.col("known_source").isNotNull()
+    fields = F.struct(*FIRST)
+    return judged.groupBy(*KEY).agg(
+        F.coalesce(F.min(F.when(usable, fields)), F.min(fields)).alias("first"),
+        F.max(usable).alias("usable"),
         F.max("seen_at").alias("last_seen"),
     )
 
@@ -76,7 +85,7 @@ def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
     """Outcome of each summarised key against ``tables``' findings.
 
     ``outcome`` is touched (a finding that is not closed exists), rejected_closed (only a closed one
-    holds the key), rejected_fk (asset, pair or source unknown) or inserted. The other columns describe
+    holds the key), rejected_fk (asset, pair or every source unknown) or inserted. The other columns describe
     the finding as it stands afterwards, or as it would have been inserted.
     """
     existing = tables["scan_findings"].select(
@@ -84,20 +93,13 @@ def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
         F.col("sw_vuln_id_fk").alias("have_pair"),
         *[F.col(c).alias(f"have_{c}") for c in _CARRIED],
     )
-    sources = tables["scan_sources"].select(F.col("source_id").alias("known_source"))
     matched = summaries.join(
         existing,
         (F.col("asset_id_fk") == F.col("have_asset")) & (F.col("sw_vuln_id_fk") == F.col("have_pair")),
         "left",
-    ).withColumn("source", F.col("first.scan_source_id_fk"))
-    looked_up = with_finding_context(matched, tables).join(
-        sources, F.col("source") == F.col("known_source"), "left"
-    )
-    unknown = (
-        F.col("known_asset").isNull()
-        | F.col("known_pair").isNull()
-        | (F.col("source").isNotNull() & F.col("known_source").isNull())
     )
+    looked_up = with_finding_context(matched, tables)
+    unknown = F.col("known_asset").isNull() | F.col("known_pair").isNull() | ~F.col("usable")
     outcome = (
         F.when(F.col("have_finding_id").isNotNull() & ~F.col("have_status").isin(*CLOSED), "touched")
         .when(F.col("have_finding_id").isNotNull(), "rejected_closed")
@@ -106,7 +108,7 @@ def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
     )
     fresh = {
         "finding_id": finding_key(F.col("asset_id_fk"), F.col("sw_vuln_id_fk")),
-        "scan_source_id_fk": F.col("source"),
+        "scan_source_id_fk": F.col("first.scan_source_id_fk"),
         "status": F.lit(OPEN),
         "risk_score": F.col("fresh_score").cast("decimal(7,2)"),
         "sla_due_date": F.date_add(F.col("first.seen_at").cast("date"), F.col("sla_days")),
@@ -123,7 +125,7 @@ def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
         .otherwise(F.col("last_seen"))
     )
     return looked_up.withColumn("outcome", outcome).select(
-        *KEY, "outcome", *[v.alias(c) for c, v in kept.items()], "first", "last_seen", "sla_days"
+        *KEY, "outcome", *[v.alias(c) for c, v in kept.items()], "first", "usable", "last_seen", "sla_days"
     )
 
 
@@ -135,7 +137,7 @@ _CARRIED = [
 
 def record_scan_findings(tables: Tables, sightings: DataFrame) -> DataFrame:
     """Batch ingest: one outcome row per (asset, pair) sighted in the batch."""
-    return record_sightings(tables, summarize_sightings(sightings))
+    return record_sightings(tables, summarize_sightings(sightings, tables["scan_sources"]))
 
 
 def apply_outcomes(findings: DataFrame, outcomes: DataFrame) -> DataFrame:

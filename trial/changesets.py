@@ -38,11 +38,11 @@ def rekeyed_feed(feed: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def known_findings(feed: DataFrame) -> DataFrame:
-    """Findings that exist before the batch."""
+def known_findings(feed: DataFrame, assets: DataFrame) -> DataFrame:
+    """Findings that exist before the batch; like every stored finding they have an asset."""
     before = feed.where((F.col("seen_at") < F.lit(AS_OF)) & F.col("sw_vuln_id_fk").isNotNull()).where(
         "(asset_id_fk * 7 + v) % 3 <> 0"
-    )
+    ).join(assets.select("asset_id"), F.col("asset_id_fk") == F.col("asset_id"), "left_semi")
     grouped = before.groupBy("asset_id_fk", "sw_vuln_id_fk", "v").agg(
         F.min("seen_at").alias("discovered_at"), F.max("seen_at").alias("last_seen_at")
     )
@@ -69,11 +69,11 @@ def ingest_inputs(spark: SparkSession, sf_dir: str, tables: TableSet) -> tuple[T
     feed = rekeyed_feed(
         sightings(raw(spark, sf_dir, "lineitem"), raw(spark, sf_dir, "orders")), tables["software_vulnerabilities"]
     )
-    return tables.with_tables(scan_findings=known_findings(feed)), batch_of(feed)
+    return tables.with_tables(scan_findings=known_findings(feed, tables["assets"])), batch_of(feed)
 
 
-def pre_insert_rows(batch: DataFrame) -> DataFrame:
-    return summarize_sightings(batch).where("sw_vuln_id_fk is not null").selectExpr(
+def pre_insert_rows(batch: DataFrame, sources: DataFrame) -> DataFrame:
+    return summarize_sightings(batch, sources).where("sw_vuln_id_fk is not null").selectExpr(
         "asset_id_fk * 10000000000 + sw_vuln_id_fk finding_id",
         "asset_id_fk",
         "sw_vuln_id_fk",

@@ -334,7 +334,8 @@ INGEST = {
     "known": (
         "SELECT a * 10000000000 + pair finding_id, a, pair, ['Open', 'In Progress', 'Remediated', 'Accepted Risk', "
         "'False Positive', 'Pending Retest'][(a + v) % 6 + 1] status, min(seen_at) t0, max(seen_at) t1 "
-        f"FROM feed WHERE seen_at < {AS_OF} AND pair IS NOT NULL AND (a * 7 + v) % 3 <> 0 GROUP BY a, pair, v"
+        f"FROM feed WHERE seen_at < {AS_OF} AND pair IS NOT NULL AND (a * 7 + v) % 3 <> 0 "
+        "AND a IN (SELECT asset_id FROM assets) GROUP BY a, pair, v"
     ),
     "ranked": (
         "SELECT *, row_number() OVER (PARTITION BY a, pair ORDER BY seen_at, src NULLS FIRST, evidence NULLS FIRST) rn, "

@@ -23,6 +23,8 @@ from trial.binding import AS_OF, RAW, raw, sightings, status_events, tables
 
 NOW = datetime(AS_OF.year, AS_OF.month, AS_OF.day)
 ALLOWED_DELAY = "1 day"
+# Columns of an ingest outcome that only later steps need.
+INTERNAL = ("first", "usable", "last_seen", "sla_days")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +132,7 @@ def _(t: TableSet) -> DataFrame:
 @job("p1_record_scan_findings")
 def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     known, batch = given.ingest_inputs(spark, sf_dir, t)
-    return ingest.record_scan_findings(known, batch).drop("first", "last_seen", "sla_days")
+    return ingest.record_scan_findings(known, batch).drop(*INTERNAL)
 
 
 @job("p1_findings_after")
@@ -171,7 +173,7 @@ def _with_reason(history: DataFrame) -> DataFrame:
 @job("t2_finding_pre_insert")
 def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     known, batch = given.ingest_inputs(spark, sf_dir, t)
-    return ingest.finding_pre_insert(known, given.pre_insert_rows(batch), NOW)
+    return ingest.finding_pre_insert(known, given.pre_insert_rows(batch, t["scan_sources"]), NOW)
 
 
 def _updated(t: TableSet, spark: SparkSession, table: str, rows: DataFrame) -> changes.Updated:
@@ -246,7 +248,7 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sighting_stream.start_ingest(given.batch_of(feed), known, f"{work}/log", f"{work}/cp").awaitTermination()
     folded = sighting_stream.fold_changes(sighting_stream.read_changes(spark, f"{work}/log"))
-    return folded.drop("first", "last_seen", "sla_days")
+    return folded.drop(*INTERNAL)
 
 
 @job("s2_stream_status_audit")
