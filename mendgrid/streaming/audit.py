@@ -45,7 +45,7 @@ def last_events(events: DataFrame) -> DataFrame:
 
 def audit_batch(batch: DataFrame, root: str, batch_id: int) -> None:
     """Write the changes, the late events and the new last events of one micro-batch."""
-    events = batch.select(*[f.name for f in EVENT_SCHEMA.fields])
+    events = batch.select(*[f.name for f in EVENT_SCHEMA.fields]).persist()
     seen = read_batches(batch.sparkSession, f"{root}/last", EVENT_SCHEMA, before=batch_id)
     start = last_events(only_keys(seen, "action_id", events, "action_id"))
     held = start.select(
@@ -63,6 +63,7 @@ def audit_batch(batch: DataFrame, root: str, batch_id: int) -> None:
     write_batch(changes, f"{root}/history", batch_id)
     write_batch(judged.where("is_late").select(*events.columns), f"{root}/late", batch_id)
     write_batch(last_events(fresh), f"{root}/last", batch_id)
+    events.unpersist()
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
