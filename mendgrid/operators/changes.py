@@ -53,7 +53,7 @@ def normalize(spec: Table, rows: DataFrame) -> DataFrame:
     found = integrity.row_findings(spec, only=[spec.pk, *text])
     # A value that failed its cast is reported once, as a domain finding, not again as a missing value.
     own = F.filter(
-        F.array_compact(F.array(*found)),
+        found,
         lambda v: ~F.exists("misfits", lambda m: m["column_name"] == v["column_name"]),
     )
     return typed.withColumn("findings", F.concat("misfits", own)).drop("misfits")
