@@ -225,49 +225,50 @@ def delete_batch(tables: Tables, keys: Mapping[str, DataFrame], work_dir: str) -
     reference go too, all the way down; other references to a deleted row become NULL. ``effects``
     lists each deleted row and each blanked reference.
 
-    The keys to delete from a referenced table are written to ``work_dir``: the tables below read them
-    several times, and their measured size decides how they are joined.
+    Parents come before children, and each table is judged in one pass: its rows meet the deleted keys
+    of their parents once, which tells deleted, blanked and untouched rows apart. The deleted keys of a
+    referenced table are written to ``work_dir``, since several tables below read them and their measured
+    size decides how they are joined.
     """
-    doomed: dict[str, DataFrame] = {}
+    parents = {r.parent for spec in TABLES.values() for r in spec.references}
+    gone: dict[str, DataFrame] = {}
     after: dict[str, DataFrame] = {}
     effects: list[DataFrame] = []
-    parents = {r.parent for spec in TABLES.values() for r in spec.references}
     for table, spec in TABLES.items():
+        touching = [r for r in spec.references if r.parent in gone]
+        if table not in keys and not touching:
+            continue
         rows = tables[table]
-        parts = []
+        deleted = F.lit(False)
         if table in keys:
-            wanted = keys[table].select(F.col(keys[table].columns[0]).alias("wanted_key"))
-            parts.append(rows.join(wanted, F.col(spec.pk) == F.col("wanted_key"), "left_semi").select(spec.pk))
-        for r in spec.references:
-            if r.on_delete == "cascade" and r.parent in doomed:
-                gone = doomed[r.parent]
-                parts.append(rows.join(gone, F.col(r.column) == F.col("doomed_key"), "left_semi").select(spec.pk))
-        left = rows
-        if parts:
-            all_keys = reduce(DataFrame.union, parts).distinct().select(F.col(spec.pk).alias("doomed_key"))
-            doomed[table] = settle(all_keys, f"{work_dir}/{table}") if table in parents else all_keys
-            left = rows.join(doomed[table], F.col(spec.pk) == F.col("doomed_key"), "left_anti")
-            effects.append(_effect(table, doomed[table].select(F.col("doomed_key").alias("key")), "deleted", ""))
-        for r in spec.references:
-            if r.on_delete == "set null" and r.parent in doomed:
-                gone = doomed[r.parent]
-                hit = left.join(gone, F.col(r.column) == F.col("doomed_key"), "left_semi")
-                effects.append(_effect(table, hit.select(F.col(spec.pk).alias("key")), "set null", r.column))
-                left = (
-                    left.join(gone, F.col(r.column) == F.col("doomed_key"), "left")
-                    .withColumn(r.column, F.when(F.col("doomed_key").isNull(), F.col(r.column)))
-                    .drop("doomed_key")
-                )
-        if left is not rows:
-            after[table] = left
+            wanted = keys[table].select(F.col(keys[table].columns[0]).alias("wanted_key")).distinct()
+            rows = rows.join(wanted, F.col(spec.pk) == F.col("wanted_key"), "left")
+            deleted = F.col("wanted_key").isNotNull()
+        for r in touching:
+            met = gone[r.parent].select(F.col("gone_key").alias(f"gone_{r.column}"))
+            rows = rows.join(met, F.col(r.column) == F.col(f"gone_{r.column}"), "left")
+            if r.on_delete == "cascade":
+                deleted = deleted | F.col(f"gone_{r.column}").isNotNull()
+        judged = rows.withColumn("deleted", deleted)
+        blanked = {r.column: F.col(f"gone_{r.column}").isNotNull() for r in touching if r.on_delete == "set null"}
+        dead = judged.where("deleted").select(F.col(spec.pk).alias("gone_key"))
+        if table in parents:
+            gone[table] = settle(dead, f"{work_dir}/{table}")
+        after[table] = judged.where("not deleted").select(
+            *[(F.when(~blanked[c], F.col(c)) if c in blanked else F.col(c)).alias(c) for c in spec.names]
+        )
+        happened = [F.when(F.col("deleted"), _effect("deleted", ""))]
+        happened += [F.when(~F.col("deleted") & hit, _effect("set null", c)) for c, hit in blanked.items()]
+        effects.append(
+            judged.select(F.col(spec.pk).alias("key"), F.explode(F.array_compact(F.array(*happened))).alias("e")).select(
+                F.lit(table).alias("table_name"), "key", "e.effect", "e.column_name"
+            )
+        )
     return Deleted(after, reduce(DataFrame.unionByName, effects))
 
 
-def _effect(table: str, keys: DataFrame, effect: str, column: str) -> DataFrame:
-    return keys.select(
-        F.lit(table).alias("table_name"), F.col("key"), F.lit(effect).alias("effect"),
-        F.lit(column).alias("column_name"),
-    )
+def _effect(effect: str, column: str) -> Column:
+    return F.struct(F.lit(effect).alias("effect"), F.lit(column).alias("column_name"))
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], measures: list[str]) -> DataFrame:
