@@ -19,6 +19,7 @@ from mendgrid.functions.vocabulary import REMEDIATED
 from mendgrid.operators import integrity
 from mendgrid.operators.audit import patch_status_audit
 from mendgrid.operators.ingest import finding_pre_insert
+from mendgrid.plans.facts import only_matching
 from mendgrid.schemas import TABLES, Table
 from mendgrid.sources.storage import settle
 
@@ -70,6 +71,7 @@ def _judge_references(tables: Tables, spec: Table, rows: DataFrame) -> DataFrame
         if r.column not in rows.columns:
             continue
         parents = tables[r.parent].select(F.col(TABLES[r.parent].pk).alias("parent_key"))
+        parents = only_matching(parents, ["parent_key"], rows, [r.column])
         rows = rows.join(parents, F.col(r.column) == F.col("parent_key"), "left")
         missing = F.col(r.column).isNotNull() & F.col("parent_key").isNull()
         rows = _with_finding(rows, missing, integrity.FOREIGN_KEY, r.column, F.col(r.column)).drop("parent_key")
@@ -99,7 +101,8 @@ def _judge_held_keys(tables: Tables, spec: Table, rows: DataFrame) -> DataFrame:
     if not spec.unique:
         return rows
     names = [f"held_{c}" for c in spec.unique]
-    held = tables[spec.name].groupBy(*[F.col(c).alias(f"held_{c}") for c in spec.unique]).agg(
+    stored = only_matching(tables[spec.name].select(spec.pk, *spec.unique), list(spec.unique), rows, list(spec.unique))
+    held = stored.groupBy(*[F.col(c).alias(f"held_{c}") for c in spec.unique]).agg(
         F.min(spec.pk).alias("held_low"), F.max(spec.pk).alias("held_high")
     )
     by_other = F.col("held_low").isNotNull() & (
@@ -143,8 +146,9 @@ def insert_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, wor
     The judged rows are written to ``work_dir``, so accepted and rejected rows stem from one reading.
     """
     spec = TABLES[table]
-    judged = _judge_repeated_ids(spec, _judge_references(tables, spec, normalize(spec, rows)))
+    judged = _judge_references(tables, spec, _judge_repeated_ids(spec, normalize(spec, rows)))
     present = tables[table].select(F.col(spec.pk).alias("present_key"))
+    present = only_matching(present, ["present_key"], judged, [spec.pk])
     judged = judged.join(present, F.col(spec.pk) == F.col("present_key"), "left")
     judged = _with_finding(
         judged, F.col("present_key").isNotNull(), integrity.PRIMARY_KEY, spec.pk, F.col(spec.pk)
@@ -184,8 +188,8 @@ def update_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, wor
     """
     spec = TABLES[table]
     old = tables[table]
-    judged = _judge_repeated_ids(spec, _judge_references(tables, spec, normalize(spec, rows)))
-    known = old.select(F.col(spec.pk).alias("known_key"))
+    judged = _judge_references(tables, spec, _judge_repeated_ids(spec, normalize(spec, rows)))
+    known = only_matching(old.select(F.col(spec.pk).alias("known_key")), ["known_key"], judged, [spec.pk])
     judged = judged.join(known, F.col(spec.pk) == F.col("known_key"), "left")
     judged = settle(_judge_held_keys(tables, spec, judged), f"{work_dir}/judged")
     missing = judged.where("known_key is null").select(spec.pk)

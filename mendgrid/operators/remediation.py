@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendgrid.functions.vocabulary import CLOSED, IN_PROGRESS, PENDING, action_priority
-from mendgrid.plans.facts import with_vulnerability
+from mendgrid.plans.facts import only_matching, with_vulnerability
 from mendgrid.sources.storage import conform
 
 Tables = Mapping[str, DataFrame]
@@ -35,7 +35,7 @@ def initiate_patch_actions(tables: Tables, requests: DataFrame, now: datetime) -
     chooses the new action ids.
     """
     current = with_vulnerability(
-        tables["scan_findings"].select(
+        only_matching(tables["scan_findings"], ["finding_id"], requests, ["finding_id"]).select(
             F.col("finding_id").alias("have_finding"), "sw_vuln_id_fk", F.col("status").alias("finding_status")
         ),
         tables,

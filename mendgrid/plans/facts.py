@@ -13,6 +13,7 @@ Rules followed throughout:
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,3 +70,15 @@ def fan_out(n: Column) -> Column:
 
 def cents(amount: Column) -> Column:
     return (amount * 100).cast("bigint")
+
+
+def only_matching(table: DataFrame, columns: list[str], rows: DataFrame, row_columns: list[str]) -> DataFrame:
+    """Rows of a large table whose key occurs in a smaller set of rows.
+
+    The few distinct keys go to the table, which is then scanned and not shuffled; without this, an outer
+    join from the small side would shuffle the large one.
+    """
+    names = [f"wanted_{i}" for i in range(len(columns))]
+    wanted = rows.select(*[F.col(c).alias(n) for c, n in zip(row_columns, names)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(columns, names)])
+    return table.join(wanted, same, "left_semi")

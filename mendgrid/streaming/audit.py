@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mendgrid.operators.audit import status_changes
-from mendgrid.streaming.log import only_keys, read_batches, write_batch
+from mendgrid.plans.facts import only_matching
+from mendgrid.streaming.log import read_batches, write_batch
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -47,7 +48,7 @@ def audit_batch(batch: DataFrame, root: str, batch_id: int) -> None:
     """Write the changes, the late events and the new last events of one micro-batch."""
     events = batch.select(*[f.name for f in EVENT_SCHEMA.fields]).persist()
     seen = read_batches(batch.sparkSession, f"{root}/last", EVENT_SCHEMA, before=batch_id)
-    start = last_events(only_keys(seen, "action_id", events, "action_id"))
+    start = last_events(only_matching(seen, ["action_id"], events, ["action_id"]))
     held = start.select(
         F.col("action_id").alias("held_action"), F.struct("changed_at", "event_id").alias("held_until")
     )

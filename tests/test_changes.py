@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mendgrid.operators import audit, changes, ingest, integrity, remediation, snapshots
 from mendgrid.schemas import TABLES
-from mendgrid.sources.storage import read_table, write_snapshots, write_version
+from mendgrid.sources.storage import TableSet, read_table, write_snapshots, write_version
 from tests.small import T0, finding, frame, rows, tracker
 from trial import changesets as given
 from trial.binding import raw, tables
@@ -240,6 +240,7 @@ def test_version_is_never_overwritten(spark, tmp_path):
     users = tracker(spark)["users"]
     path = write_version(users, str(tmp_path), "users", "1")
     assert rows(read_table(spark, path, "users"), "user_id") == [(1,), (2,)]
+    assert rows(TableSet.stored(spark, {"users": path})["users"], "username") == [("ann",), ("bob",)]
     with pytest.raises(Exception):
         write_version(users, str(tmp_path), "users", "1")
 
