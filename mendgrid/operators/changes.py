@@ -146,7 +146,8 @@ def insert_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, wor
     The judged rows are written to ``work_dir``, so accepted and rejected rows stem from one reading.
     """
     spec = TABLES[table]
-    judged = _judge_references(tables, spec, _judge_repeated_ids(spec, normalize(spec, rows)))
+    typed = settle(_judge_repeated_ids(spec, normalize(spec, rows)), f"{work_dir}/typed")
+    judged = _judge_references(tables, spec, typed)
     present = tables[table].select(F.col(spec.pk).alias("present_key"))
     present = only_matching(present, ["present_key"], judged, [spec.pk])
     judged = judged.join(present, F.col(spec.pk) == F.col("present_key"), "left")
@@ -188,7 +189,8 @@ def update_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, wor
     """
     spec = TABLES[table]
     old = tables[table]
-    judged = _judge_references(tables, spec, _judge_repeated_ids(spec, normalize(spec, rows)))
+    typed = settle(_judge_repeated_ids(spec, normalize(spec, rows)), f"{work_dir}/typed")
+    judged = _judge_references(tables, spec, typed)
     known = only_matching(old.select(F.col(spec.pk).alias("known_key")), ["known_key"], judged, [spec.pk])
     judged = judged.join(known, F.col(spec.pk) == F.col("known_key"), "left")
     judged = settle(_judge_held_keys(tables, spec, judged), f"{work_dir}/judged")
