@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendgrid.llm import grace_dedup, kd_sharding
+from mendgrid.llm import grace_dedup, kd_sharding, mixing, packing, token_blocks
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = token_blocks.write_tokens(_read(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    return token_blocks.read_tokens(segments)
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(_read(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096)
+
+
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard(_read(spark, sf_dir), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -22,7 +37,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_groups(_read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_kd_sharding, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op5_kd_sharding, op6_exact_dedup)}
 
 SQL = {
     "op6_exact_dedup": """
