@@ -78,7 +78,8 @@ def schedule(spark, plan: list[tuple[str | None, int, float]], block: int) -> Da
     points = chunks.mapInArrow(_slots(cumulative, slots), SLOTS)
     counts = points.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", _running(counts, ["source_no"], ["chunk"], "n")).drop("n")
-    return points.join(counts, ["source_no", "chunk"]).select("slot", "source_no", (F.col("before") + F.col("chunk_rank")).alias("rank"))
+    # Both sides grow with the mix, which the planner can't see behind Arrow: no broadcast.
+    return points.join(counts.hint("merge"), ["source_no", "chunk"]).select("slot", "source_no", (F.col("before") + F.col("chunk_rank")).alias("rank"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, rows_per_bin: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     blocks = F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))
     parts = spans.withColumn("rank", F.explode(blocks)).withColumn("from", F.greatest("low", F.col("rank") * block))
     parts = parts.withColumn("words", F.least("high", (F.col("rank") + 1) * block) - F.col("from"))
-    pieces = parts.join(schedule(spark, plan, block), ["source_no", "rank"]).select(
+    pieces = parts.join(schedule(spark, plan, block).hint("merge"), ["source_no", "rank"]).select(
         "slot", "doc_id", "shuffle_key", "pass", (F.col("from") - F.col("low")).alias("from_word"), "words"
     )
     return documents, pieces

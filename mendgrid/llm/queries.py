@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendgrid.llm import grace_dedup, kd_sharding, mixing, packing, token_blocks
+from mendgrid.llm import grace_dedup, kd_sharding, mixing, near_dedup, packing, range_join, token_blocks, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -37,7 +37,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_groups(_read(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op5_kd_sharding, op6_exact_dedup)}
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_read(spark, sf_dir), words=2, percent=80)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    found = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")), threshold=0.7)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op9_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.vector_groups(_read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op5_kd_sharding, op6_exact_dedup, op7_near_dedup, op8_toxicity, op9_range_join)}
 
 SQL = {
     "op6_exact_dedup": """

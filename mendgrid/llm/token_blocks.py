@@ -32,36 +32,45 @@ from mendgrid.llm.token_cache import encoder
 MAGIC = b"PFR1"
 
 
-def pack_block(ids: np.ndarray, percentile: float) -> bytes:
-    low = int(ids.min())
-    offsets = ids - np.uint32(low)
-    widths = np.ceil(np.log2(offsets.astype(np.float64) + 1)).astype(np.uint8)
-    full = int(widths.max())
-    narrow = int(np.sort(widths)[min(len(widths) - 1, int(len(widths) * percentile / 100))])
-    over = np.flatnonzero(widths > narrow)
-    width = narrow if len(over) * 48 + len(ids) * narrow < len(ids) * full else full
-    over = np.flatnonzero(widths > width)
-    packed = offsets.copy()
-    packed[over] = 0
-    bits = ((packed[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    head = struct.pack("<IHBH", low, len(ids), width, len(over))
-    return head + over.astype("<u2").tobytes() + offsets[over].astype("<u4").tobytes() + np.packbits(bits.ravel(), bitorder="little").tobytes()
-
-
-def unpack_block(data: bytes, at: int) -> np.ndarray:
-    low, n, width, over = struct.unpack_from("<IHBH", data, at)
-    at += 9
-    where = np.frombuffer(data, "<u2", over, at)
-    what = np.frombuffer(data, "<u4", over, at + 2 * over)
-    packed = np.frombuffer(data, np.uint8, -(-n * width // 8), at + 6 * over)
-    bits = np.unpackbits(packed, count=n * width, bitorder="little").reshape(n, width)
-    offsets = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
-    offsets[where] = what
-    return offsets + np.uint32(low)
+def _width(offsets: np.ndarray) -> np.ndarray:
+    """Bits that each number needs."""
+    return np.frexp(offsets.astype(np.float64))[1].astype(np.uint8)
+
+
+def _packed(offsets: np.ndarray, width: int) -> np.ndarray:
+    """Rows of offsets, each row packed at ``width`` bits."""
+    bits = np.unpackbits(offsets.astype("<u4").view(np.uint8).reshape(*offsets.shape, 4), axis=2, count=width, bitorder="little")
+    return np.packbits(bits.reshape(len(offsets), -1), axis=1, bitorder="little")
+
+
+def _pack_blocks(rows: np.ndarray, percentile: float) -> list[bytes]:
+    """Blocks of equal length; those that share a width are packed together."""
+    n = rows.shape[1]
+    low = rows.min(axis=1)
+    offsets = rows - low[:, None]
+    widths = _width(offsets)
+    full = widths.max(axis=1)
+    narrow = np.partition(widths, (at := min(n - 1, int(n * percentile / 100))), axis=1)[:, at]
+    cost = (widths > narrow[:, None]).sum(axis=1) * 48 + n * narrow.astype(np.int64)
+    width = np.where(cost < n * full.astype(np.int64), narrow, full)
+    over = widths > width[:, None]
+    rest = np.where(over, 0, offsets)
+    out: list[bytes] = [b""] * len(rows)
+    many = over.sum(axis=1)
+    for w in np.unique(width):
+        of = np.flatnonzero(width == w)
+        body = _packed(rest[of], int(w))
+        for k, b in zip(of.tolist(), body, strict=True):
+            at = np.flatnonzero(over[k]) if many[k] else many[:0]
+            listed = at.astype("<u2").tobytes() + offsets[k][at].astype("<u4").tobytes() if many[k] else b""
+            out[k] = struct.pack("<IHBH", low[k], n, w, many[k]) + listed + b.tobytes()
+    return out
 
 
 def pack_segment(ids: np.ndarray, lengths: list[int], block: int = 128, percentile: float = 90) -> bytes:
-    blocks = [pack_block(ids[i : i + block], percentile) for i in range(0, len(ids), block)]
+    whole = len(ids) // block * block
+    blocks = _pack_blocks(ids[:whole].reshape(-1, block), percentile) if whole else []
+    blocks += _pack_blocks(ids[whole:].reshape(1, -1), percentile) if len(ids) > whole else []
     head = MAGIC + struct.pack("<IIQ", len(lengths), len(blocks), len(ids)) + np.array(lengths, "<u4").tobytes()
     starts = len(head) + 4 * len(blocks) + np.cumsum([0, *map(len, blocks)][:-1] if blocks else [])
     return head + starts.astype("<u4").tobytes() + b"".join(blocks)
@@ -73,8 +82,28 @@ def unpack_segment(data: bytes, first: int = 0, last: int | None = None) -> tupl
         raise ValueError("not a token segment")
     documents, blocks, _ = struct.unpack_from("<IIQ", data, 4)
     lengths = np.frombuffer(data, "<u4", documents, 20)
-    starts = np.frombuffer(data, "<u4", blocks, 20 + 4 * documents)[first:last]
-    return lengths, np.concatenate([np.empty(0, np.uint32), *(unpack_block(data, int(s)) for s in starts)])
+    starts = np.frombuffer(data, "<u4", blocks, 20 + 4 * documents)[first:last].tolist()
+    heads = [struct.unpack_from("<IHBH", data, s) for s in starts]
+    ends = np.cumsum([0, *(h[1] for h in heads)]).tolist()
+    out = np.empty(ends[-1], np.uint32)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (_, n, width, _) in enumerate(heads):
+        alike.setdefault((n, width), []).append(k)
+    for (n, width), of in alike.items():
+        size = -(-n * width // 8)
+        body = np.frombuffer(b"".join(data[(a := starts[k] + 9 + 6 * heads[k][3]) : a + size] for k in of), np.uint8)
+        bits = np.unpackbits(body.reshape(len(of), size), axis=1, count=n * width, bitorder="little").reshape(len(of), n, width)
+        wide = np.zeros((len(of), n, 4), np.uint8)
+        packed = np.packbits(bits, axis=2, bitorder="little")
+        wide[:, :, : packed.shape[2]] = packed
+        values = wide.view("<u4")[:, :, 0]
+        for k, row in zip(of, values, strict=True):
+            low, _, _, over = heads[k]
+            if over:
+                where = np.frombuffer(data, "<u2", over, starts[k] + 9)
+                row[where] = np.frombuffer(data, "<u4", over, starts[k] + 9 + 2 * over)
+            out[ends[k] : ends[k + 1]] = row + np.uint32(low)
+    return lengths, out
 
 
 SEGMENTS = "part int, segment int, doc_ids array<long>, tokens long, data binary"

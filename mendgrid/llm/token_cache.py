@@ -5,15 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
-import numpy as np
 from tokenizers import Tokenizer
 
 # The control characters that Python counts as white space and the tokenizers' patterns don't.
 _UNLIKE = re.compile("[\x1c-\x1f]")
-_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# A Latin word, and the one mark that ends it before white space, are chunks of their own.
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+_WORD_AND_MARK = rf"{_LATIN}+(?=[.,]?(?:\s|\Z))|(?<={_LATIN})[.,](?=\s|\Z)"
+_SPACED = re.compile(rf" ?{_WORD_AND_MARK}| ?\S+|\s+(?!\S)|\s+")
+_DROPPED = re.compile(rf"{_WORD_AND_MARK}|\S+")
+# Outside this range, and for one letter in it, lower case isn't a matter of single characters.
+_NOT_PLAIN = re.compile("[^\x00-\u024f]|\u0130")
 
 
 class CachedEncoder:
@@ -21,12 +27,13 @@ class CachedEncoder:
 
     Two kinds of tokenizer never merge across white space: byte-level ones without normalizer, where a
     chunk is a run of other characters with the one space before it, and those that turn white space
-    into separators and drop it, where a chunk is such a run. Their chunks are encoded by the tokenizer
+    into separators and drop it, where a chunk is such a run (in lower case, if they lower it). A comma
+    or full stop that ends a Latin word is a chunk too. The chunks are encoded by the tokenizer
     when first seen; at ``entries`` chunks the cache starts anew. Texts that hold a special token's string
     or one of four control characters, and all other tokenizers, are encoded whole.
     """
 
-    def __init__(self, path: str, entries: int = 300_000):
+    def __init__(self, path: str, entries: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.entries = entries
@@ -34,7 +41,7 @@ class CachedEncoder:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre, normalizer = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
-        self.chunks = None
+        self.chunks, self.lower = None, False
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not normalizer:
             self.chunks = _SPACED.findall
         elif pre.get("type") == "Sequence" and normalizer.get("type") == "Sequence":
@@ -43,16 +50,19 @@ class CachedEncoder:
             spaces = [n for n in rest if n["type"] == "Replace"]
             drops = split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
             if drops and set(kinds) <= {"NFC", "Replace", "Lowercase"} and all(n["pattern"] == {"Regex": r"\s+"} for n in spaces):
-                self.chunks = str.split
+                self.chunks, self.lower = _DROPPED.findall, "Lowercase" in kinds
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        # One by one: a call of the batch methods costs more than the few chunks a text adds.
+        encode = self.tokenizer.encode
+        return [array("I", encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.chunks is None or any(s in text for s in self.special) or _UNLIKE.search(text):
             return self._bytes([text])[0]
+        if self.lower and not _NOT_PLAIN.search(text):
+            text = text.lower()
         chunks, cache = self.chunks(text), self.cache
         try:
             return b"".join(map(cache.__getitem__, chunks))
