@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendgrid.llm.common import keep, texts
+from mendgrid.llm.shingles import batches, shingle_sets
 
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -87,9 +88,9 @@ class Index:
         return float(self.scores[np.searchsorted(self.steps, self.vote(near), side="right")]), near
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of the batch hold a term, and how many of them are toxic."""
-    for batch in batches:
+    for batch in rows:
         every, toxic = Counter(), Counter()
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = {t for w in set(_WORDS.findall(text.lower())) for t in terms_of(w)}
@@ -101,6 +102,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["term", "n", "toxic"])
 
 
+def _least_shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        least = [int(s[0].view(np.int64)) if len(s) else 0 for _, data in batches(batch.column(0).to_pylist()) for s in shingle_sets(data, 5)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["text", "toxic", "doc_id", "sketch"])
+
+
 def _vectors(terms: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,12 +143,12 @@ def rising(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return steps, scores
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, share: float = 0.02, odds: float = 4.0, most_terms: int = 20_000, neighbours: int = 15) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, share: float = 0.01, odds: float = 4.0, sure: float = 3.0, most_terms: int = 20_000, neighbours: int = 15) -> Index:
     """An index of at most ``per_class`` labelled examples of either class, taken in hash order from the
     rows that aren't held out; near copies of an example (same least hash of five words) are left out.
 
     A term counts if it's in at least ``share`` of either class (and in five examples) and its odds differ
-    by the factor ``odds`` between the classes. Inputs are texts and labels alone. Without examples of
+    by the factor ``odds``, and ``sure`` standard errors, between the classes. Inputs are texts and labels alone. Without examples of
     both classes, every text scores the share of toxic examples, or 0 without any.
     """
     train = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -150,17 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, share: float
     order = F.xxhash64("l_id", F.lit(8))
     picked = [train.where(F.col("toxic") == y).orderBy(order, "l_id").limit(per_class) for y in (0, 1)]
     rows = texts(docs).join(picked[0].unionByName(picked[1]), F.col("doc_id") == F.col("l_id"))
-    words = F.split(F.substring("text", 1, 1 << 16), r"[\x20\x09-\x0D]+")
-    fives = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, 5), " ")))
-    sample = keep(rows.select("text", "toxic", "doc_id").withColumn("sketch", F.array_min(fives)), "labelled")
+    sample = keep(rows.select("text", "toxic", "doc_id").mapInArrow(_least_shingle, "text string, toxic int, doc_id long, sketch long"), "labelled")
     sample = keep(sample.groupBy("sketch", "toxic").agg(F.min_by(F.struct("doc_id", "text"), F.struct("doc_id", "text")).alias("x")).select("x.text", "toxic", "x.doc_id"), "examples")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     counted = sample.select("text", "toxic").mapInArrow(_count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic"), F.col("n") - F.col("toxic")
     ratio = ((a + 0.5) * (n0 - b + 0.5)) / ((b + 0.5) * (n1 - a + 0.5))
-    useful = counted.where((F.col("n") >= 5) & ((a >= share * n1) | (b >= share * n0))).withColumn("odds", F.abs(F.log(ratio)))
-    useful = useful.where(F.col("odds") >= float(np.log(odds))).orderBy(F.desc("odds"), "term").limit(most_terms).select("term", "n").collect() if n0 and n1 else []
+    error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
+    useful = counted.where((F.col("n") >= 5) & ((a >= share * n1) | (b >= share * n0))).select("term", "n", F.abs(F.log(ratio)).alias("odds"), error.alias("error"))
+    useful = useful.where((F.col("odds") >= float(np.log(odds))) & (F.col("odds") >= sure * F.col("error"))).orderBy(F.desc("odds"), "term").limit(most_terms).select("term", "n").collect() if n0 and n1 else []
     terms = {r["term"]: i for i, r in enumerate(useful)}
     idf = np.log((n0 + n1 + 1) / (np.array([r["n"] for r in useful], float) + 1)) + 1
     found = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms), "doc_id long, toxic int, ids array<long>, counts array<long>").collect()
