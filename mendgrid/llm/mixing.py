@@ -152,3 +152,19 @@ def taken(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     words = F.coalesce("words", F.lit(0))
     part = F.floor(words / copies) + F.when(F.row_number().over(same) <= words % copies, 1).otherwise(0)
     return documents.join(keyed, on, "left").select("doc_id", "size", "source_size", "target", part.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each pass that takes words of a
+    document, its whole text, or its first words where the target cuts it (at most one document a source
+    and pass). Documents without words stay as they are: they add nothing to a source."""
+    _, pieces = mix(docs, weights, share, most)
+    passes = pieces.groupBy("doc_id", "shuffle_key", "pass").agg(F.sum("words").alias("words"))
+    passes = passes.select(F.col("doc_id").alias("__id"), F.col("shuffle_key").alias("__key"), F.col("words").alias("__words"))
+    keyed = docs.withColumn("__own", F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(7))).withColumn("__size", word_count(F.col("text")))
+    joined = keyed.join(passes, keyed["doc_id"].eqNullSafe(passes["__id"]) & (keyed["__own"] == passes["__key"]), "left")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")
+    taken_rows = joined.where("__size = 0 or __words is not null")
+    text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col("text"))
+    return taken_rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendgrid.llm import grace_dedup, kd_sharding, mixing, near_dedup, packing, range_join, token_blocks, toxicity
+from mendgrid.llm import grace_dedup, kd_sharding, mixing, near_dedup, packing, personal_data, range_join, token_blocks, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -51,7 +51,12 @@ def op9_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join.vector_groups(_read(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op5_kd_sharding, op6_exact_dedup, op7_near_dedup, op8_toxicity, op9_range_join)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    return personal_data.find(docs, personal_data.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op5_kd_sharding, op6_exact_dedup, op7_near_dedup, op8_toxicity, op9_range_join, op10_personal_data)}
 
 SQL = {
     "op6_exact_dedup": """
