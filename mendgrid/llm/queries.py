@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendgrid.llm import grace_dedup, kd_sharding, mixing, near_dedup, packing, personal_data, range_join, token_blocks, toxicity
+from mendgrid.llm import grace_dedup, kd_sharding, mixing, near_dedup, packing, personal_data, range_join, suffix_dedup, token_blocks, toxicity
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -27,6 +27,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2, capacity=4096)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_repeats(_read(spark, sf_dir), length=400)
+
+
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shard(_read(spark, sf_dir), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -56,7 +60,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(docs, personal_data.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op5_kd_sharding, op6_exact_dedup, op7_near_dedup, op8_toxicity, op9_range_join, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op4_suffix_dedup, op5_kd_sharding, op6_exact_dedup, op7_near_dedup, op8_toxicity, op9_range_join, op10_personal_data)}
 
 SQL = {
     "op6_exact_dedup": """
