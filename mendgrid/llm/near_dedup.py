@@ -14,7 +14,7 @@ from mendgrid.llm.common import keep, texts
 from mendgrid.llm.graph import components
 from mendgrid.llm.shingles import batches, mix, shingle_sets
 
-BINS, ROWS_PER_BAND = 128, 4
+BINS, ROWS_PER_BAND = 256, 6
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.arange(1, 2 * BINS + 1, dtype=np.uint64) * _STEP  # of the rounds
@@ -37,9 +37,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         if not len(element):
             return out
         x = mix(element + _SEEDS[i])
-        at = owner * BINS + (x >> np.uint64(57)).astype(np.int64)
+        at = owner * BINS + (x >> np.uint64(56)).astype(np.int64)
         open_ = flat[at] == _UNSET
-        at, value = at[open_], (x[open_] << np.uint64(7)) >> np.uint64(8)
+        at, value = at[open_], (x[open_] << np.uint64(8)) >> np.uint64(9)
         fresh = np.unique(at) if i else None  # bins that this round fills
         np.minimum.at(flat, at, value)
         if i:
@@ -55,9 +55,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bands(sketches: np.ndarray) -> np.ndarray:
-    """One hash per ``ROWS_PER_BAND`` neighbouring bins. At similarity 0.8 two sets share none of the 32
-    bands with a probability of about 5e-8."""
-    parts = sketches.reshape(len(sketches), -1, ROWS_PER_BAND)
+    """One hash per ``ROWS_PER_BAND`` neighbouring bins. At similarity 0.8 two sets share none of the 42
+    bands with a probability of about 3e-6; at 0.3 they share one with 3 percent."""
+    parts = sketches[:, : BINS // ROWS_PER_BAND * ROWS_PER_BAND].reshape(len(sketches), -1, ROWS_PER_BAND)
     x = np.arange(parts.shape[1], dtype=np.uint64)[None, :] + np.zeros((len(parts), 1), np.uint64)
     for j in range(ROWS_PER_BAND):
         x = mix(x * _STEP + parts[:, :, j])
@@ -108,7 +108,7 @@ def _judge(words: int):
     return run
 
 
-def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row. Two documents are linked if their sets of
     ``words``-word shingles share at least ``percent`` percent of their union; a component is what links
     reach, named by its smallest doc_id, which is kept.
