@@ -11,6 +11,8 @@ def session(app_name: str = "mendgrid", master: str | None = None, **settings: s
     conf = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a hot key even where that costs another shuffle for the grouping that follows.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         **settings,
