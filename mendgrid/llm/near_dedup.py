@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendgrid.llm.common import keep, texts
@@ -85,6 +85,45 @@ def _sketch(words: int):
     return run
 
 
+def _shingles(words: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for first, data in batches(batch.column(1).to_pylist()):
+                sets = shingle_sets(data, words)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(sets)), pa.ListArray.from_arrays(offsets, flat)], ["class", "shingles"]
+                )
+
+    return run
+
+
+def _rare_shingle_pairs(open_: DataFrame, whole: DataFrame, words: int, percent: int, size_ok) -> DataFrame:
+    """Pairs (a, b) of classes of different parts that can reach ``percent``, by an exact prefix filter.
+
+    With all shingles in one order, rarest first, two sets of that similarity share one of the first
+    n - ceil(percent * n / 100) + 1 of each. Classes meet under those shingles only, so what very many of
+    them have in common brings none together. Under one shingle the largest part is joined with the
+    others only, never with itself.
+    """
+    held = open_.select("class", "part", "n").distinct()
+    words_of = whole.join(held.select("class"), "class").select("class", "text").mapInArrow(_shingles(words), "class binary, shingles array<long>")
+    each = keep(words_of.select("class", F.explode("shingles").alias("shingle")), "shingles")
+    # Shingles of one class only can't bring two together, but they fill its prefix: they rank as 1.
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(common, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "shingle"))
+    prefix = ranked.withColumn("place", place).join(held, "class").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = keep(prefix.where("df > 1").select("shingle", "class", "part", "n"), "prefix")
+    sizes = prefix.groupBy("shingle", "part").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("part", F.struct("m", "part")).alias("major"), F.count("*").alias("parts"))
+    prefix = prefix.join(largest.where("parts > 1").drop("parts"), "shingle")
+    other = prefix.where("part <> major").select("shingle", F.col("class").alias("b"), F.col("part").alias("p_part"), F.col("n").alias("p_n"))
+    once = (F.col("part") == F.col("major")) | (F.col("class") < F.col("b"))
+    return prefix.join(other, "shingle").where(once & (F.col("part") != F.col("p_part")) & size_ok).select(F.col("class").alias("a"), "b")
+
+
 JUDGED = "a binary, b binary, shared long, total long"
 
 
@@ -108,17 +147,17 @@ def _judge(words: int):
     return run
 
 
-def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds: int = 5) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row. Two documents are linked if their sets of
     ``words``-word shingles share at least ``percent`` percent of their union; a component is what links
     reach, named by its smallest doc_id, which is kept.
 
     Documents with equal sets are one class. Classes that share a band are candidates, and every link is
     confirmed on the whole sets. No bucket is expanded into pairs: in each round a bucket's members that
-    aren't yet connected to a pivot of it are compared with that pivot only, and the pivot leaves the bucket; after ``pivot_rounds`` rounds
-    the pairs still open are judged one by one, less those that the triangle inequality of the Jaccard
-    distance to the first pivot rules out. Members that are connected already need no comparison, so the
-    components are those of all links.
+    aren't yet connected to a pivot of it are compared with that pivot only, and the pivot leaves the
+    bucket. Classes that are still open after ``pivot_rounds`` rounds meet under their rare shingles, which
+    loses no link among them. Members that are connected already need no comparison, so the components
+    are those of all links.
 
     Null text counts as empty; without words a document has no shingles and no link. A null doc_id is
     never the name of a component unless it's alone. Rows that repeat doc_id and text carry the same
@@ -145,37 +184,34 @@ def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds
         return keep(joined.mapInArrow(_judge(words), JUDGED), "judged")
 
     links = None
-    state = members.withColumn("part", F.col("class")).withColumn("near", F.lit(None).cast("double"))
+    state = members.withColumn("part", F.col("class"))
+    size_ok = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
     for turn in range(pivot_rounds + 1):
         mixed = state.groupBy("bucket").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("bucket")
         open_ = keep(state.join(mixed, "bucket"), "open")
         if open_.isEmpty():
             break
-        size_ok = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
         if turn < pivot_rounds:
-            order = F.struct(F.xxhash64("class", F.lit(turn)), "class", "part", "n") if turn else F.struct(F.lit(0), "class", "part", "n")
-            pivot = open_.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.class").alias("pivot"), F.col("p.part").alias("p_part"), F.col("p.n").alias("p_n"))
+            order = F.struct(F.xxhash64("class", F.lit(turn)) if turn else F.lit(0), "class", "part", "n")
+            pivot = open_.groupBy("bucket").agg(F.min(order).alias("p")).select(
+                "bucket", F.col("p.class").alias("pivot"), F.col("p.part").alias("p_part"), F.col("p.n").alias("p_n")
+            )
             near = open_.join(pivot, "bucket")
             pairs = near.where((F.col("part") != F.col("p_part")) & size_ok).select(F.col("class").alias("a"), F.col("pivot").alias("b"))
         else:
-            other = open_.select("bucket", F.col("class").alias("b"), F.col("part").alias("p_part"), F.col("n").alias("p_n"), F.col("near").alias("p_near"))
-            possible = F.abs(F.coalesce(F.col("near") - F.col("p_near"), F.lit(0.0))) <= 1 - percent / 100 + 1e-9
-            pairs = open_.join(other, "bucket").where((F.col("class") < F.col("b")) & (F.col("part") != F.col("p_part")) & size_ok & possible).select(F.col("class").alias("a"), "b")
+            pairs = _rare_shingle_pairs(open_, whole, words, percent, size_ok)
         judged = judge(pairs.distinct())
         found = judged.where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        if turn == 0:
-            distance = judged.select(F.col("a").alias("class"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("near"))
-            near = near.drop("near").join(distance, ["class", "pivot"], "left")
         if turn == pivot_rounds:
             break
         # The pivot has been compared with every member that isn't connected to it: it leaves the bucket.
         parts = components(links)
-        state = keep(
+        state = (
             near.where(F.col("class") != F.col("pivot")).drop("part").join(parts, F.col("class") == F.col("node"), "left")
-            .select("bucket", "class", "n", F.coalesce("component", "class").alias("part"), "near"),
-            "state",
+            .select("bucket", "class", "n", F.coalesce("component", "class").alias("part"))
         )
+        state = keep(state, "state")
     named = sketched.select("doc_id", "n_shingles", "class")
     if links is None:
         placed = named.withColumn("part", F.col("class"))
