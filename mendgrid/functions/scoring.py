@@ -76,9 +76,11 @@ def rounded_ratio(numerator: Column, denominator: Column, places: int) -> Column
     Whole-number division keeps ties exact, which a double average would not.
     NULL when the denominator is 0 or NULL.
     """
-    n = numerator.cast("bigint")
-    d = F.nullif(denominator.cast("bigint"), F.lit(0).cast("bigint"))
-    shifted = F.call_function("div", F.abs(n) * F.lit(2 * 10**places) + d, d * F.lit(2))
+    # Widths that hold sums of 10^18 rows times the shift, and leave no digit of a product to be dropped.
+    n = numerator.cast("decimal(24,0)")
+    d = F.nullif(denominator.cast("decimal(24,0)"), F.lit(Decimal(0)).cast("decimal(24,0)"))
+    shift = F.lit(Decimal(2 * 10**places))
+    shifted = F.call_function("div", F.abs(n) * shift + d, d * F.lit(Decimal(2)))
     signed = F.when(n < 0, -shifted).otherwise(shifted)
     return (signed.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(18,{places})")
 

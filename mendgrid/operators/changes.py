@@ -38,8 +38,18 @@ def normalize(spec: Table, rows: DataFrame) -> DataFrame:
     for c in spec.flagged("edit"):
         given = F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
         text[c] = F.nullif(F.regexp_replace(given, _EDGES, ""), F.lit(""))
-    raw = rows.select(F.col(spec.pk).cast("bigint").alias(spec.pk), *[v.alias(f"raw_{c}") for c, v in text.items()])
+    given_key = F.col(spec.pk).cast("string")
+    raw = rows.select(
+        given_key.try_cast("bigint").alias(spec.pk), given_key.alias("raw_key"),
+        *[v.alias(f"raw_{c}") for c, v in text.items()],
+    )
     misfits = [
+        F.when(
+            F.col("raw_key").isNotNull() & F.col(spec.pk).isNull(),
+            integrity.finding(integrity.DOMAIN, spec.pk, F.col("raw_key")),
+        )
+    ]
+    misfits += [
         F.when(
             F.col(f"raw_{c}").isNotNull() & F.col(f"raw_{c}").try_cast(spec.column(c).spark_type).isNull(),
             integrity.finding(integrity.DOMAIN, c, F.col(f"raw_{c}")),
@@ -194,8 +204,11 @@ def update_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, wor
     known = only_matching(old.select(F.col(spec.pk).alias("known_key")), ["known_key"], judged, [spec.pk])
     judged = judged.join(known, F.col(spec.pk) == F.col("known_key"), "left")
     judged = settle(_judge_held_keys(tables, spec, judged), f"{work_dir}/judged")
-    missing = judged.where("known_key is null").select(spec.pk)
-    judged = _judge_rivals(spec, judged.where("known_key is not null").drop("known_key"))
+    # A row whose key is no whole number, or that has none, is refused; it isn't a missing row.
+    missing = judged.where(F.col("known_key").isNull() & F.col(spec.pk).isNotNull()).select(spec.pk)
+    judged = _judge_rivals(
+        spec, judged.where(F.col("known_key").isNotNull() | F.col(spec.pk).isNull()).drop("known_key")
+    )
     good = judged.where(F.size("findings") == 0)
     editable = spec.flagged("edit")
     changed = good.select(F.col(spec.pk).alias("changed_key"), *[F.col(c).alias(f"new_{c}") for c in editable])

@@ -18,9 +18,19 @@ Tables = Mapping[str, DataFrame]
 KEY = ["asset_id_fk", "sw_vuln_id_fk"]
 
 
+# Pair ids below this number give distinct finding ids; others stop the job, as do ids beyond 64 bits.
+PAIRS = 500_000_000_000
+
+
+def pair_in_range(pair: Column) -> Column:
+    return (pair >= 0) & (pair < PAIRS)
+
+
 def finding_key(asset: Column, pair: Column) -> Column:
-    """Finding id from its natural key; distinct while pair ids stay below 10**10."""
-    return asset * F.lit(10_000_000_000) + pair
+    """Finding id from its natural key, NULL if a part is. It never collides: a pair id outside
+    [0, ``PAIRS``) raises an error."""
+    wide = F.raise_error(F.concat(F.lit("pair id out of range for finding ids: "), pair.cast("string")))
+    return F.when(pair.isNull() | pair_in_range(pair), asset * F.lit(PAIRS) + pair).otherwise(wide.cast("bigint"))
 
 
 FIRST = ["seen_at", "scan_source_id_fk", "evidence_snippet", "notes"]
@@ -107,7 +117,11 @@ def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
         .otherwise("inserted")
     )
     fresh = {
-        "finding_id": finding_key(F.col("asset_id_fk"), F.col("sw_vuln_id_fk")),
+        # A refused key may hold anything; one that can't have an id gets none.
+        "finding_id": F.when(
+            F.col("known_pair").isNotNull() | pair_in_range(F.col("sw_vuln_id_fk")),
+            finding_key(F.col("asset_id_fk"), F.col("sw_vuln_id_fk")),
+        ),
         "scan_source_id_fk": F.col("first.scan_source_id_fk"),
         "status": F.lit(OPEN),
         "risk_score": F.col("fresh_score").cast("decimal(7,2)"),
@@ -143,12 +157,15 @@ def record_scan_findings(tables: Tables, sightings: DataFrame) -> DataFrame:
 def apply_outcomes(findings: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The next version of the findings: touched rows get their new time, inserted rows are added."""
     touched = outcomes.where("outcome = 'touched'").select(
-        F.col("finding_id").alias("touched_id"), F.col("last_seen_at").alias("touched_at")
+        F.col("asset_id_fk").alias("touched_asset"),
+        F.col("sw_vuln_id_fk").alias("touched_pair"),
+        F.col("last_seen_at").alias("touched_at"),
     )
+    same = (F.col("asset_id_fk") == F.col("touched_asset")) & (F.col("sw_vuln_id_fk") == F.col("touched_pair"))
     kept = (
-        findings.join(touched, F.col("finding_id") == F.col("touched_id"), "left")
+        findings.join(touched, same, "left")
         .withColumn("last_seen_at", F.coalesce("touched_at", "last_seen_at"))
-        .drop("touched_id", "touched_at")
+        .drop("touched_asset", "touched_pair", "touched_at")
     )
     new = conform(outcomes.where("outcome = 'inserted'"), "scan_findings")
     return kept.unionByName(new)

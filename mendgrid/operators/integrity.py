@@ -126,25 +126,47 @@ def unique_violations(df: DataFrame, table: str) -> DataFrame | None:
 
 
 def foreign_key_violations(tables: Tables, table: str) -> DataFrame | None:
-    """Rows whose reference has no parent row; a NULL reference is exempt."""
+    """Rows whose reference has no parent row; a NULL reference is exempt.
+
+    One scan finds the distinct values of all references, combined before the shuffle; those without a
+    parent are few, and a second scan finds the rows that hold them.
+    """
     spec = TABLES[table]
-    parts = []
-    for r in spec.references:
-        parents = tables[r.parent].select(F.col(TABLES[r.parent].pk).alias("parent_key"))
-        parts.append(
-            tables[table]
-            .where(F.col(r.column).isNotNull())
-            .select(F.col(spec.pk).alias("row_key"), F.col(r.column).alias("fk_value"))
-            .join(parents, F.col("fk_value") == F.col("parent_key"), "left_anti")
-            .select(
-                F.lit(table).alias("table_name"),
-                F.lit(FOREIGN_KEY).alias("rule_id"),
-                F.col("row_key").cast("string").alias("key"),
-                F.lit(r.column).alias("column_name"),
-                F.col("fk_value").cast("string").alias("value"),
+    if not spec.references:
+        return None
+    each = [
+        F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("bigint").alias("fk_value"))
+        for r in spec.references
+    ]
+    rows = (
+        tables[table]
+        .select(F.col(spec.pk).alias("row_key"), F.explode(F.array(*each)).alias("held"))
+        .select("row_key", "held.column_name", "held.fk_value")
+        .where("fk_value is not null")
+    )
+    parents = union_all(
+        [
+            tables[r.parent].select(
+                F.lit(r.column).alias("parent_column"), F.col(TABLES[r.parent].pk).cast("bigint").alias("parent_key")
             )
-        )
-    return union_all(parts)
+            for r in spec.references
+        ]
+    )
+    known = (F.col("column_name") == F.col("parent_column")) & (F.col("fk_value") == F.col("parent_key"))
+    missing = (
+        rows.select("column_name", "fk_value")
+        .distinct()
+        .join(parents, known, "left_anti")
+        .select(F.col("column_name").alias("missing_column"), F.col("fk_value").alias("missing_value"))
+    )
+    lost = (F.col("column_name") == F.col("missing_column")) & (F.col("fk_value") == F.col("missing_value"))
+    return rows.join(missing, lost, "left_semi").select(
+        F.lit(table).alias("table_name"),
+        F.lit(FOREIGN_KEY).alias("rule_id"),
+        F.col("row_key").cast("string").alias("key"),
+        "column_name",
+        F.col("fk_value").cast("string").alias("value"),
+    )
 
 
 def validate(tables: Tables, table: str) -> DataFrame:

@@ -40,9 +40,10 @@ def dashboard_counters(tables: Tables, as_of: date) -> DataFrame:
         for name, t in sizes.items()
     ]
     # Findings shrink to one row per pair before they meet the vulnerability.
-    per_pair = tables["scan_findings"].groupBy("sw_vuln_id_fk").agg(
+    # Open findings are among those not closed, so closed ones need not leave the scan.
+    per_pair = tables["scan_findings"].where(not_closed("status")).groupBy("sw_vuln_id_fk").agg(
         count_if(F.col("status") == OPEN).alias("n_open"),
-        count_if(not_closed("status") & overdue(F.col("sla_due_date"), as_of)).alias("n_breached"),
+        count_if(overdue(F.col("sla_due_date"), as_of)).alias("n_breached"),
     )
     severity = pair_vulnerabilities(tables, "severity", "exploit_available")
     f = per_pair.join(severity, F.col("sw_vuln_id_fk") == F.col("sw_vuln_id"), "left").agg(

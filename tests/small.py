@@ -76,7 +76,7 @@ def tracker(spark, **more) -> TableSet:
 
 def finding(asset: int, pair: int, status: str = "Open", **more) -> dict:
     return {
-        "finding_id": asset * 10_000_000_000 + pair, "asset_id_fk": asset, "sw_vuln_id_fk": pair, "status": status,
+        "finding_id": asset * 500_000_000_000 + pair, "asset_id_fk": asset, "sw_vuln_id_fk": pair, "status": status,
         "discovered_at": T0, "last_seen_at": T0, **more,
     }
 

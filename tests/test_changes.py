@@ -104,7 +104,8 @@ def test_requests_make_actions_history_and_progress(spark):
     assert rows(got.history, "action_id_fk", "change_reason") == [
         (1, "Patch action initiated by 2"), (2, None), (3, "Patch action initiated by 2")]
     assert rows(got.rejected, "action_id", "reason") == [(4, "rejected_closed"), (5, "rejected_missing")]
-    assert [r[1] for r in rows(got.findings, "finding_id", "status")] == ["In Progress", "In Progress", "Remediated"]
+    after = sorted(tuple(r) for r in got.findings.select("finding_id", "status").collect())
+    assert [status for _, status in after] == ["In Progress", "In Progress", "Remediated"]
 
 
 # --- change sets --------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Tracker tables derived from the star-schema test parquet.
 
 Ids are arithmetic on natural keys, so no sequence and no global numbering is needed. They are
-distinct while suppliers stay below 10,000 and parts below 1,000,000; beyond that pick wider factors.
+distinct for suppliers below 200,000 and pairs below 500,000,000,000, a hundred times the largest test
+tables; a key beyond that stops the job, as does an id beyond 64 bits.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendgrid.functions.scoring import finding_risk_score
+from mendgrid.operators.ingest import finding_key
 from mendgrid.operators.snapshots import refresh_risk_snapshots
 from mendgrid.sources.storage import TableSet, conform, read_table, shared_folder
 
@@ -227,9 +229,17 @@ def vulnerabilities(part: DataFrame) -> DataFrame:
     )
 
 
+def with_supplier(key: str) -> str:
+    """SQL of an id made of ``key`` and the supplier; it stops the job rather than repeat an id."""
+    return (
+        f"if(l_suppkey between 0 and 199999, {key} * 200000 + l_suppkey, "
+        "cast(raise_error('supplier key out of range for ids') as bigint))"
+    )
+
+
 def software_vulnerabilities(lineitem: DataFrame) -> DataFrame:
     return lineitem.select("l_partkey", "l_suppkey").distinct().selectExpr(
-        "l_partkey * 10000 + l_suppkey sw_vuln_id",
+        f"{with_supplier('l_partkey')} sw_vuln_id",
         "l_suppkey software_id_fk",
         "l_partkey vuln_id_fk",
     )
@@ -242,7 +252,7 @@ def asset_software_installs(lineitem: DataFrame, orders: DataFrame, asset_rows:
         .distinct()
     )
     return pairs.join(asset_rows, pairs.o_custkey == asset_rows.asset_id, "left_semi").selectExpr(
-        "o_custkey * 10000 + l_suppkey install_id",
+        f"{with_supplier('o_custkey')} install_id",
         "o_custkey asset_id_fk",
         "l_suppkey software_id_fk",
         "'scan' detected_by",
@@ -277,7 +287,7 @@ def sightings(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).where("o_custkey % 50 <> 49")
     return joined.selectExpr(
         "o_custkey asset_id_fk",
-        "l_partkey * 10000 + l_suppkey sw_vuln_id_fk",
+        f"{with_supplier('l_partkey')} sw_vuln_id_fk",
         "l_partkey",
         "case concat(l_returnflag, l_linestatus) when 'NO' then 'Open' when 'NF' then 'In Progress' "
         "when 'AO' then 'Pending Retest' when 'AF' then 'Remediated' when 'RO' then 'Accepted Risk' "
@@ -303,7 +313,7 @@ def scan_findings(feed: DataFrame, asset_rows: DataFrame, vuln_rows: DataFrame)
         F.col("cvss_score"), F.col("epss_score"), F.col("criticality"), F.col("exploit_available")
     )
     return joined.select(
-        F.expr("asset_id_fk * 10000000000 + sw_vuln_id_fk").alias("finding_id"),
+        finding_key(F.col("asset_id_fk"), F.col("sw_vuln_id_fk")).alias("finding_id"),
         "asset_id_fk",
         "sw_vuln_id_fk",
         F.expr("case when asset_id_fk % 6 = 0 then null else org_id_fk * 10 + asset_id_fk % 2 end").alias(

@@ -48,7 +48,7 @@ def known_findings(feed: DataFrame, assets: DataFrame) -> DataFrame:
     )
     return conform(
         grouped.selectExpr(
-            "asset_id_fk * 10000000000 + sw_vuln_id_fk finding_id",
+            "asset_id_fk * 500000000000 + sw_vuln_id_fk finding_id",
             "asset_id_fk",
             "sw_vuln_id_fk",
             "case (asset_id_fk + v) % 6 when 0 then 'Open' when 1 then 'In Progress' when 2 then 'Remediated' "
@@ -74,7 +74,7 @@ def ingest_inputs(spark: SparkSession, sf_dir: str, tables: TableSet) -> tuple[T
 
 def pre_insert_rows(batch: DataFrame, sources: DataFrame) -> DataFrame:
     return summarize_sightings(batch, sources).where("sw_vuln_id_fk is not null").selectExpr(
-        "asset_id_fk * 10000000000 + sw_vuln_id_fk finding_id",
+        "asset_id_fk * 500000000000 + sw_vuln_id_fk finding_id",
         "asset_id_fk",
         "sw_vuln_id_fk",
         "first.scan_source_id_fk scan_source_id_fk",

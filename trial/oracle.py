@@ -141,7 +141,13 @@ say(
     flags=_flags,
 )
 say("a8_write_version", f"SELECT {out('scan_findings')} FROM scan_findings")
-say("a8_snapshot_partitions", f"SELECT {out('risk_score_snapshots')} FROM risk_score_snapshots", **SNAP)
+say(
+    "a8_snapshot_partitions",
+    f"SELECT {out('risk_score_snapshots')} FROM risk_score_snapshots UNION ALL "
+    f"SELECT {out('risk_score_snapshots')} FROM older",
+    older=snapshots("DATE '1998-06-01'"),
+    **SNAP,
+)
 
 # --- reports ------------------------------------------------------------------------------------------
 say(
@@ -332,7 +338,7 @@ INGEST = {
         "FROM software_vulnerabilities GROUP BY 1) ON pv = v_id % 100"
     ),
     "known": (
-        "SELECT a * 10000000000 + pair finding_id, a, pair, ['Open', 'In Progress', 'Remediated', 'Accepted Risk', "
+        "SELECT a * 500000000000 + pair finding_id, a, pair, ['Open', 'In Progress', 'Remediated', 'Accepted Risk', "
         "'False Positive', 'Pending Retest'][(a + v) % 6 + 1] status, min(seen_at) t0, max(seen_at) t1 "
         f"FROM feed WHERE seen_at < {AS_OF} AND pair IS NOT NULL AND (a * 7 + v) % 3 <> 0 "
         "AND a IN (SELECT asset_id FROM assets) GROUP BY a, pair, v"
@@ -354,7 +360,7 @@ INGEST = {
         "SELECT c.a asset_id_fk, c.pair sw_vuln_id_fk, CASE WHEN k.status IN ('Remediated', 'False Positive') "
         "THEN 'rejected_closed' WHEN k.status IS NOT NULL THEN 'touched' WHEN asset_id IS NULL OR sw_vuln_id IS NULL "
         "OR src NOT IN (SELECT source_id FROM scan_sources) THEN 'rejected_fk' ELSE 'inserted' END outcome, "
-        "c.a * 10000000000 + c.pair finding_id, CASE WHEN k.status IS NULL THEN src END scan_source_id_fk, "
+        "c.a * 500000000000 + c.pair finding_id, CASE WHEN k.status IS NULL THEN src END scan_source_id_fk, "
         "coalesce(k.status, 'Open') status, "
         "CASE WHEN k.status IS NULL THEN risk END risk_score, "
         "CASE WHEN k.status IS NULL THEN CAST(c.seen_at AS DATE) + sla_days END sla_due_date, "
@@ -386,7 +392,7 @@ say(
 )
 say(
     "t2_finding_pre_insert",
-    "SELECT a * 10000000000 + pair finding_id, a asset_id_fk, pair sw_vuln_id_fk, src scan_source_id_fk, 'Open' status, "
+    "SELECT a * 500000000000 + pair finding_id, a asset_id_fk, pair sw_vuln_id_fk, src scan_source_id_fk, 'Open' status, "
     "CAST(CASE WHEN (a + pair) % 2 = 0 THEN 42 ELSE risk END AS DOUBLE) risk_score, "
     f"CASE WHEN (a + pair) % 2 <> 0 THEN {AS_OF} + sla_days END sla_due_date, "
     f"CASE WHEN a % 3 = 0 THEN {NOW} ELSE seen_at END discovered_at, {NOW} last_seen_at, {_plain}, "
@@ -457,8 +463,7 @@ say("t1_patch_status_audit", _audit, **UPDATES)
 # As a batch update the same change also has to keep every rule: the assignee must be a known user.
 say(
     "m2_action_history",
-    _audit + " AND mid NOT IN (SELECT action_id FROM refused)",
-    refused="SELECT action_id FROM patch_actions WHERE assigned_to_fk NOT IN (SELECT user_id FROM users)",
+    _audit + " AND (who IS NULL OR EXISTS (SELECT 1 FROM users u WHERE u.user_id = who))",
     **UPDATES,
 )
 _feed_audit = (
@@ -560,7 +565,7 @@ def _deletion() -> tuple[dict[str, str], str]:
     for name, spec in TABLES.items():
         tests = [start[name]] if name in start else []
         tests += [
-            f"{r.column} IN (SELECT k FROM gone_{r.parent})"
+            f"EXISTS (SELECT 1 FROM gone_{r.parent} g WHERE g.k = {name}.{r.column})"
             for r in spec.references
             if r.on_delete == "cascade" and f"gone_{r.parent}" in ctes
         ]

@@ -113,7 +113,7 @@ BOUND = {
     "software_vulnerabilities": (
         "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)",
         {
-            "sw_vuln_id": "l_partkey * 10000 + l_suppkey",
+            "sw_vuln_id": "l_partkey * 200000 + l_suppkey",
             "software_id_fk": "l_suppkey",
             "vuln_id_fk": "l_partkey",
         },
@@ -122,7 +122,7 @@ BOUND = {
         "(SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) p "
         "WHERE o_custkey IN (SELECT asset_id FROM assets)",
         {
-            "install_id": "o_custkey * 10000 + l_suppkey",
+            "install_id": "o_custkey * 200000 + l_suppkey",
             "asset_id_fk": "o_custkey",
             "software_id_fk": "l_suppkey",
             "detected_by": "'scan'",
@@ -148,7 +148,7 @@ BOUND = {
         "min(ship) due FROM sightings GROUP BY ALL) f JOIN assets a ON a.asset_id = f.a_id "
         "JOIN vulnerabilities v ON v.vuln_id = f.v_id",
         {
-            "finding_id": "f.a_id * 10000000000 + f.p_id",
+            "finding_id": "f.a_id * 500000000000 + f.p_id",
             "asset_id_fk": "f.a_id",
             "sw_vuln_id_fk": "f.p_id",
             "scan_source_id_fk": "CASE WHEN f.a_id % 6 <> 0 THEN a.org_id_fk * 10 + f.a_id % 2 END",
@@ -189,7 +189,7 @@ BOUND = {
 }
 
 SIGHTINGS = (
-    "SELECT o_custkey asset_id_fk, l_partkey * 10000 + l_suppkey sw_vuln_id_fk, l_partkey v_id, "
+    "SELECT o_custkey asset_id_fk, l_partkey * 200000 + l_suppkey sw_vuln_id_fk, l_partkey v_id, "
     "CASE l_returnflag WHEN 'N' THEN CASE l_linestatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'In Progress' "
     "ELSE 'False Positive' END WHEN 'A' THEN CASE l_linestatus WHEN 'O' THEN 'Pending Retest' WHEN 'F' "
     "THEN 'Remediated' ELSE 'False Positive' END WHEN 'R' THEN CASE l_linestatus WHEN 'O' THEN 'Accepted Risk' "

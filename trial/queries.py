@@ -95,7 +95,7 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "snapshots")
     for back in (30, 0, 0):
         write_snapshots(snapshots.refresh_risk_snapshots(t, AS_OF - timedelta(days=back)), path)
-    return read_table(spark, path, "risk_score_snapshots").where(F.col("snapshot_date") == F.lit(AS_OF))
+    return read_table(spark, path, "risk_score_snapshots")
 
 
 job("r1_findings_by_severity")(reports.findings_by_severity)
