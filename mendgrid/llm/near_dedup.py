@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendgrid.llm.common import keep, texts
@@ -99,29 +99,51 @@ def _shingles(words: int):
     return run
 
 
-def _rare_shingle_pairs(open_: DataFrame, whole: DataFrame, words: int, percent: int, size_ok) -> DataFrame:
-    """Pairs (a, b) of classes of different parts that can reach ``percent``, by an exact prefix filter.
+def _size_class(n: Column) -> Column:
+    """Sizes in steps of four percent."""
+    return F.floor(F.log(n.cast("double")) * 25)
 
-    With all shingles in one order, rarest first, two sets of that similarity share one of the first
-    n - ceil(percent * n / 100) + 1 of each. Classes meet under those shingles only, so what very many of
-    them have in common brings none together. Under one shingle the largest part is joined with the
-    others only, never with itself.
+
+def _rare_shingle_pairs(open_: DataFrame, whole: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different parts that can reach ``percent``, by exact filters.
+
+    All shingles have one order, rarest first. If the first shingle that two sets share is the i-th of one
+    and the j-th of the other, they share at most 1 + min(n_a - i, n_b - j), and must share
+    percent * (n_a + n_b) / (100 + percent). Classes meet under shingles early enough for that, and by sizes:
+    a class stands under each shingle once for every size class of partners that could still reach the
+    bound from there. So texts that have much in common, but not enough, stand under few common keys.
+    Under one key the largest part is joined with the others only, never with itself.
     """
     held = open_.select("class", "part", "n").distinct()
     words_of = whole.join(held.select("class"), "class").select("class", "text").mapInArrow(_shingles(words), "class binary, shingles array<long>")
     each = keep(words_of.select("class", F.explode("shingles").alias("shingle")), "shingles")
-    # Shingles of one class only can't bring two together, but they fill its prefix: they rank as 1.
+    # Shingles of one class only can't bring two together, but they fill its front: they rank as 1.
     common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(common, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("class").orderBy("df", "shingle"))
-    prefix = ranked.withColumn("place", place).join(held, "class").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = keep(prefix.where("df > 1").select("shingle", "class", "part", "n"), "prefix")
-    sizes = prefix.groupBy("shingle", "part").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("shingle").agg(F.max_by("part", F.struct("m", "part")).alias("major"), F.count("*").alias("parts"))
-    prefix = prefix.join(largest.where("parts > 1").drop("parts"), "shingle")
-    other = prefix.where("part <> major").select("shingle", F.col("class").alias("b"), F.col("part").alias("p_part"), F.col("n").alias("p_n"))
-    once = (F.col("part") == F.col("major")) | (F.col("class") < F.col("b"))
-    return prefix.join(other, "shingle").where(once & (F.col("part") != F.col("p_part")) & size_ok).select(F.col("class").alias("a"), "b")
+    n, rest = F.col("n"), F.col("n") - F.col("place") + 1  # shingles from this one on
+    smallest, largest = F.ceil(n * percent / 100), F.floor(n * 100 / percent)
+    least_size = F.greatest(smallest, F.ceil(F.exp(F.col("want") / 25.0) * (1 - 1e-9)))
+    front = ranked.withColumn("place", place).join(held, "class").where("df > 1").where(rest >= smallest)
+    front = (
+        front.withColumn("rest", rest).withColumn("own", _size_class(n))
+        .withColumn("want", F.explode(F.sequence(_size_class(smallest), _size_class(largest))))
+        .where(F.col("rest") * (100 + percent) >= (n + least_size) * percent)
+        .select("shingle", F.least("own", "want").alias("low"), F.greatest("own", "want").alias("high"), "own", "class", "part", "n", "rest")
+    )
+    front = keep(front, "front")
+    key = ["shingle", "low", "high"]
+    sizes = front.groupBy(*key, "part").agg(F.count("*").alias("m"))
+    major = sizes.groupBy(key).agg(F.max_by("part", F.struct("m", "part")).alias("major"), F.count("*").alias("parts"))
+    front = front.join(major.where("parts > 1").drop("parts"), key).withColumn("want", F.col("low") + F.col("high") - F.col("own"))
+    left = front.select("shingle", "own", "want", F.col("class").alias("a"), "part", "n", "rest", "major")
+    right = front.where("part <> major").select(
+        "shingle", F.col("want").alias("own"), F.col("own").alias("want"),
+        F.col("class").alias("b"), F.col("part").alias("p_part"), F.col("n").alias("p_n"), F.col("rest").alias("p_rest"),
+    )
+    once = (F.col("part") == F.col("major")) | (F.col("a") < F.col("b"))
+    enough = F.least("rest", "p_rest") * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent
+    return left.join(right, ["shingle", "own", "want"]).where(once & (F.col("part") != F.col("p_part")) & enough).select("a", "b")
 
 
 JUDGED = "a binary, b binary, shared long, total long"
@@ -199,7 +221,7 @@ def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds
             near = open_.join(pivot, "bucket")
             pairs = near.where((F.col("part") != F.col("p_part")) & size_ok).select(F.col("class").alias("a"), F.col("pivot").alias("b"))
         else:
-            pairs = _rare_shingle_pairs(open_, whole, words, percent, size_ok)
+            pairs = _rare_shingle_pairs(open_, whole, words, percent)
         judged = judge(pairs.distinct())
         found = judged.where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
         links = found if links is None else links.unionByName(found)
