@@ -70,16 +70,33 @@ def _running(df: DataFrame, keys: list[str], order: list[str], what: str) -> Col
 
 def schedule(spark, plan: list[tuple[str | None, int, float]], block: int) -> DataFrame:
     """``slot, source_no, rank``: which block number of its source each slot of the mix takes. Slots are
-    mapped in chunks; ranks are counted in a chunk and offset by the chunks before it."""
+    mapped in chunks; ranks are counted in a chunk and offset by the chunks before it. The points give a
+    source a few slots more or less than its target; what is missing is appended, so all targets are met."""
     total = sum(t for _, _, t in plan)
     slots = int(-(-total // block))
     cumulative = (np.cumsum([t for _, _, t in plan]) / total).tolist() if total else []
     chunks = spark.range(-(-slots // CHUNK))
     points = chunks.mapInArrow(_slots(cumulative, slots), SLOTS)
-    counts = points.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("before", _running(counts, ["source_no"], ["chunk"], "n")).drop("n")
+    counts = keep(points.groupBy("source_no", "chunk").agg(F.count("*").alias("n")), "slot_counts")
+    have = np.zeros(len(plan), np.int64)
+    for r in counts.groupBy("source_no").agg(F.sum("n").alias("n")).collect():
+        have[r["source_no"]] = r["n"]
+    before = counts.withColumn("before", _running(counts, ["source_no"], ["chunk"], "n")).drop("n")
     # Both sides grow with the mix, which the planner can't see behind Arrow: no broadcast.
-    return points.join(counts.hint("merge"), ["source_no", "chunk"]).select("slot", "source_no", (F.col("before") + F.col("chunk_rank")).alias("rank"))
+    drawn = points.join(before.hint("merge"), ["source_no", "chunk"]).select("slot", "source_no", (F.col("before") + F.col("chunk_rank")).alias("rank"))
+    missing = spark.createDataFrame(_missing(plan, have, slots, block), "slot long, source_no int, rank long")
+    return drawn.unionByName(missing)
+
+
+def _missing(plan: list[tuple[str | None, int, float]], have: np.ndarray, slots: int, block: int) -> list[tuple[int, int, int]]:
+    """(slot, source_no, rank) of the blocks that a source's target holds beyond its ``have`` slots. They
+    follow the last slot, a block of each short source in turn."""
+    need = np.array([-(-int(t) // block) for _, _, t in plan], np.int64)
+    short = np.maximum(need - have, 0)
+    source = np.repeat(np.arange(len(plan)), short)
+    nth = np.arange(len(source)) - np.repeat(np.cumsum(short) - short, short)
+    by = np.lexsort((source, nth))
+    return list(zip(range(slots, slots + len(by)), source[by].tolist(), (have[source] + nth)[by].tolist(), strict=True))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, rows_per_bin: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     A source's documents are shuffled by hash and its stream is cut into equal blocks of ``block`` words;
     the stream repeats after its end, so block r covers words r * block to (r + 1) * block of the repeated
-    stream. The schedule gives slot by slot the next block of a source. A source stops at its target, cut
+    stream. The schedule gives slot by slot the next block of a source. A source reaches its target, cut
     to the word, and a target is at most ``most`` times its size, so no word is taken more often.
 
     Sizes are words; null text has none and an empty document takes part without words. Null source is

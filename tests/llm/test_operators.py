@@ -205,6 +205,36 @@ def test_mix(docs, none):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mix_meets_small_targets(spark):
+    """One large source and many of less than a few blocks: each target is met to the word."""
+    r = random.Random(11)
+    rows = [(i, " ".join(["w"] * 500), "large") for i in range(60)]
+    rows += [(1000 + i, " ".join(["v"] * r.randint(20, 300)), f"tiny{i:03}") for i in range(150)]
+    small = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    plan = {s: t for s, _, t in mixing.targets(list(size.items()), [3, 1, 2], 1.5, 2.0)}
+    source = {i: s for i, _, s in rows}
+    by = collections.Counter()
+    documents, pieces = mixing.mix(small)
+    for x in mixing.taken(documents, pieces).collect():
+        by[source[x["doc_id"]]] += x["taken"]
+    assert {s: by[s] for s in plan} == {s: int(t) for s, t in plan.items()}
+    slots = {(x["slot"], source[x["doc_id"]]) for x in pieces.collect()}
+    assert len({s for s, _ in slots}) == len(slots)
+    # As documents: every one of a source taken twice comes twice, with all its words.
+    texts = {i: t for i, t, _ in rows}
+    found = collections.Counter((x["doc_id"], x["text"]) for x in mixing.mixed(small).collect())
+    for i, s in source.items():
+        if plan[s] == 2 * size[s]:
+            assert found[i, texts[i]] == 2
+    words = collections.Counter()
+    for (i, t), n in found.items():
+        words[source[i]] += n * len(t.split())
+    assert words == by
+
+
 def test_shards(docs, none):
     found = kd_sharding.shard(docs, shards=4).collect()
     assert len(found) == len(rows_of())
