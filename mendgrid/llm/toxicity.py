@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine on a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over all their terms."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from mendgrid.llm.shingles import batches, shingle_sets
 
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+CANDIDATES = 64  # examples that are scored whole once no other can be among the nearest
 
 
 def terms_of(word: str) -> list[str]:
@@ -31,14 +31,17 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Index:
-    """Postings of the examples by term, with the largest weight of each term in each block of examples."""
+    """Postings of the examples by term and terms by example, with the largest weight of each term."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    start: np.ndarray  # of the postings of (term, block), terms * blocks + 1
+    idf: np.ndarray  # times the weight of the term by class
+    start: np.ndarray  # of the postings of a term, terms + 1
     example: np.ndarray
     weight: np.ndarray
-    most: np.ndarray  # terms * blocks
+    most: np.ndarray  # by term
+    own_start: np.ndarray  # of the terms of an example, examples + 1
+    own_term: np.ndarray
+    own_weight: np.ndarray
     doc_ids: np.ndarray
     toxic: np.ndarray
     neighbours: int
@@ -46,28 +49,46 @@ class Index:
     scores: np.ndarray
     alone: float  # score without any neighbour
 
+    def __post_init__(self):
+        self._query = np.zeros(len(self.terms))  # of the query at hand, all 0 between queries
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in ids.tolist()])) * self.idf[ids]
+        return self.weighted(ids, np.array([counts[i] for i in ids.tolist()], float))
+
+    def weighted(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[ids]
         return ids, w / np.sqrt((w * w).sum())
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The ``neighbours`` examples with the largest cosine, exactly; ties go to the lower number. Blocks
-        are visited by their upper bound, until that is below the last neighbour."""
-        blocks = self.most.shape[1]
-        bounds = w @ self.most[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == self.neighbours and bounds[b] < -best[-1][0] - 1e-12:
+        """The ``neighbours`` examples with the largest cosine, exactly; ties go to the lower number. Terms
+        are added by the most they can add, until what the rest can add leaves few candidates; these are
+        then scored over all terms."""
+        bounds = w * self.most[ids]
+        by = np.argsort(-bounds, kind="stable")
+        rest = np.concatenate([np.cumsum(bounds[by][::-1])[::-1], [0.0]])
+        found = np.zeros(len(self.doc_ids))
+        if skip >= 0:
+            found[skip] = -np.inf
+        at, step, left = 0, 16, np.empty(0, np.int64)
+        while at < len(by):
+            part = by[at : at + step]
+            at, step = at + len(part), 2 * step
+            places, sizes = _ranges(self.start, ids[part])
+            found += np.bincount(self.example[places], np.repeat(w[part], sizes) * self.weight[places], len(found))
+            last = max(0.0, np.partition(found, -self.neighbours)[-self.neighbours]) if len(found) > self.neighbours else 0.0
+            if at < len(by) and last <= rest[at]:
+                continue  # an example without any of the terms so far could still be near
+            left = np.flatnonzero(found >= last - rest[at] - 1e-9)
+            if len(left) <= CANDIDATES:
                 break
-            found = np.zeros(BLOCK)
-            for t, q in zip(ids.tolist(), w.tolist(), strict=True):
-                a, z = self.start[t * blocks + b], self.start[t * blocks + b + 1]
-                found[self.example[a:z] - b * BLOCK] += q * self.weight[a:z]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                found[skip - b * BLOCK] = 0
-            best = sorted([*best, *((-float(found[i]), b * BLOCK + i) for i in np.flatnonzero(found).tolist())])[: self.neighbours]
-        return [(-s, i) for s, i in best]
+        places, sizes = _ranges(self.own_start, left)
+        self._query[ids] = w
+        shared = self._query[self.own_term[places]] * self.own_weight[places]
+        self._query[ids] = 0
+        scores = np.bincount(np.repeat(np.arange(len(left)), sizes), shared, len(left))
+        order = np.lexsort((left, -scores))[: self.neighbours]
+        return [(s, i) for s, i in zip(scores[order].tolist(), left[order].tolist(), strict=True) if s > 0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Votes weighted by 1 / (distance + 0.1), with distance 1 - cosine."""
@@ -75,19 +96,30 @@ class Index:
         return sum(w * self.toxic[i] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight)
 
     def score(self, text: str, cache: dict[str, tuple[int, ...]]) -> tuple[float, list[tuple[float, int]]]:
-        counts: Counter[int] = Counter()
+        found: list[int] = []
+        times: list[int] = []
         for word, n in Counter(_WORDS.findall(text.lower())).items():
             got = cache.get(word)
             if got is None:
                 got = cache[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for t in got:
-                counts[t] += n
-        near = self.nearest(*self.vector(counts)) if counts else []
+            found += got
+            times += [n] * len(got)
+        near = []
+        if found:
+            ids, place = np.unique(np.array(found, np.int64), return_inverse=True)
+            near = self.nearest(*self.weighted(ids, np.bincount(place, times)))
         if not near:
             return self.alone, []
         return float(self.scores[np.searchsorted(self.steps, self.vote(near), side="right")]), near
 
 
+def _ranges(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from start[i] to start[i + 1] for each i, in a row, and how many each has."""
+    sizes = start[of + 1] - start[of]
+    ends = np.cumsum(sizes)
+    return np.repeat(start[of] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of the batch hold a term, and how many of them are toxic."""
     for batch in rows:
@@ -108,6 +140,29 @@ def _least_shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["text", "toxic", "doc_id", "sketch"])
 
 
+def _held_by(terms: dict[str, int]):
+    """How many texts hold each of the terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(terms), np.int64)
+        cache: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if len(cache) > 500_000:
+                    cache.clear()
+                found: set[int] = set()
+                for word in set(_WORDS.findall(text.lower())):
+                    got = cache.get(word)
+                    if got is None:
+                        got = cache[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
+                    found.update(got)
+                n[list(found)] += 1
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], ["term", "n"])
+
+    return run
+
+
 def _vectors(terms: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,13 +198,14 @@ def rising(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return steps, scores
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, share: float = 0.01, odds: float = 4.0, sure: float = 3.0, most_terms: int = 20_000, neighbours: int = 15) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float = 3.0, neighbours: int = 15) -> Index:
     """An index of at most ``per_class`` labelled examples of either class, taken in hash order from the
     rows that aren't held out; near copies of an example (same least hash of five words) are left out.
 
-    A term counts if it's in at least ``share`` of either class (and in five examples) and its odds differ
-    by the factor ``odds``, and ``sure`` standard errors, between the classes. Inputs are texts and labels alone. Without examples of
-    both classes, every text scores the share of toxic examples, or 0 without any.
+    Every term of the examples counts. Its idf is over all documents, and its weight rises with the odds
+    ratio z between the classes: the log of the ratio times z^2 / (z^2 + sure^2), where z is that log in
+    standard errors, and a little for a term that tells nothing. Inputs are texts and labels alone.
+    Without examples of both classes, every text scores the share of toxic examples, or 0 without any.
     """
     train = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     train = train.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -162,32 +218,42 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, share: float
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     counted = sample.select("text", "toxic").mapInArrow(_count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    a, b = F.col("toxic"), F.col("n") - F.col("toxic")
-    ratio = ((a + 0.5) * (n0 - b + 0.5)) / ((b + 0.5) * (n1 - a + 0.5))
-    error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-    useful = counted.where((F.col("n") >= 5) & ((a >= share * n1) | (b >= share * n0))).select("term", "n", F.abs(F.log(ratio)).alias("odds"), error.alias("error"))
-    useful = useful.where((F.col("odds") >= float(np.log(odds))) & (F.col("odds") >= sure * F.col("error"))).orderBy(F.desc("odds"), "term").limit(most_terms).select("term", "n").collect() if n0 and n1 else []
-    terms = {r["term"]: i for i, r in enumerate(useful)}
-    idf = np.log((n0 + n1 + 1) / (np.array([r["n"] for r in useful], float) + 1)) + 1
-    found = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms), "doc_id long, toxic int, ids array<long>, counts array<long>").collect()
-    found.sort(key=lambda r: (r["toxic"], r["doc_id"]))
-    index = Index(terms, idf, *[np.empty(0)] * 4, np.array([r["doc_id"] for r in found]), np.array([r["toxic"] for r in found], float), neighbours, np.empty(0), np.zeros(1), 0.0)
-    vectors = [index.vector(dict(zip(r["ids"], r["counts"], strict=True))) if r["ids"] else (np.empty(0, np.int64), np.empty(0)) for r in found]
-    blocks = max(1, -(-len(found) // BLOCK))
+    known = counted.toArrow().sort_by("term") if n0 and n1 else None
+    terms = {t: i for i, t in enumerate(known["term"].to_pylist())} if known else {}
+    idf = np.empty(0)
+    if terms:
+        a, b = (x.astype(float) for x in (known["toxic"].to_numpy(), known["n"].to_numpy() - known["toxic"].to_numpy()))
+        odds = np.abs(np.log((a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))))
+        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
+        held = np.zeros(len(terms))
+        every = texts(docs).select("text").mapInArrow(_held_by(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        held[every["term"].to_numpy()] = every["n"].to_numpy()
+        idf = (np.log((docs.count() + 1) / (held + 1)) + 1) * (odds * z**2 / (z**2 + sure**2) + 0.01)
+    found = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms), "doc_id long, toxic int, ids array<long>, counts array<long>").toArrow()
+    found = found.sort_by([("toxic", "ascending"), ("doc_id", "ascending")])
+    ids, counts = found["ids"].combine_chunks(), found["counts"].combine_chunks()
+    toxic = found["toxic"].to_numpy().astype(float)
+    none = np.empty(0)
+    index = Index(terms, idf, *[none] * 7, found["doc_id"].to_numpy(), toxic, neighbours, none, np.zeros(1), 0.0)
+    vectors = []
+    for i in range(len(found)):
+        own, times = ids[i].values.to_numpy(), counts[i].values.to_numpy().astype(float)
+        by = np.argsort(own)
+        vectors.append(index.weighted(own[by], times[by]) if len(own) else (np.empty(0, np.int64), np.empty(0)))
     term = np.concatenate([np.empty(0, np.int64), *(v[0] for v in vectors)])
     weight = np.concatenate([np.empty(0), *(v[1] for v in vectors)])
-    example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-    by = np.lexsort((example, term))
-    cells = term[by] * blocks + example[by] // BLOCK
+    lengths = [len(v[0]) for v in vectors]
+    example = np.repeat(np.arange(len(vectors), dtype=np.int32), lengths)
+    index.own_start, index.own_term, index.own_weight = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64), term.astype(np.int32), weight
+    by = np.argsort(term, kind="stable")
     index.example, index.weight = example[by], weight[by]
-    index.start = np.searchsorted(cells, np.arange(len(terms) * blocks + 1))
-    index.most = np.zeros((len(terms), blocks))
-    np.maximum.at(index.most.reshape(-1), cells, index.weight)
+    index.start = np.searchsorted(term[by], np.arange(len(terms) + 1))
+    index.most = np.maximum.reduceat(index.weight, index.start[:-1]) if terms else none
     # Calibration on the examples themselves, each without its own vote and weighed by the size of its class.
     scale = {y: sizes.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)}
     votes, ys, ws, alone = [], [], [], [0.0, 0.0]
     for i, (ids, w) in enumerate(vectors):
-        y = int(found[i]["toxic"])
+        y = int(toxic[i])
         near = index.nearest(ids, w, skip=i) if len(ids) else []
         if near:
             votes.append(index.vote(near))

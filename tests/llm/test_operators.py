@@ -296,6 +296,28 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs, toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 901
 
 
+def test_toxicity_keeps_rare_terms(spark):
+    """Every term of the examples counts, and neighbours are those of all cosines."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(WORDS) + r.choice("abcd") for _ in range(30)) + f" only{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    words = {w for i, t in rows if i in index.doc_ids for w in t.split()}
+    assert len(words) > 80 and all(w in index.terms for w in words)
+    full = np.zeros((len(index.doc_ids), len(index.terms)))
+    for i in range(len(full)):
+        at = slice(index.own_start[i], index.own_start[i + 1])
+        full[i, index.own_term[at]] = index.own_weight[at]
+    for _, text in rows[:60]:
+        counts = collections.Counter(index.terms[t] for w in text.split() for t in toxicity.terms_of(w) if t in index.terms)
+        ids, w = index.vector(counts)
+        cosines = full[:, ids] @ w
+        near = index.nearest(ids, w)
+        assert [s for s, _ in near] == pytest.approx(sorted(cosines, reverse=True)[:15])
+        assert all(cosines[i] == pytest.approx(s) for s, i in near)
+
+
 def test_personal_data(spark, none):
     text = "Mail é john.46@mail3.example.com, or +1 (269) 555-3296 4111 1111 1111 1111; at 10.0.255.7 not 10.0.256.7 x@y"
     base = personal_data.base_spans(text)
