@@ -137,7 +137,18 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _least_shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         least = [int(s[0].view(np.int64)) if len(s) else 0 for _, data in batches(batch.column(0).to_pylist()) for s in shingle_sets(data, 5)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], ["text", "toxic", "doc_id", "sketch"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "sketch"])
+
+
+def _not_near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text shares less than 0.8 of the five-word shingles of both with the text beside it."""
+    for batch in rows:
+        sets = [[s for _, data in batches([t or "" for t in batch.column(c).to_pylist()]) for s in shingle_sets(data, 5)] for c in (0, 1)]
+        far = []
+        for a, b, first in zip(*sets, batch.column(1).to_pylist(), strict=True):
+            both = len(np.intersect1d(a, b, assume_unique=True)) if first is not None else 0
+            far.append(both == 0 or 100 * both < 80 * (len(a) + len(b) - both))
+        yield batch.filter(pa.array(far, pa.bool_())).drop_columns(["first"])
 
 
 def _held_by(terms: dict[str, int]):
@@ -198,9 +209,36 @@ def rising(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return steps, scores
 
 
+def examples(docs: DataFrame, train: DataFrame, per_class: int) -> DataFrame:
+    """``text, toxic, doc_id`` of the first ``per_class`` examples of either class in hash order, without
+    those that repeat an earlier one's text or are verified near copies of the first with their least hash."""
+    order = F.xxhash64("l_id", F.lit(8))
+    taken = per_class + per_class // 4
+    while True:
+        # Later rows never decide about earlier ones, so the start of the order is enough if it holds enough.
+        picked = [train.where(F.col("toxic") == y).orderBy(order, "l_id").limit(taken) for y in (0, 1)]
+        picked = keep(picked[0].unionByName(picked[1]), "picked")
+        more = {r["toxic"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["n"] >= taken}
+        rows = texts(docs).join(picked, F.col("doc_id") == F.col("l_id")).select("text", "toxic", F.struct(order.alias("h"), "doc_id").alias("at"))
+        kind = "at struct<h: long, doc_id: long>"
+        once = rows.groupBy("text", "toxic").agg(F.min("at").alias("at")).select("text", "toxic", "at")
+        once = keep(once.mapInArrow(_least_shingle, f"text string, toxic int, {kind}, sketch long"), "labelled")
+        first = once.groupBy("sketch", "toxic").agg(F.min("at").alias("first_at"), F.count("*").alias("n")).where("n > 1").drop("n")
+        first = first.join(once, ["sketch", "toxic"]).where("at = first_at").select("sketch", "toxic", "first_at", F.col("text").alias("first"))
+        beside = once.join(first, ["sketch", "toxic"], "left")
+        beside = beside.select("text", F.when(F.col("at") != F.col("first_at"), F.col("first")).alias("first"), "toxic", "at")
+        apart = keep(beside.mapInArrow(_not_near, f"text string, toxic int, {kind}"), "apart")
+        n = {r["toxic"]: r["n"] for r in apart.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if all(n.get(y, 0) >= per_class for y in more):
+            break
+        taken *= 4
+    best = [apart.where(F.col("toxic") == y).orderBy("at").limit(per_class) for y in (0, 1)]
+    return keep(best[0].unionByName(best[1]).select("text", "toxic", F.col("at.doc_id").alias("doc_id")), "examples")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float = 3.0, neighbours: int = 15) -> Index:
     """An index of at most ``per_class`` labelled examples of either class, taken in hash order from the
-    rows that aren't held out; near copies of an example (same least hash of five words) are left out.
+    rows that aren't held out, after copies and verified near copies.
 
     Every term of the examples counts. Its idf is over all documents, and its weight rises with the odds
     ratio z between the classes: the log of the ratio times z^2 / (z^2 + sure^2), where z is that log in
@@ -210,11 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
     train = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     train = train.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("l_id", F.lit(8))
-    picked = [train.where(F.col("toxic") == y).orderBy(order, "l_id").limit(per_class) for y in (0, 1)]
-    rows = texts(docs).join(picked[0].unionByName(picked[1]), F.col("doc_id") == F.col("l_id"))
-    sample = keep(rows.select("text", "toxic", "doc_id").mapInArrow(_least_shingle, "text string, toxic int, doc_id long, sketch long"), "labelled")
-    sample = keep(sample.groupBy("sketch", "toxic").agg(F.min_by(F.struct("doc_id", "text"), F.struct("doc_id", "text")).alias("x")).select("x.text", "toxic", "x.doc_id"), "examples")
+    sample = examples(docs, train, per_class)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     counted = sample.select("text", "toxic").mapInArrow(_count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))

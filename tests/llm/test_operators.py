@@ -318,6 +318,23 @@ def test_toxicity_keeps_rare_terms(spark):
         assert all(cosines[i] == pytest.approx(s) for s, i in near)
 
 
+def test_toxicity_drops_verified_copies_only(spark):
+    """Texts that share a passage stay; copies take no places of the limit."""
+    r = random.Random(4)
+    make = lambda n: " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(n))
+    passage, same = make(60), make(90)
+    texts = [f"{passage} {make(60)}" for _ in range(60)] + ["", " ", "."] + [same] * 80 + [f"{same} {make(1)}" for _ in range(20)] + [make(40) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = spark.range(len(texts)).select(F.col("id").alias("doc_id"))
+    kept = {x["doc_id"] for x in ids.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+    index = toxicity.fit(docs, ids.withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int")))
+    apart = {i for i in kept if i < 63 or i >= 163}
+    assert apart <= set(index.doc_ids.tolist()) and len(index.doc_ids) <= len(apart) + 2 * 3
+    few = toxicity.fit(docs, ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int")), per_class=30)
+    assert collections.Counter(few.toxic.tolist()) == {0: 30, 1: 30}
+    assert len({texts[i] for i in few.doc_ids[few.toxic == 1]}) == 30
+
+
 def test_personal_data(spark, none):
     text = "Mail é john.46@mail3.example.com, or +1 (269) 555-3296 4111 1111 1111 1111; at 10.0.255.7 not 10.0.256.7 x@y"
     base = personal_data.base_spans(text)
