@@ -173,13 +173,13 @@ def _variants(text: str, words: list[tuple[int, int]], gold: list[Span]) -> Iter
 
 
 def fit(docs: DataFrame, most: int = 3000) -> Weights:
-    """A field trained on the islands of at most ``most`` documents, the first in hash order of those with
+    """A field trained on all distinct islands of at most ``most`` documents, the first in hash order of those with
     a digit or an @; their fixed spans are the labels. An empty table gives no weights, hence no spans."""
     marked = texts(docs).where(F.col("text").rlike("[0-9@]"))
     picked = marked.select(F.xxhash64("doc_id", "text", F.lit(10)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(most)
     rows = texts(docs).withColumn("h", F.xxhash64("doc_id", "text", F.lit(10))).join(picked.select("h").distinct(), "h")
     kept = rows.select("text").mapInArrow(_training, "island string, starts array<int>, ends array<int>, kinds array<string>, s array<int>, e array<int>")
-    found = kept.distinct().orderBy("island").limit(2 * most).collect()
+    found = kept.distinct().orderBy("island").collect()
     examples = []
     for r in found:
         examples += _variants(r["island"], list(zip(r["starts"], r["ends"], strict=True)), list(zip(r["kinds"], r["s"], r["e"], strict=True)))

@@ -335,6 +335,16 @@ def test_toxicity_drops_verified_copies_only(spark):
     assert len({texts[i] for i in few.doc_ids[few.toxic == 1]}) == 30
 
 
+def test_training_islands_are_not_cut(spark, monkeypatch):
+    """Documents with many islands train the field on all of them, not on the first in the alphabet."""
+    many = [" and ".join(f"{100 * d + i}" for i in range(40)) + f" and zoe{d}@mail{d}.example.com" for d in range(4)]
+    seen = []
+    monkeypatch.setattr(personal_data, "train", lambda examples: seen.extend(examples) or {})
+    personal_data.fit(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"), most=4)
+    assert len(seen) == 4 * 41
+    assert sum(kind == "email" for _, _, gold in seen for kind, _, _ in gold) == 4
+
+
 def test_personal_data(spark, none):
     text = "Mail é john.46@mail3.example.com, or +1 (269) 555-3296 4111 1111 1111 1111; at 10.0.255.7 not 10.0.256.7 x@y"
     base = personal_data.base_spans(text)
