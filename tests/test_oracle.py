@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tests.compare import differences, duck
@@ -28,5 +29,13 @@ def test_job_equals_sql(spark, con, name):
     assert differences(df, con, contract.oracle_sql()[name]) == []
 
 
+def test_stored_ingest_meets_the_real_keys(spark):
+    """The jobs on the stored findings see every key of the feed, not a folded part of them."""
+    found = contract.queries()["p1_record_stored_findings"](spark, SF)
+    n = {r["outcome"]: r["n"] for r in found.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    assert set(n) == {"touched", "rejected_closed", "rejected_fk", "inserted"}
+    assert found.select("asset_id_fk").distinct().count() > 100
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 5

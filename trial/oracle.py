@@ -399,6 +399,49 @@ say(
     f"CAST(NULL AS VARCHAR) evidence_snippet, {_texts} FROM context WHERE pair IS NOT NULL",
     **INGEST,
 )
+# The same jobs on the feed's own keys, against the stored findings.
+STORED = {
+    **INGEST,
+    "feed": (
+        "SELECT asset_id_fk a, sw_vuln_id_fk pair, v_id v, seen_at, (asset_id_fk % 24) * 10 + v_id % 2 src, "
+        "'host ' || asset_id_fk evidence FROM sightings"
+    ),
+    "known": f"SELECT * FROM scan_findings WHERE discovered_at < {AS_OF} OR (asset_id_fk + sw_vuln_id_fk) % 3 <> 0",
+    "outcomes": (
+        "SELECT c.a asset_id_fk, c.pair sw_vuln_id_fk, CASE WHEN k.status IN ('Remediated', 'False Positive') "
+        "THEN 'rejected_closed' WHEN k.finding_id IS NOT NULL THEN 'touched' WHEN asset_id IS NULL OR sw_vuln_id IS NULL "
+        "OR src NOT IN (SELECT source_id FROM scan_sources) THEN 'rejected_fk' ELSE 'inserted' END outcome, "
+        "c.a * 500000000000 + c.pair finding_id, "
+        "CASE WHEN k.finding_id IS NULL THEN src ELSE k.scan_source_id_fk END scan_source_id_fk, "
+        "coalesce(k.status, 'Open') status, CASE WHEN k.finding_id IS NULL THEN risk ELSE k.risk_score END risk_score, "
+        "CASE WHEN k.finding_id IS NULL THEN CAST(c.seen_at AS DATE) + sla_days ELSE k.sla_due_date END sla_due_date, "
+        "coalesce(k.discovered_at, c.seen_at) discovered_at, CASE WHEN k.status IN ('Remediated', 'False Positive') "
+        "THEN k.last_seen_at ELSE greatest(k.last_seen_at, c.t1) END last_seen_at, "
+        "CASE WHEN k.finding_id IS NULL THEN evidence ELSE k.evidence_snippet END evidence_snippet, k.notes notes "
+        "FROM context c LEFT JOIN known k ON k.asset_id_fk = c.a AND k.sw_vuln_id_fk = c.pair"
+    ),
+}
+say("p1_record_stored_findings", _outcome, **STORED)
+say("s1_stream_stored_findings", _outcome, **STORED)
+say(
+    "p1_stored_findings_after",
+    "SELECT " + out("scan_findings", prefix="k.").replace(
+        "k.last_seen_at last_seen_at", "coalesce(o.last_seen_at, k.last_seen_at) last_seen_at"
+    ) + " FROM known k LEFT JOIN outcomes o ON o.finding_id = k.finding_id UNION ALL "
+    f"SELECT {out('scan_findings')} FROM (SELECT finding_id, asset_id_fk, sw_vuln_id_fk, scan_source_id_fk, status, "
+    f"risk_score, sla_due_date, discovered_at, last_seen_at, {_plain}, evidence_snippet, {_texts} "
+    "FROM outcomes WHERE outcome = 'inserted')",
+    **STORED,
+)
+say(
+    "t2_stored_pre_insert",
+    "SELECT a * 500000000000 + pair finding_id, a asset_id_fk, pair sw_vuln_id_fk, src scan_source_id_fk, 'Open' status, "
+    "CAST(CASE WHEN (a + pair) % 2 = 0 THEN 42 ELSE risk END AS DOUBLE) risk_score, "
+    f"CASE WHEN (a + pair) % 2 <> 0 THEN {AS_OF} + sla_days END sla_due_date, "
+    f"CASE WHEN a % 3 = 0 THEN {NOW} ELSE seen_at END discovered_at, {NOW} last_seen_at, {_plain}, "
+    f"CAST(NULL AS VARCHAR) evidence_snippet, {_texts} FROM context",
+    **STORED,
+)
 REQUESTS = {
     "requests": (
         "SELECT finding_id * 10 + 5 + j action_id, finding_id, h % 10 assigned_to, "

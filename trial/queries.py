@@ -141,6 +141,18 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.apply_outcomes(known["scan_findings"], ingest.record_scan_findings(known, batch))
 
 
+@job("p1_record_stored_findings")
+def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, batch = given.stored_inputs(spark, sf_dir, t)
+    return ingest.record_scan_findings(known, batch).drop(*INTERNAL)
+
+
+@job("p1_stored_findings_after")
+def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, batch = given.stored_inputs(spark, sf_dir, t)
+    return ingest.apply_outcomes(known["scan_findings"], ingest.record_scan_findings(known, batch))
+
+
 def _initiated(t: TableSet, spark: SparkSession) -> remediation.Initiated:
     return remediation.initiate_patch_actions(t, given.patch_requests(spark, t["scan_findings"]), NOW)
 
@@ -176,6 +188,12 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.finding_pre_insert(known, given.pre_insert_rows(batch, t["scan_sources"]), NOW)
 
 
+@job("t2_stored_pre_insert")
+def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, batch = given.stored_inputs(spark, sf_dir, t)
+    return ingest.finding_pre_insert(known, given.pre_insert_rows(batch, t["scan_sources"]), NOW)
+
+
 def _updated(t: TableSet, spark: SparkSession, table: str, rows: DataFrame) -> changes.Updated:
     return changes.update_batch(t, table, rows, NOW, work_dir(spark, "update"))
 
@@ -239,14 +257,44 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(RAW[name]).parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def in_parts(spark: SparkSession, sf_dir: str, name: str, parts: list[str], work: str, start: Callable) -> None:
+    """The rows of the table that meet each condition as a micro-batch of their own, in that order;
+    ``start`` takes the stream on from its checkpoint until it holds nothing more."""
+    for condition in parts:
+        raw(spark, sf_dir, name).where(condition).write.mode("append").parquet(f"{work}/in")
+        start(spark.readStream.schema(RAW[name]).parquet(f"{work}/in")).awaitTermination()
+
+
+# Unordered slices, one delivered twice.
+SLICES = [f"pmod(xxhash64(l_orderkey, l_linenumber), 3) = {i}" for i in (2, 0, 1, 0)]
+# Times in order, but for a part that comes late and one delivered twice.
+TIMES = [f"day(ts) div 8 = {i}" for i in (0, 2, 1, 3, 2)]
+
+
 @job("s1_stream_record_findings")
 def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     work = work_dir(spark, "s1")
     known, _batch = given.ingest_inputs(spark, sf_dir, t)
-    feed = given.rekeyed_feed(
-        sightings(stream_of(spark, sf_dir, "lineitem"), raw(spark, sf_dir, "orders")), t["software_vulnerabilities"]
-    )
-    sighting_stream.start_ingest(given.batch_of(feed), known, f"{work}/log", f"{work}/cp").awaitTermination()
+
+    def start(lines: DataFrame):
+        feed = given.rekeyed_feed(sightings(lines, raw(spark, sf_dir, "orders")), t["software_vulnerabilities"])
+        return sighting_stream.start_ingest(given.batch_of(feed), known, f"{work}/log", f"{work}/cp")
+
+    in_parts(spark, sf_dir, "lineitem", SLICES, work, start)
+    folded = sighting_stream.fold_changes(sighting_stream.read_changes(spark, f"{work}/log"))
+    return folded.drop(*INTERNAL)
+
+
+@job("s1_stream_stored_findings")
+def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = work_dir(spark, "s1")
+    known, _batch = given.stored_inputs(spark, sf_dir, t)
+
+    def start(lines: DataFrame):
+        feed = given.stored_feed(sightings(lines, raw(spark, sf_dir, "orders")))
+        return sighting_stream.start_ingest(given.batch_of(feed), known, f"{work}/log", f"{work}/cp")
+
+    in_parts(spark, sf_dir, "lineitem", SLICES, work, start)
     folded = sighting_stream.fold_changes(sighting_stream.read_changes(spark, f"{work}/log"))
     return folded.drop(*INTERNAL)
 
