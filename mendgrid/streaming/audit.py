@@ -45,7 +45,7 @@ def last_events(events: DataFrame) -> DataFrame:
 
 
 def audit_batch(batch: DataFrame, root: str, batch_id: int) -> None:
-    """Write the changes, the late events and the new last events of one micro-batch."""
+    """Write the changes, the events, the late ones apart, and the new last events of one micro-batch."""
     events = batch.select(*[f.name for f in EVENT_SCHEMA.fields]).persist()
     seen = read_batches(batch.sparkSession, f"{root}/last", EVENT_SCHEMA, before=batch_id)
     start = last_events(only_matching(seen, ["action_id"], events, ["action_id"]))
@@ -62,20 +62,35 @@ def audit_batch(batch: DataFrame, root: str, batch_id: int) -> None:
         start.select(F.col("event_id").alias("start_event")), F.col("event_id") == F.col("start_event"), "left_anti"
     )
     write_batch(changes, f"{root}/history", batch_id)
+    write_batch(fresh, f"{root}/fresh", batch_id)
     write_batch(judged.where("is_late").select(*events.columns), f"{root}/late", batch_id)
     write_batch(last_events(fresh), f"{root}/last", batch_id)
     events.unpersist()
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
+    """The changes as each micro-batch saw them; late events have none."""
     return read_batches(spark, f"{root}/history", HISTORY_SCHEMA)
 
 
 def read_late(spark: SparkSession, root: str) -> DataFrame:
-    """Events older than what their action already had; kept apart for a later batch derivation."""
+    """Events not newer than what their action already had; ``read_trail`` puts them in their places."""
     return read_batches(spark, f"{root}/late", EVENT_SCHEMA)
 
 
+def read_trail(spark: SparkSession, root: str) -> DataFrame:
+    """The trail with the late events in their places, equal to one batch derivation of all events: the
+    rows of an action with late events are derived anew from its events. A redelivered event is not late."""
+    columns = [f.name for f in EVENT_SCHEMA.fields]
+    fresh = read_batches(spark, f"{root}/fresh", EVENT_SCHEMA).select(*columns)
+    missed = read_late(spark, root).select(*columns).subtract(fresh)
+    actions = missed.select(F.col("action_id").alias("late_action")).distinct()
+    is_late = F.col("action_id") == F.col("late_action")
+    kept = read_history(spark, root).join(actions, is_late, "left_anti").select(*[f.name for f in HISTORY_SCHEMA.fields])
+    redone = status_changes(fresh.join(actions, is_late, "left_semi").unionByName(missed))
+    return kept.unionByName(redone)
+
+
 def start_audit(events: DataFrame, root: str, checkpoint_dir: str) -> StreamingQuery:
     """Audit everything the stream holds now and stop."""
     return (

@@ -118,6 +118,18 @@ def test_late_events_are_kept_apart(spark, tmp_path):
     assert rows(audit.read_late(spark, root), "event_id") == [(2,)]
 
 
+def test_trail_with_late_and_redelivered_events(spark, tmp_path):
+    root, rnd = str(tmp_path), random.Random(8)
+    events = [
+        (i, rnd.randrange(12), rnd.choice(["Pending", "Failed", "Completed", None]), T0 + timedelta(minutes=rnd.randrange(3000)))
+        for i in range(400)
+    ]
+    parts = [events[:100], events[200:], events[:40], events[100:200]]
+    for number, part in enumerate(parts):
+        audit.audit_batch(spark.createDataFrame(part, EVENT), root, number)
+    assert rows(audit.read_trail(spark, root), *HISTORY) == brute_force(events)
+
+
 def brute_force(events):
     by_action = defaultdict(list)
     for e in events:

@@ -302,9 +302,11 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
 @job("s2_stream_status_audit")
 def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
     work = work_dir(spark, "s2")
-    events = status_events(stream_of(spark, sf_dir, "events"))
-    audit_stream.start_audit(events, f"{work}/out", f"{work}/cp").awaitTermination()
-    return _with_reason(audit_stream.read_history(spark, f"{work}/out"))
+    in_parts(
+        spark, sf_dir, "events", TIMES, work,
+        lambda events: audit_stream.start_audit(status_events(events), f"{work}/out", f"{work}/cp"),
+    )
+    return _with_reason(audit_stream.read_trail(spark, f"{work}/out"))
 
 
 @job("s3_stream_daily_counts")
