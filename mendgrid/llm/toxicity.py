@@ -186,7 +186,7 @@ def _vectors(terms: dict[str, int]):
                             found[terms[t]] += n
                 ids.append(list(found))
                 counts.append(list(found.values()))
-            arrays = [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
+            arrays = [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "ids", "counts"])
 
     return run
@@ -262,8 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
         held = np.zeros(len(terms))
         every = texts(docs).select("text").mapInArrow(_held_by(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         held[every["term"].to_numpy()] = every["n"].to_numpy()
+        del every
         idf = (np.log((docs.count() + 1) / (held + 1)) + 1) * (odds * z**2 / (z**2 + sure**2) + 0.01)
-    found = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms), "doc_id long, toxic int, ids array<long>, counts array<long>").toArrow()
+    del known
+    found = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms), "doc_id long, toxic int, ids array<int>, counts array<int>").toArrow()
     found = found.sort_by([("toxic", "ascending"), ("doc_id", "ascending")])
     ids, counts = found["ids"].combine_chunks(), found["counts"].combine_chunks()
     toxic = found["toxic"].to_numpy().astype(float)
@@ -273,12 +275,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
     for i in range(len(found)):
         own, times = ids[i].values.to_numpy(), counts[i].values.to_numpy().astype(float)
         by = np.argsort(own)
-        vectors.append(index.weighted(own[by], times[by]) if len(own) else (np.empty(0, np.int64), np.empty(0)))
-    term = np.concatenate([np.empty(0, np.int64), *(v[0] for v in vectors)])
+        vectors.append(index.weighted(own[by], times[by]) if len(own) else (np.empty(0, np.int32), np.empty(0)))
+    del found, ids, counts
+    term = np.concatenate([np.empty(0, np.int32), *(v[0] for v in vectors)])
     weight = np.concatenate([np.empty(0), *(v[1] for v in vectors)])
     lengths = [len(v[0]) for v in vectors]
     example = np.repeat(np.arange(len(vectors), dtype=np.int32), lengths)
-    index.own_start, index.own_term, index.own_weight = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64), term.astype(np.int32), weight
+    index.own_start, index.own_term, index.own_weight = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64), term, weight
+    # The vectors are held once, as parts of the whole.
+    vectors = list(zip(np.split(term, index.own_start[1:-1]), np.split(weight, index.own_start[1:-1]), strict=True)) if vectors else []
     by = np.argsort(term, kind="stable")
     index.example, index.weight = example[by], weight[by]
     index.start = np.searchsorted(term[by], np.arange(len(terms) + 1))
