@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendgrid.llm import grace_dedup, kd_sharding, mixing, near_dedup, packing, personal_data, range_join, suffix_dedup, token_blocks, toxicity
+from mendgrid.llm import (
+    context_tree,
+    grace_dedup,
+    kd_sharding,
+    mixing,
+    near_dedup,
+    packing,
+    periodic_runs,
+    personal_data,
+    range_join,
+    suffix_dedup,
+    token_blocks,
+    toxicity,
+    whitening,
+)
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -60,7 +74,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(docs, personal_data.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op4_suffix_dedup, op5_kd_sharding, op6_exact_dedup, op7_near_dedup, op8_toxicity, op9_range_join, op10_personal_data)}
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(_read(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened_components(_read(spark, sf_dir, "embeddings"), wanted=8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_read(spark, sf_dir), repeat=True).drop("runs")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_source_mix, op3_packing, op4_suffix_dedup, op5_kd_sharding, op6_exact_dedup, op7_near_dedup, op8_toxicity, op9_range_join, op10_personal_data, op11_context_tree, op12_whitening, op13_periodic_runs)}
 
 SQL = {
     "op6_exact_dedup": """
