@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mendgrid.functions.vocabulary import REMEDIATED
 from mendgrid.operators import integrity
-from mendgrid.operators.audit import patch_status_audit
+from mendgrid.operators.audit import last_history_id, patch_status_audit
 from mendgrid.operators.ingest import finding_pre_insert
 from mendgrid.plans.facts import only_matching
 from mendgrid.schemas import TABLES, Table
@@ -142,6 +142,17 @@ def _rejected(spec: Table, judged: DataFrame) -> DataFrame:
     ).select("table_name", "v.rule_id", "key", "v.column_name", "v.value")
 
 
+def judge_new(tables: Tables, spec: Table, rows: DataFrame) -> DataFrame:
+    """Typed new rows with ``findings``, to which repeated and stored ids and unknown parents are added."""
+    judged = _judge_references(tables, spec, _judge_repeated_ids(spec, rows))
+    present = tables[spec.name].select(F.col(spec.pk).alias("present_key"))
+    present = only_matching(present, ["present_key"], judged, [spec.pk])
+    judged = judged.join(present, F.col(spec.pk) == F.col("present_key"), "left")
+    return _with_finding(
+        judged, F.col("present_key").isNotNull(), integrity.PRIMARY_KEY, spec.pk, F.col(spec.pk)
+    ).drop("present_key")
+
+
 @dataclass(frozen=True)
 class Inserted:
     accepted: DataFrame
@@ -156,14 +167,7 @@ def insert_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, wor
     The judged rows are written to ``work_dir``, so accepted and rejected rows stem from one reading.
     """
     spec = TABLES[table]
-    typed = settle(_judge_repeated_ids(spec, normalize(spec, rows)), f"{work_dir}/typed")
-    judged = _judge_references(tables, spec, typed)
-    present = tables[table].select(F.col(spec.pk).alias("present_key"))
-    present = only_matching(present, ["present_key"], judged, [spec.pk])
-    judged = judged.join(present, F.col(spec.pk) == F.col("present_key"), "left")
-    judged = _with_finding(
-        judged, F.col("present_key").isNotNull(), integrity.PRIMARY_KEY, spec.pk, F.col(spec.pk)
-    ).drop("present_key")
+    judged = judge_new(tables, spec, settle(normalize(spec, rows), f"{work_dir}/typed"))
     judged = settle(_judge_held_keys(tables, spec, judged), f"{work_dir}/judged")
     judged = _judge_rivals(spec, judged)
     good = judged.where(F.size("findings") == 0)
@@ -223,7 +227,9 @@ def update_batch(tables: Tables, table: str, rows: DataFrame, now: datetime, wor
     if table == "organizations":
         values["updated_at"] = F.when(hit, stamp).otherwise(F.col("updated_at"))
     after = joined.select(*[values.get(c, F.col(c)).alias(c) for c in spec.names])
-    history = patch_status_audit(old, good, now) if table == "patch_actions" else None
+    history = None
+    if table == "patch_actions":
+        history = patch_status_audit(old, good, now, last_history_id(tables["patch_status_history"]), work_dir)
     return Updated(after, _rejected(spec, judged), missing, history)
 
 

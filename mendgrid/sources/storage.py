@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,12 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def work_place(spark: SparkSession, name: str, work: str | None = None) -> str:
+    """A new path for an intermediate table, under ``work`` or the shared folder."""
+    root = work or f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, path: str) -> DataFrame:
     """Write an intermediate result to a shared path and go on from there.
 
@@ -64,7 +72,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="mendgrid-")
     spark.sparkContext.setCheckpointDir(own)

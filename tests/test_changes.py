@@ -187,6 +187,48 @@ def test_update_may_not_take_a_held_key(spark, tmp_path):
     assert rows(got.rejected, "key", "rule_id") == [("3", "C3")]
 
 
+REQUEST = (
+    "action_id bigint, finding_id bigint, assigned_to bigint, assigned_by bigint, action_type string, "
+    "due_date date, ticket string"
+)
+
+
+def test_requests_keep_the_rules_of_actions(spark, tmp_path):
+    """Ids given twice, stored or missing, people nobody knows and types that aren't allowed are refused."""
+    known = finding(1, 11)["finding_id"]
+    stored = {"action_id": 9, "finding_id_fk": known, "action_type": "Patch", "status": "Pending", "priority": "Low",
+              "created_at": T0}
+    history = {"history_id": 40, "action_id_fk": 9, "new_status": "Pending", "changed_at": T0, "automated": False}
+    t = tracker(spark, scan_findings=[finding(1, 11)], patch_actions=[stored], patch_status_history=[history])
+    requests = spark.createDataFrame(
+        [(1, known, 999999, 1, "Nonsense", None, None), (1, known, 1, 1, "Patch", None, None), (9, known, 1, 1, "Patch", None, None),
+         (None, known, 1, 1, "Patch", None, None), (2, known, 1, 999999, "Patch", None, None), (3, known, 2, None, "Patch", None, None),
+         (5, known, None, 1, None, None, "x" * 101), (4, known, 1, 1, "Patch", None, None)], REQUEST)
+    got = remediation.initiate_patch_actions(t, requests, NOW, str(tmp_path))
+    assert rows(got.actions, "action_id") == [(3,), (4,)]
+    assert rows(got.rejected, "action_id", "rule_id", "column_name") == sorted([
+        (1, "C2", "action_id"), (1, "C2", "action_id"), (1, "C4", "assigned_to_fk"), (1, "C6", "action_type"),
+        (2, "C4", "assigned_by_fk"), (5, "C1", "action_type"), (5, "C5", "change_ticket_id"), (9, "C2", "action_id"),
+        (None, "C1", "action_id")], key=repr)
+    assert rows(got.history, "history_id", "action_id_fk") == [(41, 3), (42, 4)]
+    whole = t.with_tables(
+        patch_actions=t["patch_actions"].unionByName(got.actions),
+        patch_status_history=t["patch_status_history"].unionByName(got.history),
+    )
+    for rule in ("C1", "C2", "C4", "C6"):
+        assert integrity.validate_rule(whole, rule).where("table_name like 'patch_%'").count() == 0
+
+
+def test_update_numbers_its_history_on(spark, tmp_path):
+    actions = [{"action_id": i, "finding_id_fk": finding(1, 11)["finding_id"], "action_type": "Patch", "status": "Pending",
+                "priority": "Low", "created_at": T0} for i in range(1, 30)]
+    history = {"history_id": 7, "action_id_fk": 1, "new_status": "Pending", "changed_at": T0, "automated": False}
+    t = tracker(spark, scan_findings=[finding(1, 11)], patch_actions=actions, patch_status_history=[history])
+    form = given.as_text(t["patch_actions"], "patch_actions", status=F.lit("Failed"))
+    got = changes.update_batch(t, "patch_actions", form, NOW, str(tmp_path))
+    assert rows(got.history, "history_id", "action_id_fk") == sorted([(7 + i, i) for i in range(1, 30)], key=repr)
+
+
 def test_audit_only_for_changed_status(spark):
     before = frame(spark, "patch_actions", [{"action_id": 1, "status": None}, {"action_id": 2, "status": "Failed"},
                                             {"action_id": 3, "status": "Pending"}])

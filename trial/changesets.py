@@ -113,11 +113,12 @@ def patch_requests(spark: SparkSession, findings: DataFrame) -> DataFrame:
         findings.where(f"{h} % 20 = 0")
         .withColumn("j", F.explode(F.expr(f"if({h} % 40 = 0, array(0, 1), array(0))")))
         .selectExpr(
-            "finding_id * 10 + 5 + j action_id",
+            # Stored ids, ids given twice, unknown people and types that aren't allowed.
+            f"finding_id * 10 + case when {h} % 260 = 0 then 1 when {h} % 200 = 0 then 5 else 5 + j end action_id",
             "finding_id",
-            f"{h} % 10 assigned_to",
+            f"case when {h} % 180 = 0 then 999999 else {h} % 10 end assigned_to",
             f"case when {h} % 60 <> 0 then {h} % 9 end assigned_by",
-            "'Patch' action_type",
+            f"case when {h} % 140 = 0 then 'Nonsense' else 'Patch' end action_type",
             "date_add(cast(discovered_at as date), 14) due_date",
             f"concat('CHG-', cast({h} as string)) ticket",
         )

@@ -444,45 +444,63 @@ say(
 )
 REQUESTS = {
     "requests": (
-        "SELECT finding_id * 10 + 5 + j action_id, finding_id, h % 10 assigned_to, "
-        "CASE WHEN h % 60 <> 0 THEN h % 9 END assigned_by, CAST(discovered_at AS DATE) + 14 due_date, 'CHG-' || h ticket "
-        "FROM (SELECT *, asset_id_fk + sw_vuln_id_fk h FROM scan_findings), range(2) g(j) "
-        "WHERE h % 20 = 0 AND (j = 0 OR h % 40 = 0) UNION ALL SELECT -k, -k, 1, 2, NULL, NULL FROM range(1, 6) u(k)"
+        "SELECT finding_id * 10 + CASE WHEN h % 260 = 0 THEN 1 WHEN h % 200 = 0 THEN 5 ELSE 5 + j END action_id, finding_id, "
+        "CASE WHEN h % 180 = 0 THEN 999999 ELSE h % 10 END assigned_to, "
+        "CASE WHEN h % 60 <> 0 THEN h % 9 END assigned_by, CASE WHEN h % 140 = 0 THEN 'Nonsense' ELSE 'Patch' END action_type, "
+        "CAST(discovered_at AS DATE) + 14 due_date, 'CHG-' || h ticket FROM (SELECT *, asset_id_fk + sw_vuln_id_fk h FROM scan_findings), range(2) g(j) "
+        "WHERE h % 20 = 0 AND (j = 0 OR h % 40 = 0) UNION ALL SELECT -k, -k, 1, 2, 'Patch', NULL, NULL FROM range(1, 6) u(k)"
     ),
     "judged": (
         "SELECT r.*, f.status finding_status, severity, CASE WHEN f.finding_id IS NULL THEN 'rejected_missing' "
         f"WHEN f.status IN {CLOSED} THEN 'rejected_closed' END reason FROM requests r LEFT JOIN "
         f"(scan_findings f {SEVERITY_OF}) ON f.finding_id = r.finding_id"
     ),
+    "refused": (
+        "SELECT *, NULL rule_id, NULL column_name, NULL AS \"value\" FROM judged WHERE reason IS NOT NULL "
+        "UNION ALL SELECT * REPLACE ('rejected_rule' AS reason), 'C2', 'action_id', CAST(action_id AS VARCHAR) FROM judged "
+        "WHERE reason IS NULL AND action_id IN (SELECT action_id FROM requests GROUP BY 1 HAVING count(*) > 1) "
+        "UNION ALL SELECT * REPLACE ('rejected_rule' AS reason), 'C2', 'action_id', CAST(action_id AS VARCHAR) FROM judged "
+        "WHERE reason IS NULL AND action_id IN (SELECT action_id FROM patch_actions) "
+        "UNION ALL SELECT * REPLACE ('rejected_rule' AS reason), 'C4', 'assigned_to_fk', CAST(assigned_to AS VARCHAR) FROM judged "
+        "WHERE reason IS NULL AND assigned_to NOT IN (SELECT user_id FROM users) "
+        "UNION ALL SELECT * REPLACE ('rejected_rule' AS reason), 'C4', 'assigned_by_fk', CAST(assigned_by AS VARCHAR) FROM judged "
+        "WHERE reason IS NULL AND assigned_by NOT IN (SELECT user_id FROM users) "
+        "UNION ALL SELECT * REPLACE ('rejected_rule' AS reason), 'C6', 'action_type', action_type FROM judged "
+        "WHERE reason IS NULL AND action_type = 'Nonsense'"
+    ),
+    "taken": (
+        "SELECT * FROM judged j WHERE NOT EXISTS (SELECT 1 FROM refused x WHERE x.action_id = j.action_id)"
+    ),
 }
 say(
     "p2_new_actions",
     "SELECT action_id, finding_id finding_id_fk, assigned_to assigned_to_fk, assigned_by assigned_by_fk, "
-    "'Patch' action_type, 'Pending' status, CASE WHEN severity IN ('Low', 'Info') THEN 'Low' ELSE severity END priority, "
+    "action_type, 'Pending' status, CASE WHEN severity IN ('Low', 'Info') THEN 'Low' ELSE severity END priority, "
     "due_date, CAST(NULL AS TIMESTAMP) started_at, CAST(NULL AS TIMESTAMP) completed_at, ticket change_ticket_id, "
     "CAST(NULL AS VARCHAR) rollback_plan, CAST(NULL AS VARCHAR) resolution_notes, "
-    f"{NOW} created_at FROM judged WHERE reason IS NULL",
+    f"{NOW} created_at FROM taken",
     **REQUESTS,
 )
 say(
     "p2_new_history",
-    "SELECT CAST(NULL AS BIGINT) history_id, action_id action_id_fk, CAST(NULL AS VARCHAR) old_status, "
+    "SELECT (SELECT max(history_id) FROM patch_status_history) + row_number() OVER (ORDER BY action_id) history_id, "
+    "action_id action_id_fk, CAST(NULL AS VARCHAR) old_status, "
     f"'Pending' new_status, assigned_by changed_by_fk, {NOW} changed_at, "
-    "'Patch action initiated by ' || assigned_by change_reason, FALSE automated FROM judged WHERE reason IS NULL",
+    "'Patch action initiated by ' || assigned_by change_reason, FALSE automated FROM taken",
     **REQUESTS,
 )
 say(
     "p2_findings_after",
     "SELECT " + out("scan_findings", prefix="f.").replace(
         "f.status status",
-        "CASE WHEN finding_id IN (SELECT finding_id FROM judged WHERE reason IS NULL) THEN 'In Progress' "
+        "CASE WHEN finding_id IN (SELECT finding_id FROM taken) THEN 'In Progress' "
         "ELSE f.status END status",
     ) + " FROM scan_findings f",
     **REQUESTS,
 )
 say(
     "p2_rejected",
-    "SELECT action_id, finding_id, reason, finding_status FROM judged WHERE reason IS NOT NULL",
+    'SELECT action_id, finding_id, reason, finding_status, rule_id, column_name, "value" FROM refused',
     **REQUESTS,
 )
 say("p3_refresh_risk_snapshots", f"SELECT {out('risk_score_snapshots')} FROM risk_score_snapshots", **SNAP)
@@ -498,7 +516,7 @@ UPDATES = {
     )
 }
 _audit = (
-    "SELECT CAST(NULL AS BIGINT) history_id, mid action_id_fk, old_status, new_status, who changed_by_fk, "
+    "SELECT (SELECT max(history_id) FROM patch_status_history) + row_number() OVER (ORDER BY mid) history_id, mid action_id_fk, old_status, new_status, who changed_by_fk, "
     f"{NOW} changed_at, 'Status changed from ' || old_status || ' to ' || new_status change_reason, FALSE automated "
     "FROM moved WHERE old_status <> new_status"
 )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendgrid.operators import changes, entities, ingest, integrity, listings, remediation, snapshots
-from mendgrid.operators.audit import change_reason, patch_status_audit, status_changes
+from mendgrid.operators.audit import change_reason, last_history_id, patch_status_audit, status_changes
 from mendgrid.plans import reports, views
 from mendgrid.schemas import TABLES
 from mendgrid.sources.storage import TableSet, read_table, shared_folder, write_snapshots, write_version
@@ -154,7 +154,8 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _initiated(t: TableSet, spark: SparkSession) -> remediation.Initiated:
-    return remediation.initiate_patch_actions(t, given.patch_requests(spark, t["scan_findings"]), NOW)
+    requests = given.patch_requests(spark, t["scan_findings"])
+    return remediation.initiate_patch_actions(t, requests, NOW, work_dir(spark, "p2"))
 
 
 job("p2_new_actions")(lambda t, spark, sf_dir: _initiated(t, spark).actions)
@@ -167,7 +168,8 @@ job("p3_refresh_risk_snapshots")(lambda t: snapshots.refresh_risk_snapshots(t, A
 
 @job("t1_patch_status_audit")
 def _(t: TableSet) -> DataFrame:
-    return patch_status_audit(t["patch_actions"], given.action_updates(t["patch_actions"]), NOW)
+    last = last_history_id(t["patch_status_history"])
+    return patch_status_audit(t["patch_actions"], given.action_updates(t["patch_actions"]), NOW, last)
 
 
 @job("t1_event_feed_audit")
