@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mendgrid.schemas import TABLES
 
@@ -36,10 +38,69 @@ def write_snapshots(df: DataFrame, path: str) -> None:
     )
 
 
+def write_by(df: DataFrame, path: str, column: str | None, mode: str) -> None:
+    """Write with one folder per value of ``column``, each by as few tasks as possible; without it, plainly."""
+    if column:
+        df.repartition(column).write.mode(mode).partitionBy(column).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
+_POINTERS = "number bigint, name string, path string"
+
+
+def publish(
+    tables: Mapping[str, DataFrame], root: str, number: int, by: Mapping[str, str] | None = None
+) -> None:
+    """Store several tables and make them visible together, as publication ``number``; ``by`` names the partition
+    column of a table.
+
+    The tables go to folders of their own; a small table of pointers is written last and names the folder of each,
+    those of earlier publications that aren't replaced included. Readers follow the highest number, so
+    they see all of it or none: a run that fails on the way leaves only folders nobody points to. A number is
+    published once; a second writer of the same number fails.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    paths = published(spark, root, before=number)
+    for name, df in tables.items():
+        paths[name] = f"{root}/data/{name}/{uuid.uuid4().hex}"
+        write_by(df, paths[name], (by or {}).get(name), "errorifexists")
+    rows = [(name, path) for name, path in sorted(paths.items())]
+    spark.createDataFrame(rows, "name string, path string").coalesce(1).write.mode("errorifexists").parquet(
+        f"{root}/pointers/number={number}"
+    )
+
+
+def published(spark: SparkSession, root: str, before: int | None = None) -> dict[str, str]:
+    """Paths by table of the latest publication, or of the latest below ``before``; empty when there is none."""
+    pointers = _read_if_there(spark, f"{root}/pointers", _POINTERS)
+    if pointers is None:
+        return {}
+    if before is not None:
+        pointers = pointers.where(F.col("number") < before)
+    latest = pointers.agg(F.max("number")).first()[0]
+    return {r["name"]: r["path"] for r in pointers.where(F.col("number") == latest).collect()} if latest is not None else {}
+
+
+def published_number(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """The number that ``published`` follows."""
+    pointers = _read_if_there(spark, f"{root}/pointers", _POINTERS)
+    if pointers is None:
+        return None
+    return (pointers if before is None else pointers.where(F.col("number") < before)).agg(F.max("number")).first()[0]
+
+
+def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Give ``df`` the declared columns and types; columns it lacks become typed NULLs."""
-    from pyspark.sql import functions as F
-
     have = set(df.columns)
     return df.select(
         *[

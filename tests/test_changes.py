@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mendgrid.operators import audit, changes, ingest, integrity, remediation, snapshots
 from mendgrid.schemas import TABLES
-from mendgrid.sources.storage import TableSet, read_table, write_snapshots, write_version
+from mendgrid.sources.storage import TableSet, publish, published, read_table, write_snapshots, write_version
 from tests.small import T0, finding, frame, rows, tracker
 from trial import changesets as given
 from trial.binding import raw, tables
@@ -288,6 +288,24 @@ def test_version_is_never_overwritten(spark, tmp_path):
         write_version(users, str(tmp_path), "users", "1")
 
 
+def test_tables_are_published_together(spark, tmp_path):
+    """A failed publication leaves the one before; tables that aren't given keep their version."""
+    root, t = str(tmp_path), tracker(spark)
+    assert published(spark, root) == {}
+    publish({"users": t["users"], "assets": t["assets"]}, root, 1)
+    broken = t["assets"].withColumn("hostname", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        publish({"users": t["users"].where("user_id = 1"), "assets": broken}, root, 2)
+    seen = TableSet.stored(spark, published(spark, root))
+    assert seen["users"].count() == 2 and seen["assets"].count() == 3
+    publish({"users": t["users"].where("user_id = 1")}, root, 2)
+    seen = TableSet.stored(spark, published(spark, root))
+    assert seen["users"].count() == 1 and seen["assets"].count() == 3
+    assert TableSet.stored(spark, published(spark, root, before=2))["users"].count() == 2
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        publish({"users": t["users"]}, root, 2)
+
+
 # --- rules --------------------------------------------------------------------------------------------
 def test_null_passes_checks_and_unique_keys(spark):
     policies = [{"policy_id": i, "org_id_fk": 1, "policy_name": "p", "severity": "High", "max_days_to_remediate": 5,

@@ -89,6 +89,45 @@ def test_unknown_source_in_an_earlier_batch(spark, tmp_path):
     assert rows(folded, *OUT) == rows(whole, *OUT)
 
 
+def test_batch_reads_its_buckets_only(spark, inputs, tmp_path):
+    """The findings and the log of a small batch are pruned to the buckets of its keys."""
+    known, batch = inputs
+    path, log = str(tmp_path / "findings"), str(tmp_path / "log")
+    ingest_stream.store_findings(known["scan_findings"], path)
+    held = ingest_stream.read_findings(spark, path)
+    small = batch.where("asset_id_fk = 7 and sw_vuln_id_fk is not null").limit(1)
+    touched = [r["b"] for r in small.select(ingest_stream.bucket_of().alias("b")).collect()]
+    plan = ingest_stream.in_buckets(held, touched)._jdf.queryExecution().toString()
+    assert f"PartitionFilters: [isnotnull(bucket" in plan and f"= {touched[0]})" in plan
+    stored = known.with_tables(scan_findings=held)
+    ingest_stream.ingest_batch(stored, batch, log, 0)
+    ingest_stream.ingest_batch(stored, small, log, 1)
+    plan = ingest_stream.in_buckets(ingest_stream._log(spark, log, 1), touched)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [isnotnull(batch_id" in plan
+    assert rows(ingest_stream.read_outcomes(spark, log), *OUT) == rows(ingest.record_scan_findings(known, batch), *OUT)
+
+
+def test_folding_in_the_middle_changes_nothing(spark, inputs, tmp_path):
+    """One outcome per key with folds between batches, with a folded batch run again, and with the log's
+    inserts already among the stored findings."""
+    known, batch = inputs
+    log = str(tmp_path / "log")
+    part = [batch.where(f"pmod(xxhash64(evidence_snippet, seen_at), 3) = {i}") for i in range(3)]
+    ingest_stream.ingest_batch(known, part[2], log, 0)
+    ingest_stream.ingest_batch(known, part[0], log, 1)
+    ingest_stream.fold_log(spark, log)
+    ingest_stream.ingest_batch(known, part[0], log, 1)
+    ingest_stream.ingest_batch(known, part[2], log, 2)
+    ingest_stream.fold_log(spark, log)
+    so_far = ingest_stream.read_outcomes(spark, log)
+    later = known.with_tables(scan_findings=ingest.apply_outcomes(known["scan_findings"], so_far))
+    ingest_stream.ingest_batch(later, part[1].unionByName(part[0]), log, 3)
+    got = ingest_stream.read_outcomes(spark, log)
+    assert got.count() == got.select("asset_id_fk", "sw_vuln_id_fk").distinct().count()
+    wanted = ingest.record_scan_findings(known, batch)
+    assert rows(got, *OUT) == rows(wanted, *OUT)
+
+
 HISTORY = ["event_id", "action_id", "old_status", "new_status", "changed_at"]
 
 

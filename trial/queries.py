@@ -273,32 +273,33 @@ SLICES = [f"pmod(xxhash64(l_orderkey, l_linenumber), 3) = {i}" for i in (2, 0, 1
 TIMES = [f"day(ts) div 8 = {i}" for i in (0, 2, 1, 3, 2)]
 
 
-@job("s1_stream_record_findings")
-def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ingested(spark: SparkSession, sf_dir: str, known: TableSet, feed_of: Callable) -> DataFrame:
+    """The slices of the feed against findings stored by bucket; the log is folded halfway."""
     work = work_dir(spark, "s1")
-    known, _batch = given.ingest_inputs(spark, sf_dir, t)
+    sighting_stream.store_findings(known["scan_findings"], f"{work}/findings")
+    known = known.with_tables(scan_findings=sighting_stream.read_findings(spark, f"{work}/findings"))
 
     def start(lines: DataFrame):
-        feed = given.rekeyed_feed(sightings(lines, raw(spark, sf_dir, "orders")), t["software_vulnerabilities"])
-        return sighting_stream.start_ingest(given.batch_of(feed), known, f"{work}/log", f"{work}/cp")
+        return sighting_stream.start_ingest(given.batch_of(feed_of(lines)), known, f"{work}/log", f"{work}/cp")
 
-    in_parts(spark, sf_dir, "lineitem", SLICES, work, start)
-    folded = sighting_stream.fold_changes(sighting_stream.read_changes(spark, f"{work}/log"))
-    return folded.drop(*INTERNAL)
+    in_parts(spark, sf_dir, "lineitem", SLICES[:2], work, start)
+    sighting_stream.fold_log(spark, f"{work}/log")
+    in_parts(spark, sf_dir, "lineitem", SLICES[2:], work, start)
+    return sighting_stream.read_outcomes(spark, f"{work}/log").drop(*INTERNAL)
 
 
-@job("s1_stream_stored_findings")
+@job("s1_stream_record_findings")
 def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = work_dir(spark, "s1")
-    known, _batch = given.stored_inputs(spark, sf_dir, t)
+    known, _batch = given.ingest_inputs(spark, sf_dir, t)
+    pairs, orders = t["software_vulnerabilities"], raw(spark, sf_dir, "orders")
+    return _ingested(spark, sf_dir, known, lambda lines: given.rekeyed_feed(sightings(lines, orders), pairs))
 
-    def start(lines: DataFrame):
-        feed = given.stored_feed(sightings(lines, raw(spark, sf_dir, "orders")))
-        return sighting_stream.start_ingest(given.batch_of(feed), known, f"{work}/log", f"{work}/cp")
 
-    in_parts(spark, sf_dir, "lineitem", SLICES, work, start)
-    folded = sighting_stream.fold_changes(sighting_stream.read_changes(spark, f"{work}/log"))
-    return folded.drop(*INTERNAL)
+@job("s1_stream_stored_findings")
+def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, _batch = given.stored_inputs(spark, sf_dir, t)
+    orders = raw(spark, sf_dir, "orders")
+    return _ingested(spark, sf_dir, known, lambda lines: given.stored_feed(sightings(lines, orders)))
 
 
 @job("s2_stream_status_audit")
