@@ -21,7 +21,7 @@ from mendgrid.operators.audit import last_history_id, patch_status_audit
 from mendgrid.operators.ingest import finding_pre_insert
 from mendgrid.plans.facts import only_matching
 from mendgrid.schemas import TABLES, Table
-from mendgrid.sources.storage import settle
+from mendgrid.sources.storage import SNAPSHOT_KEY, dates_of, replace_dates, settle, stored_snapshots, work_place
 
 Tables = Mapping[str, DataFrame]
 
@@ -296,12 +296,23 @@ def _effect(effect: str, column: str) -> Column:
     return F.struct(F.lit(effect).alias("effect"), F.lit(column).alias("column_name"))
 
 
-def upsert(target: DataFrame, rows: DataFrame, key: list[str], measures: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Upserted:
+    after: DataFrame
+    rejected: DataFrame
+
+
+def upsert(target: DataFrame, rows: DataFrame, key: list[str], measures: list[str]) -> Upserted:
     """Rows of ``target`` with ``measures`` overwritten where ``rows`` has the key, plus the new keys.
 
-    Columns of the target outside key and measures keep their old value; new rows bring their own.
+    Columns of the target outside key and measures keep their old value; new rows bring their own. Rows that
+    share their key, and rows without one, have no defined outcome and are all refused; ``rejected`` names each such key
+    once with its number of rows.
     """
-    new = rows.select(F.lit(True).alias("given"), *[F.col(c).alias(f"new_{c}") for c in target.columns])
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    doubtful = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).where((F.col("n_rows") > 1) | ~whole)
+    single = rows.where(whole).join(doubtful.select(*key), key, "left_anti")
+    new = single.select(F.lit(True).alias("given"), *[F.col(c).alias(f"new_{c}") for c in target.columns])
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"new_{c}") for c in key])
     old = target.withColumn("held", F.lit(True))
     joined = old.join(new, same, "full")
@@ -311,4 +322,19 @@ def upsert(target: DataFrame, rows: DataFrame, key: list[str], measures: list[st
         else F.when(F.col("held"), F.col(c)).otherwise(F.col(f"new_{c}"))
         for c in target.columns
     }
-    return joined.select(*[v.alias(c) for c, v in take.items()])
+    return Upserted(joined.select(*[v.alias(c) for c, v in take.items()]), doubtful)
+
+
+def upsert_snapshots(path: str, rows: DataFrame) -> DataFrame:
+    """Upsert snapshots into the stored ones and return what was refused.
+
+    Only the dates of ``rows`` are read, merged and replaced. Stored rows keep their id.
+    """
+    spark = rows.sparkSession
+    given = settle(rows, work_place(spark, "given"))
+    dates = dates_of(given)
+    measures = [c for c in given.columns if c not in ("snapshot_id", *SNAPSHOT_KEY)]
+    merged = upsert(stored_snapshots(spark, path, dates), given, SNAPSHOT_KEY, measures)
+    if dates:
+        replace_dates(settle(merged.after, work_place(spark, "merged")), path)
+    return merged.rejected

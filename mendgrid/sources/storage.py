@@ -6,10 +6,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mendgrid.schemas import TABLES
 
@@ -26,8 +28,24 @@ def write_version(df: DataFrame, root: str, table: str, version: str) -> str:
     return path
 
 
-def write_snapshots(df: DataFrame, path: str) -> None:
-    """Replace exactly the snapshot dates present in ``df``; a repeated run changes nothing."""
+SNAPSHOT_KEY = ["asset_id_fk", "snapshot_date"]
+
+
+def stored_snapshots(spark: SparkSession, path: str, dates: list[date] | None = None) -> DataFrame:
+    """The stored snapshots, or those of some dates; other dates' folders are not read."""
+    struct = TABLES["risk_score_snapshots"].struct
+    found = _read_if_there(spark, path, struct)
+    found = spark.createDataFrame([], struct) if found is None else found
+    return found if dates is None else found.where(F.col("snapshot_date").isin(dates))
+
+
+def dates_of(df: DataFrame) -> list[date]:
+    """The snapshot dates of ``df``; a run refreshes one or a few."""
+    return [r[0] for r in df.select("snapshot_date").where("snapshot_date is not null").distinct().collect()]
+
+
+def replace_dates(df: DataFrame, path: str) -> None:
+    """Replace exactly the snapshot dates present in ``df``."""
     (
         df.select(*TABLES["risk_score_snapshots"].names)
         .repartition("snapshot_date", "asset_id_fk")
@@ -38,6 +56,19 @@ def write_snapshots(df: DataFrame, path: str) -> None:
     )
 
 
+def write_snapshots(df: DataFrame, path: str) -> None:
+    """Store snapshots in place of those of the same asset and date; a repeated run changes nothing.
+
+    Other assets of the date stay, so a run may refresh a few assets. The new content of the dates
+    is written aside first, since it is read from the folders that it replaces.
+    """
+    spark = df.sparkSession
+    new = settle(df.select(*TABLES["risk_score_snapshots"].names), work_place(spark, "snapshots"))
+    kept = stored_snapshots(spark, path, dates_of(new)).join(new.select(*SNAPSHOT_KEY), SNAPSHOT_KEY, "left_anti")
+    merged = kept.select(*new.columns).unionByName(new)
+    replace_dates(settle(merged, work_place(spark, "snapshots")), path)
+
+
 def write_by(df: DataFrame, path: str, column: str | None, mode: str) -> None:
     """Write with one folder per value of ``column``, each by as few tasks as possible; without it, plainly."""
     if column:
@@ -90,7 +121,7 @@ def published_number(spark: SparkSession, root: str, before: int | None = None)
     return (pointers if before is None else pointers.where(F.col("number") < before)).agg(F.max("number")).first()[0]
 
 
-def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def _read_if_there(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:

@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 from mendgrid.operators import audit, changes, ingest, integrity, remediation, snapshots
 from mendgrid.schemas import TABLES
-from mendgrid.sources.storage import TableSet, publish, published, read_table, write_snapshots, write_version
+from mendgrid.sources.storage import (
+    TableSet,
+    conform,
+    publish,
+    published,
+    read_table,
+    replace_dates,
+    stored_snapshots,
+    write_snapshots,
+    write_version,
+)
 from tests.small import T0, finding, frame, rows, tracker
 from trial import changesets as given
 from trial.binding import raw, tables
@@ -263,8 +273,78 @@ def test_upsert_keeps_other_columns(spark):
         {"snapshot_id": 8, "asset_id_fk": 1, "snapshot_date": day, "composite_score": 5},
         {"snapshot_id": 9, "asset_id_fk": 3, "snapshot_date": day, "composite_score": 6}])
     got = changes.upsert(old, new, ["asset_id_fk", "snapshot_date"], ["composite_score"])
-    assert rows(got, "snapshot_id", "asset_id_fk", "composite_score") == [
+    assert rows(got.after, "snapshot_id", "asset_id_fk", "composite_score") == [
         (1, 1, Decimal("5.00")), (2, 2, Decimal("2.00")), (9, 3, Decimal("6.00"))]
+    assert got.rejected.count() == 0
+
+
+def snapshot(number: int, asset: int | None, day: date | None, score: int) -> dict:
+    counts = {m: score for m in snapshots.MEASURES}
+    return {"snapshot_id": number, "asset_id_fk": asset, "snapshot_date": day, "composite_score": score, **counts}
+
+
+def test_upsert_replaces_touched_dates_only(spark, tmp_path):
+    """Keys given twice and absent keys are refused, other dates keep their files, all measures are overwritten."""
+    path, (a, b) = str(tmp_path / "snapshots"), (date(2025, 3, 1), date(2025, 3, 2))
+    replace_dates(frame(spark, "risk_score_snapshots", [snapshot(i, i, d, 1) for i in (1, 2, 3) for d in (a, b)]), path)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "snapshots" / f"snapshot_date={a}").iterdir()}
+    given_rows = [snapshot(10, 1, b, 7), snapshot(11, 2, b, 8), snapshot(12, 2, b, 9), snapshot(13, 4, b, 5), snapshot(14, None, b, 5)]
+    rejected = changes.upsert_snapshots(path, frame(spark, "risk_score_snapshots", given_rows))
+    assert rows(rejected, "asset_id_fk", "snapshot_date", "n_rows") == sorted([(2, b, 2), (None, b, 1)], key=repr)
+    got = stored_snapshots(spark, path)
+    for m in ("composite_score", *snapshots.MEASURES):
+        assert sorted(r[m] for r in got.where(F.col("snapshot_date") == F.lit(b)).collect()) == [1, 1, 5, 7], m
+    assert rows(got.where("composite_score > 1"), "snapshot_id", "asset_id_fk") == [(1, 1), (13, 4)]
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "snapshots" / f"snapshot_date={a}").iterdir()}
+    plan = stored_snapshots(spark, path, [b])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_date" in plan and "2025-03-02" in plan
+
+
+def test_a_subset_leaves_other_assets_and_a_huge_asset_is_refused_alone(spark, tmp_path):
+    path, day = str(tmp_path / "snapshots"), date(2025, 3, 1)
+    many = spark.range(40_000).selectExpr("id finding_id", "2 asset_id_fk", "11 sw_vuln_id_fk", "'Open' status")
+    t = tracker(spark, scan_findings=[finding(1, 11), finding(3, 12)])
+    write_snapshots(snapshots.refresh_risk_snapshots(t, day), path)
+    huge = t.with_tables(scan_findings=t["scan_findings"].unionByName(conform(many, "scan_findings")))
+    got = snapshots.judged_risk_snapshots(huge, day)
+    assert rows(got.rejected, "asset_id_fk", "column_name", "value") == [
+        (2, "critical_count", "40000"), (2, "exploit_active_count", "40000")]
+    assert rows(got.snapshots, "asset_id_fk") == [(1,), (3,)]
+    more = t.with_tables(scan_findings=t["scan_findings"].unionByName(frame(spark, "scan_findings", [finding(1, 13)])))
+    chosen = spark.createDataFrame([(1,), (1,), (77,)], "asset_id bigint")
+    write_snapshots(snapshots.refresh_risk_snapshots(more, day, chosen), path)
+    assert rows(read_table(spark, path, "risk_score_snapshots"), "asset_id_fk", "open_findings_count") == [(1, 2), (2, 0), (3, 1)]
+
+
+def test_advanced_measures_equal_a_recomputation(spark):
+    """New, changed, deleted and moved findings, and due dates that pass in between."""
+    first, second = date(2025, 3, 1), date(2025, 3, 20)
+    due = lambda n: date(2025, 3, n)
+    old = [finding(1, 11, sla_due_date=due(5)), finding(1, 12, sla_due_date=due(25)), finding(2, 13, sla_due_date=due(2)),
+           finding(3, 14, "Accepted Risk", sla_due_date=due(3)), finding(3, 11)]
+    new = [old[0], finding(1, 12, "Remediated", sla_due_date=due(25)), finding(3, 14, sla_due_date=due(3)), old[4],
+           finding(2, 12, sla_due_date=due(19))]
+    t = tracker(spark, scan_findings=new)
+    before, after = frame(spark, "scan_findings", [old[1], old[2], old[3]]), frame(spark, "scan_findings", [new[1], new[2], new[4]])
+    totals = snapshots.active_risk_by_asset(t.with_tables(scan_findings=frame(spark, "scan_findings", old)), first)
+    moved = snapshots.advance_risk(totals, t, before, after, first, second)
+    columns = ["asset_id_fk", "composite_score", *snapshots.MEASURES]
+    got = snapshots.snapshots_of(moved, t["assets"], second).snapshots
+    assert rows(got, *columns) == rows(snapshots.refresh_risk_snapshots(t, second), *columns)
+
+
+def test_scores_rise_and_fall_over_days(spark):
+    fixed = [finding(1, 11, "Remediated", first_fixed_at=datetime(2025, 3, 5, 23)), finding(1, 13, "Accepted Risk"),
+             finding(1, 12, discovered_at=datetime(2025, 3, 3)), finding(3, 12, "Open", first_fixed_at=datetime(2025, 3, 2))]
+    t = tracker(spark, scan_findings=fixed)
+    days = [date(2025, 3, n) for n in (6, 1, 3, 5)] + [date(2025, 2, 1)]
+    got = {(r.asset_id_fk, r.snapshot_date.day): r for r in snapshots.risk_trend(snapshots.risk_history(t, days)).collect()}
+    scores = {r.asset_id_fk: r.composite_score for r in snapshots.refresh_risk_snapshots(t, days[0]).collect()}
+    assert len(got) == 12  # three assets; the first of February and of March share a key
+    assert got[1, 6].composite_score == scores[1] == got[1, 5].composite_score
+    assert got[1, 3].composite_score - scores[1] == Decimal("57.74") and got[1, 5].score_change == Decimal("-57.74")
+    assert got[1, 3].score_change == scores[1] and got[2, 6].composite_score == 0
+    assert got[3, 6].composite_score == scores[3] and got[3, 6].score_change == 0
 
 
 # --- storage ------------------------------------------------------------------------------------------

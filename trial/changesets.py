@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mendgrid.functions.vocabulary import REMEDIATED
 from mendgrid.operators.ingest import summarize_sightings
-from mendgrid.operators.snapshots import refresh_risk_snapshots
+from mendgrid.operators.snapshots import MEASURES, refresh_risk_snapshots
 from mendgrid.schemas import TABLES
 from mendgrid.sources.storage import TableSet, conform
 from trial.binding import AS_OF, raw, sightings
@@ -186,14 +186,23 @@ def deletions(tables: TableSet) -> dict[str, DataFrame]:
 
 
 def stale_snapshots(tables: TableSet) -> DataFrame:
-    """Snapshots a month old, half of them also filed under today with ids of their own."""
+    """Snapshots a month old, half of them also filed under today with ids of their own; every measure is off by one."""
     old = refresh_risk_snapshots(tables, AS_OF - timedelta(days=30))
+    old = conform(old.withColumns({m: F.col(m) + 1 for m in ("composite_score", *MEASURES)}), "risk_score_snapshots")
     today = old.where("asset_id_fk % 2 = 0").withColumns(
         {"snapshot_id": -F.col("snapshot_id"), "snapshot_date": F.lit(AS_OF)}
     )
     return old.unionByName(today)
 
 
+def dated_fixes(tables: TableSet) -> TableSet:
+    """Remediated findings with a fix some weeks after their discovery."""
+    fixed = F.expr(
+        "case when status = 'Remediated' then discovered_at + make_dt_interval(cast((asset_id_fk + sw_vuln_id_fk) % 300 as int)) end"
+    )
+    return tables.with_tables(scan_findings=tables["scan_findings"].withColumn("first_fixed_at", fixed))
+
+
 def faulty(tables: TableSet) -> TableSet:
     """The bound tables with rows that break every kind of rule."""
     findings = tables["scan_findings"]

@@ -58,7 +58,7 @@ def dbl(expr: str) -> str:
 
 
 # Snapshots of a day; a stand-in for the table that has no binding.
-def snapshots(day: str = AS_OF) -> str:
+def snapshots(day: str = AS_OF, findings: str = "scan_findings") -> str:
     return (
         f"SELECT CAST(a.asset_id * 100000 + ({day} - DATE '1970-01-01') AS BIGINT) snapshot_id, "
         f"a.asset_id asset_id_fk, {day} snapshot_date, "
@@ -70,7 +70,7 @@ def snapshots(day: str = AS_OF) -> str:
         )
         + ", CAST(count(*) FILTER (v.exploit_available) AS SMALLINT) exploit_active_count, "
         f"CAST(count(*) FILTER (f.sla_due_date < {day}) AS SMALLINT) sla_breached_count "
-        f"FROM assets a LEFT JOIN (SELECT * FROM scan_findings WHERE status NOT IN {SETTLED}) f "
+        f"FROM assets a LEFT JOIN (SELECT * FROM {findings} WHERE status NOT IN {SETTLED}) f "
         f"ON f.asset_id_fk = a.asset_id {OUTER_SEVERITY_OF} GROUP BY a.asset_id"
     )
 
@@ -319,14 +319,22 @@ say(
     f"FROM patch_actions p JOIN scan_findings f ON f.finding_id = p.finding_id_fk {SEVERITY_OF} "
     "JOIN assets a ON a.asset_id = f.asset_id_fk LEFT JOIN users u ON u.user_id = p.assigned_to_fk",
 )
+_trend_days = ", ".join(str(n) for n in (*range(360, 29, -30), 2, 1, 0))
 say(
     "d5_risk_trend",
-    "SELECT asset_id_fk, snapshot_date, CAST(composite_score AS DOUBLE) composite_score, "
-    "CAST(lag(composite_score) OVER w AS DOUBLE) previous_score, "
-    "CAST(composite_score - lag(composite_score) OVER w AS DOUBLE) score_change FROM days "
+    "SELECT asset_id_fk, snapshot_date, CAST(score AS DOUBLE) composite_score, CAST(lag(score) OVER w AS DOUBLE) "
+    "previous_score, CAST(score - lag(score) OVER w AS DOUBLE) score_change FROM daily "
     "WINDOW w AS (PARTITION BY asset_id_fk ORDER BY snapshot_date)",
-    days=" UNION ALL ".join(
-        snapshots(d) for d in ("DATE '1998-05-02'", "DATE '1998-06-01'", "DATE '1998-07-01'")
+    days=f"SELECT {AS_OF} - n snapshot_date FROM (SELECT unnest([{_trend_days}]) n)",
+    scored=(
+        f"SELECT f.asset_id_fk, CAST(f.discovered_at AS DATE) opened, CASE WHEN f.status NOT IN {SETTLED} THEN DATE '9999-01-01' "
+        "WHEN f.status = 'Remediated' THEN CAST(f.discovered_at AS DATE) + CAST((f.asset_id_fk + f.sw_vuln_id_fk) % 300 AS INT) "
+        f"END closed, {SCORE} score FROM scan_findings f {SEVERITY_OF} JOIN assets a ON a.asset_id = f.asset_id_fk"
+    ),
+    daily=(
+        "SELECT a.asset_id asset_id_fk, d.snapshot_date, coalesce(sum(s.score), 0) score FROM assets a CROSS JOIN days d "
+        "LEFT JOIN scored s ON s.asset_id_fk = a.asset_id AND s.opened <= d.snapshot_date AND s.closed > d.snapshot_date "
+        "GROUP BY a.asset_id, d.snapshot_date"
     ),
 )
 
@@ -504,6 +512,14 @@ say(
     **REQUESTS,
 )
 say("p3_refresh_risk_snapshots", f"SELECT {out('risk_score_snapshots')} FROM risk_score_snapshots", **SNAP)
+say(
+    "p3_advanced_risk_snapshots",
+    f"SELECT {out('risk_score_snapshots')} FROM advanced",
+    moved_findings=(
+        "SELECT * REPLACE (CASE WHEN (asset_id_fk + sw_vuln_id_fk) % 9 = 0 THEN 'Remediated' ELSE status END AS status) FROM scan_findings"
+    ),
+    advanced=snapshots(findings="moved_findings"),
+)
 
 # --- audit trail, updates -----------------------------------------------------------------------------
 UPDATES = {
@@ -657,13 +673,16 @@ for _name, _t in {"m3_findings_after": "scan_findings", "m3_actions_after": "pat
             )
     say(_name, f"SELECT {_cols} FROM {_t} WHERE {_spec.pk} NOT IN (SELECT k FROM gone_{_t})", **_gone)
 
-_measures = [c for c in TABLES["risk_score_snapshots"].flagged("edit") if c not in ("asset_id_fk", "snapshot_date")]
+_stale = ", ".join(
+    f"{c} + 1 AS {c}" for c in TABLES["risk_score_snapshots"].flagged("edit") if c not in ("asset_id_fk", "snapshot_date")
+)
 say(
     "m4_upsert_snapshots",
-    f"SELECT {out('risk_score_snapshots')} FROM older UNION ALL SELECT * FROM ("
+    f"SELECT {out('risk_score_snapshots')} FROM stale UNION ALL SELECT * FROM ("
     "SELECT CASE WHEN asset_id_fk % 2 = 0 THEN -(snapshot_id - 30) ELSE snapshot_id END snapshot_id, "
     f"{out('risk_score_snapshots', TABLES['risk_score_snapshots'].names[1:])} FROM risk_score_snapshots)",
     older=snapshots("DATE '1998-06-01'"),
+    stale=f"SELECT * REPLACE ({_stale}) FROM older",
     **SNAP,
 )
 

@@ -14,7 +14,16 @@ from mendgrid.operators import changes, entities, ingest, integrity, listings, r
 from mendgrid.operators.audit import change_reason, last_history_id, patch_status_audit, status_changes
 from mendgrid.plans import reports, views
 from mendgrid.schemas import TABLES
-from mendgrid.sources.storage import TableSet, read_table, shared_folder, write_snapshots, write_version
+from mendgrid.sources.storage import (
+    TableSet,
+    read_table,
+    replace_dates,
+    settle,
+    shared_folder,
+    stored_snapshots,
+    write_snapshots,
+    write_version,
+)
 from mendgrid.streaming import audit as audit_stream
 from mendgrid.streaming import daily as daily_stream
 from mendgrid.streaming import sightings as sighting_stream
@@ -92,9 +101,12 @@ def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job("a8_snapshot_partitions")
 def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dates, one of them refreshed once more for a third of the assets."""
     path = work_dir(spark, "snapshots")
-    for back in (30, 0, 0):
+    for back in (30, 0):
         write_snapshots(snapshots.refresh_risk_snapshots(t, AS_OF - timedelta(days=back)), path)
+    third = t["assets"].where("asset_id % 3 = 0")
+    write_snapshots(snapshots.refresh_risk_snapshots(t, AS_OF, third), path)
     return read_table(spark, path, "risk_score_snapshots")
 
 
@@ -123,10 +135,13 @@ job("d3_patch_compliance_status_older")(lambda t: views.patch_compliance_status_
 job("d4_patch_compliance_rate_older")(entities.org_compliance_rate)
 
 
+# A year of months and the last days.
+TREND_DAYS = [AS_OF - timedelta(days=back) for back in (*range(360, 29, -30), 2, 1, 0)]
+
+
 @job("d5_risk_trend")
 def _(t: TableSet) -> DataFrame:
-    days = [snapshots.refresh_risk_snapshots(t, AS_OF - timedelta(days=back)) for back in (60, 30, 0)]
-    return snapshots.risk_trend(integrity.union_all(days))
+    return snapshots.risk_trend(snapshots.risk_history(given.dated_fixes(t), TREND_DAYS))
 
 
 @job("p1_record_scan_findings")
@@ -166,6 +181,18 @@ job("p2_rejected")(lambda t, spark, sf_dir: _initiated(t, spark).rejected)
 job("p3_refresh_risk_snapshots")(lambda t: snapshots.refresh_risk_snapshots(t, AS_OF))
 
 
+@job("p3_advanced_risk_snapshots")
+def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last month's measures corrected by the findings that were remediated since."""
+    previous = AS_OF - timedelta(days=30)
+    totals = settle(snapshots.active_risk_by_asset(t, previous), work_dir(spark, "totals"))
+    after = settle(_remediated(t, spark, sf_dir), work_dir(spark, "findings"))
+    now = after.where("(asset_id_fk + sw_vuln_id_fk) % 9 = 0")
+    before = t["scan_findings"].where("(asset_id_fk + sw_vuln_id_fk) % 9 = 0")
+    moved = snapshots.advance_risk(totals, t.with_tables(scan_findings=after), before, now, previous, AS_OF)
+    return snapshots.snapshots_of(moved, t["assets"], AS_OF).snapshots
+
+
 @job("t1_patch_status_audit")
 def _(t: TableSet) -> DataFrame:
     last = last_history_id(t["patch_status_history"])
@@ -241,11 +268,11 @@ job("m3_actions_after")(lambda t, spark, sf_dir: _deleted(t, spark).after["patch
 
 
 @job("m4_upsert_snapshots")
-def _(t: TableSet) -> DataFrame:
-    fresh = snapshots.refresh_risk_snapshots(t, AS_OF)
-    key = ["asset_id_fk", "snapshot_date"]
-    measures = [c for c in fresh.columns if c not in ("snapshot_id", *key)]
-    return changes.upsert(given.stale_snapshots(t), fresh, key, measures)
+def _(t: TableSet, spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "m4")
+    replace_dates(given.stale_snapshots(t), path)
+    changes.upsert_snapshots(path, snapshots.refresh_risk_snapshots(t, AS_OF))
+    return stored_snapshots(spark, path)
 
 
 for _rule, _title in {
