@@ -10,29 +10,15 @@ from pyspark.sql import functions as F
 
 from mendgrid.functions.scoring import finding_risk_score
 from mendgrid.functions.vocabulary import CLOSED, OPEN
+from mendgrid.operators.numbering import number_rows
 from mendgrid.plans.facts import pair_vulnerabilities
-from mendgrid.sources.storage import conform
+from mendgrid.sources.storage import conform, settle, work_place
 
 Tables = Mapping[str, DataFrame]
 
 KEY = ["asset_id_fk", "sw_vuln_id_fk"]
 
 
-# Pair ids below this number give distinct finding ids; others stop the job, as do ids beyond 64 bits.
-PAIRS = 500_000_000_000
-
-
-def pair_in_range(pair: Column) -> Column:
-    return (pair >= 0) & (pair < PAIRS)
-
-
-def finding_key(asset: Column, pair: Column) -> Column:
-    """Finding id from its natural key, NULL if a part is. It never collides: a pair id outside
-    [0, ``PAIRS``) raises an error."""
-    wide = F.raise_error(F.concat(F.lit("pair id out of range for finding ids: "), pair.cast("string")))
-    return F.when(pair.isNull() | pair_in_range(pair), asset * F.lit(PAIRS) + pair).otherwise(wide.cast("bigint"))
-
-
 FIRST = ["seen_at", "scan_source_id_fk", "evidence_snippet", "notes"]
 
 
@@ -91,12 +77,21 @@ def with_finding_context(rows: DataFrame, tables: Tables) -> DataFrame:
     )
 
 
-def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
+def last_finding_id(findings: DataFrame) -> int:
+    """The largest stored id; new findings are numbered on from it."""
+    return findings.agg(F.max("finding_id")).first()[0] or 0
+
+
+def record_sightings(
+    tables: Tables, summaries: DataFrame, after_id: int | None = None, work: str | None = None
+) -> DataFrame:
     """Outcome of each summarised key against ``tables``' findings.
 
     ``outcome`` is touched (a finding that is not closed exists), rejected_closed (only a closed one
     holds the key), rejected_fk (asset, pair or every source unknown) or inserted. The other columns describe
-    the finding as it stands afterwards, or as it would have been inserted.
+    the finding as it stands afterwards, or as it would have been inserted. New findings get the ids after
+    ``after_id`` (the largest stored one, if not given) in order of their key; a refused key gets none, so
+    it may hold any numbers. The outcomes are stored before they are numbered.
     """
     existing = tables["scan_findings"].select(
         F.col("asset_id_fk").alias("have_asset"),
@@ -117,11 +112,7 @@ def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
         .otherwise("inserted")
     )
     fresh = {
-        # A refused key may hold anything; one that can't have an id gets none.
-        "finding_id": F.when(
-            F.col("known_pair").isNotNull() | pair_in_range(F.col("sw_vuln_id_fk")),
-            finding_key(F.col("asset_id_fk"), F.col("sw_vuln_id_fk")),
-        ),
+        "finding_id": F.lit(None).cast("bigint"),
         "scan_source_id_fk": F.col("first.scan_source_id_fk"),
         "status": F.lit(OPEN),
         "risk_score": F.col("fresh_score").cast("decimal(7,2)"),
@@ -138,9 +129,13 @@ def record_sightings(tables: Tables, summaries: DataFrame) -> DataFrame:
         .when(held, F.col("have_last_seen_at"))
         .otherwise(F.col("last_seen"))
     )
-    return looked_up.withColumn("outcome", outcome).select(
+    judged = looked_up.withColumn("outcome", outcome).select(
         *KEY, "outcome", *[v.alias(c) for c, v in kept.items()], "first", "usable", "last_seen", "sla_days"
     )
+    stored = settle(judged, work_place(summaries.sparkSession, "outcomes", work))
+    after = last_finding_id(tables["scan_findings"]) if after_id is None else after_id
+    new = number_rows(stored.where("outcome = 'inserted'"), "finding_id", KEY, after, work)
+    return stored.where("outcome <> 'inserted'").unionByName(new.select(*stored.columns))
 
 
 _CARRIED = [

@@ -97,6 +97,21 @@ def test_pre_insert_fills_only_what_is_missing(spark):
     assert got[14].sla_due_date == date(2025, 9, 9) and {r.last_seen_at for r in got.values()} == {NOW}
 
 
+def test_no_sighting_stops_the_batch(spark, tmp_path):
+    """Keys far beyond any id's range are refused or taken like others, each for itself."""
+    huge = 9_000_000_000_000_000_000
+    t = tracker(spark, scan_findings=[finding(1, 11)])
+    far = t["assets"].unionByName(frame(spark, "assets", [{"asset_id": huge, "org_id_fk": 1, "hostname": "far", "criticality": 1}]))
+    t = t.with_tables(assets=far)
+    given_rows = sightings(spark, (20_000_000, 12, 1, 1, "x"), (huge - 1, huge, 1, 1, "x"), (1, 12, 1, 1, "x"), (huge, 13, 1, 1, "x"),
+                           (1, 11, 1, 1, "x"))
+    got = ingest.record_scan_findings(t, given_rows)
+    first = finding(1, 11)["finding_id"]
+    assert rows(got, "asset_id_fk", "outcome", "finding_id") == sorted([
+        (1, "inserted", first + 1), (1, "touched", first), (20_000_000, "rejected_fk", None), (huge - 1, "rejected_fk", None),
+        (huge, "inserted", first + 2)], key=repr)
+
+
 # --- patch actions ------------------------------------------------------------------------------------
 def test_requests_make_actions_history_and_progress(spark):
     t = tracker(spark, scan_findings=[finding(1, 11, "Accepted Risk"), finding(1, 14), finding(3, 12, "Remediated")])

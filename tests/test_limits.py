@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from mendgrid.functions.scoring import rounded_ratio
 from mendgrid.operators.changes import normalize
-from mendgrid.operators.ingest import PAIRS, finding_key
 from mendgrid.schemas import TABLES
-from trial.binding import with_supplier
+from trial.binding import PAIRS, finding_key, with_supplier
 
 
 def test_ids_stay_distinct_at_a_hundred_times_the_test_data(spark):

@@ -339,6 +339,10 @@ say(
 )
 
 # --- ingest, patch actions, snapshots -----------------------------------------------------------------
+_NUMBERED = (
+    "SELECT *, CASE outcome WHEN 'inserted' THEN (SELECT max(finding_id) FROM known) "
+    "+ row_number() OVER (PARTITION BY outcome ORDER BY asset_id_fk, sw_vuln_id_fk) ELSE held_id END finding_id FROM judged"
+)
 INGEST = {
     "feed": (
         "SELECT asset_id_fk % 100 a, v_id % 100 v, pair, seen_at, (asset_id_fk % 24) * 10 + v_id % 2 src, "
@@ -364,11 +368,11 @@ INGEST = {
         "LEFT JOIN software_vulnerabilities sv ON sv.sw_vuln_id = b.pair LEFT JOIN vulnerabilities v "
         "ON v.vuln_id = sv.vuln_id_fk LEFT JOIN picked ON po = a.org_id_fk AND ps = v.severity WHERE rn = 1"
     ),
-    "outcomes": (
+    "judged": (
         "SELECT c.a asset_id_fk, c.pair sw_vuln_id_fk, CASE WHEN k.status IN ('Remediated', 'False Positive') "
         "THEN 'rejected_closed' WHEN k.status IS NOT NULL THEN 'touched' WHEN asset_id IS NULL OR sw_vuln_id IS NULL "
         "OR src NOT IN (SELECT source_id FROM scan_sources) THEN 'rejected_fk' ELSE 'inserted' END outcome, "
-        "c.a * 500000000000 + c.pair finding_id, CASE WHEN k.status IS NULL THEN src END scan_source_id_fk, "
+        "k.finding_id held_id, CASE WHEN k.status IS NULL THEN src END scan_source_id_fk, "
         "coalesce(k.status, 'Open') status, "
         "CASE WHEN k.status IS NULL THEN risk END risk_score, "
         "CASE WHEN k.status IS NULL THEN CAST(c.seen_at AS DATE) + sla_days END sla_due_date, "
@@ -377,6 +381,7 @@ INGEST = {
         "CASE WHEN k.status IS NULL THEN evidence END evidence_snippet, CAST(NULL AS VARCHAR) notes "
         "FROM context c LEFT JOIN known k ON k.a = c.a AND k.pair = c.pair"
     ),
+    "outcomes": _NUMBERED,
 }
 _outcome = (
     "SELECT asset_id_fk, sw_vuln_id_fk, outcome, finding_id, scan_source_id_fk, status, "
@@ -384,7 +389,9 @@ _outcome = (
     "FROM outcomes"
 )
 say("p1_record_scan_findings", _outcome, **INGEST)
-say("s1_stream_record_findings", _outcome, **INGEST)
+# The ids of new findings depend on the batch they come in.
+_streamed = _outcome.replace("outcome, finding_id,", "outcome, held_id finding_id,")
+say("s1_stream_record_findings", _streamed, **INGEST)
 _plain = "CAST(NULL AS TIMESTAMP) first_fixed_at"
 _texts = "CAST(NULL AS VARCHAR) false_positive_reason, CAST(NULL AS VARCHAR) accepted_risk_reason, CAST(NULL AS VARCHAR) notes"
 say(
@@ -415,11 +422,11 @@ STORED = {
         "'host ' || asset_id_fk evidence FROM sightings"
     ),
     "known": f"SELECT * FROM scan_findings WHERE discovered_at < {AS_OF} OR (asset_id_fk + sw_vuln_id_fk) % 3 <> 0",
-    "outcomes": (
+    "judged": (
         "SELECT c.a asset_id_fk, c.pair sw_vuln_id_fk, CASE WHEN k.status IN ('Remediated', 'False Positive') "
         "THEN 'rejected_closed' WHEN k.finding_id IS NOT NULL THEN 'touched' WHEN asset_id IS NULL OR sw_vuln_id IS NULL "
         "OR src NOT IN (SELECT source_id FROM scan_sources) THEN 'rejected_fk' ELSE 'inserted' END outcome, "
-        "c.a * 500000000000 + c.pair finding_id, "
+        "k.finding_id held_id, "
         "CASE WHEN k.finding_id IS NULL THEN src ELSE k.scan_source_id_fk END scan_source_id_fk, "
         "coalesce(k.status, 'Open') status, CASE WHEN k.finding_id IS NULL THEN risk ELSE k.risk_score END risk_score, "
         "CASE WHEN k.finding_id IS NULL THEN CAST(c.seen_at AS DATE) + sla_days ELSE k.sla_due_date END sla_due_date, "
@@ -428,9 +435,10 @@ STORED = {
         "CASE WHEN k.finding_id IS NULL THEN evidence ELSE k.evidence_snippet END evidence_snippet, k.notes notes "
         "FROM context c LEFT JOIN known k ON k.asset_id_fk = c.a AND k.sw_vuln_id_fk = c.pair"
     ),
+    "outcomes": _NUMBERED,
 }
 say("p1_record_stored_findings", _outcome, **STORED)
-say("s1_stream_stored_findings", _outcome, **STORED)
+say("s1_stream_stored_findings", _streamed, **STORED)
 say(
     "p1_stored_findings_after",
     "SELECT " + out("scan_findings", prefix="k.").replace(

@@ -312,7 +312,9 @@ def _ingested(spark: SparkSession, sf_dir: str, known: TableSet, feed_of: Callab
     in_parts(spark, sf_dir, "lineitem", SLICES[:2], work, start)
     sighting_stream.fold_log(spark, f"{work}/log")
     in_parts(spark, sf_dir, "lineitem", SLICES[2:], work, start)
-    return sighting_stream.read_outcomes(spark, f"{work}/log").drop(*INTERNAL)
+    outcomes = sighting_stream.read_outcomes(spark, f"{work}/log").drop(*INTERNAL)
+    # The ids of new findings depend on the batch they come in.
+    return outcomes.withColumn("finding_id", F.when(F.col("outcome") != "inserted", F.col("finding_id")))
 
 
 @job("s1_stream_record_findings")
