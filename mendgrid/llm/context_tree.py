@@ -5,8 +5,9 @@ Every node of every depth keeps a Krichevsky-Trofimov estimate of its bit, and t
 all depths by weights that the training texts earn. The tree is a table: counts go up from depth to depth by groupings, mixed
 estimates come down again by joins, and nothing of it is held whole in a task or the driver.
 
-Texts are scored in blocks of about 32 MB. A block asks once for each of its different byte strings
-(context and byte) and words and is joined to the answers. A string that no training text holds is
+Texts are scored in blocks of about 40 MB. A block asks once for each of its different byte strings
+(context and byte) and words; its answers come sorted before its texts, which are read one Arrow batch
+after the other. A string that no training text holds is
 a node without counts, so every string finds its exact place.
 """
 
@@ -18,22 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendgrid.llm.common import keep
 
 DEPTH = 5  # bytes of context; with the byte itself they have to fit 56 bits
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 40 << 20
 EDGE = 0xFF  # stands before the first byte and for the end; never part of UTF-8
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def _stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts with ``EDGE`` after each and ``depth`` of it before, and the place after each text's end."""
     gap = bytes([EDGE]) * (depth + 1)
-    data = np.frombuffer(gap[:depth] + gap.join(texts) + gap[:1], np.uint8)
+    data = np.frombuffer(gap.join([b"", *texts, b""])[1 : -depth or None], np.uint8)
     ends = np.cumsum([len(t) + depth + 1 for t in texts])
     return data, ends
 
@@ -65,6 +67,11 @@ def _counted(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
             high = min(len(data), low + _CHUNK)
             found = _strings(data, low, high, depth)[_is_scored(ends, low, high, depth)]
             parts.append(np.unique(found, return_counts=True))
+    return _joined(parts)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several parts added up."""
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     keys = np.concatenate([k for k, _ in parts])
@@ -72,52 +79,135 @@ def _counted(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return different, np.bincount(place, np.concatenate([n for _, n in parts]), len(different)).astype(np.int64)
 
 
+class _Answers:
+    """Values by string, in an open-addressing table of arrays; every string looked up has to be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(1, (2 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.last = size - 1
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last one gets it
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            rest = ~placed
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.values[slot]
+        missed = np.flatnonzero(self.keys[slot] != keys)
+        slot = slot[missed]
+        while len(missed):
+            slot = (slot + 1) & self.last
+            hit = self.keys[slot] == keys[missed]
+            out[missed[hit]] = self.values[slot[hit]]
+            missed, slot = missed[~hit], slot[~hit]
+        return out
+
+
+def _portions(column: pa.Array | pa.ChunkedArray) -> Iterator[list[bytes]]:
+    """The texts, A-Z lower-cased, a few MB at a time."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_py().translate(_LOWER))
+        size += len(held[-1])
+        if size >= 4 * _CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _ASKED = pa.schema([("block", pa.int32()), ("string", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
 
-def _asked(depth: int):
-    """For one block: its different strings and words with their numbers in training texts (0: only scored)."""
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        learnt, scored = [], []
-        words: Counter[bytes] = Counter()
-        unknown: set[bytes] = set()
-        for text, is_held_out in zip(table.column("text"), table.column("held_out").to_pylist(), strict=True):
-            value = text.as_py().translate(_LOWER)
-            (scored if is_held_out else learnt).append(value)
-            # bytes.split() parts at the six separators.
-            if is_held_out:
-                unknown.update(value.split())
-            else:
-                words.update(value.split())
-        words[b""] = len(learnt)  # ends; no word is empty
-        keys, counts = _counted(learnt, depth)
-        more = np.setdiff1d(_counted(scored, depth)[0], keys, assume_unique=True)
-        unknown.difference_update(words)
-        strings = np.concatenate([keys, more])
-        held = [*words, *unknown]
-        n, m = len(strings), len(held)
-        return pa.table(
+class _Wanted:
+    """What one block asks for: its different strings and words with their numbers in training texts."""
+
+    def __init__(self, number: int):
+        self.number, self.ends = number, 0
+        self.learnt: list[tuple[np.ndarray, np.ndarray]] = []
+        self.scored: list[np.ndarray] = []
+        self.words: Counter[bytes] = Counter()
+        self.unknown: set[bytes] = set()
+
+    def add(self, part: pa.RecordBatch, depth: int) -> None:
+        is_held_out = part.column("held_out")
+        learnt = part.filter(pc.invert(is_held_out)).column("text")
+        self.ends += len(learnt)
+        for texts in _portions(learnt):
+            self.learnt.append(_counted(texts, depth))
+            for value in texts:
+                self.words.update(value.split())
+        for texts in _portions(part.filter(is_held_out).column("text")):
+            self.scored.append(_counted(texts, depth)[0])
+            for value in texts:
+                self.unknown.update(value.split())
+        if len(self.learnt) >= 8:
+            self.learnt = [_joined(self.learnt)]
+        if len(self.scored) >= 8:
+            self.scored = [np.unique(np.concatenate(self.scored))]
+
+    def rows(self) -> pa.RecordBatch:
+        self.words[b""] = self.ends  # no word is empty
+        self.unknown.difference_update(self.words)
+        keys, counts = _joined(self.learnt)
+        more = np.setdiff1d(np.concatenate([keys[:0], *self.scored]), keys)
+        held = [*self.words, *self.unknown]
+        n, m = len(keys) + len(more), len(held)
+        numbers = [counts, np.zeros(len(more), np.int64), np.fromiter(self.words.values(), np.int64), np.zeros(len(self.unknown), np.int64)]
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(n + m, block, np.int32)),
-                pa.concat_arrays([pa.array(strings), pa.nulls(m, pa.int64())]),
+                pa.array(np.full(n + m, self.number, np.int32)),
+                pa.concat_arrays([pa.array(np.concatenate([keys, more])), pa.nulls(m, pa.int64())]),
                 pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(held, pa.binary())]),
-                pa.array(np.concatenate([counts, np.zeros(len(more), np.int64), np.fromiter(words.values(), np.int64), np.zeros(len(unknown), np.int64)])),
+                pa.array(np.concatenate(numbers)),
             ],
             schema=_ASKED,
         )
 
+
+def _asked(depth: int):
+    """What the blocks ask for, from texts sorted by block."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            place = batch.column("block").to_numpy()
+            cuts = (np.flatnonzero(np.diff(place)) + 1).tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(place)], strict=True):
+                if low == high:
+                    continue
+                if block is None or block.number != place[low]:
+                    if block is not None:
+                        yield from _slices(block.rows())
+                    block = _Wanted(int(place[low]))
+                block.add(batch.slice(low, high - low), depth)
+        if block is not None:
+            yield from _slices(block.rows())
+
     return ask
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(low, rows) for low in range(0, len(batch), rows))
+
+
 def _log_gamma(x: Column) -> Column:
     """ln Γ(x) for x > 0 by Stirling's series at x + 8."""
     y = x + 8
-    series = (
-        F.lit(1 / 12) / y - F.lit(1 / 360) / (y * y * y) + F.lit(1 / 1260) / F.pow(y, F.lit(5))
-        - F.lit(1 / 1680) / F.pow(y, F.lit(7)) + F.lit(1 / 1188) / F.pow(y, F.lit(9))
-    )
+    square = y * y
+    series = F.lit(1 / 1188)
+    for term in (-1 / 1680, 1 / 1260, -1 / 360, 1 / 12):
+        series = F.lit(term) + series / square
+    series = series / y
     product = x
     for j in range(1, 8):
         product = product * (x + j)
@@ -216,48 +306,81 @@ _SCORES = pa.schema(
 )
 
 
-def _scored(depth: int, tokens: int, kinds: int):
-    """For one block: its texts' scores from the answers to its strings and words."""
-
-    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(docs):
-            return _SCORES.empty_table()
-        of_string = answers.filter(answers.column("string").is_valid())
-        keys, values = of_string.column("string").to_numpy(), of_string.column("log10_p").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        of_word = answers.filter(answers.column("word").is_valid())
-        known = dict(zip(of_word.column("word").to_pylist(), of_word.column("c").to_pylist(), strict=True))
-        scale = math.log10(tokens + 0.5 * (kinds + 1))
-        absent = math.log10(0.5) - scale
-        worth = {w: math.log10(c + 0.5) - scale for w, c in known.items()}
-        n_tokens, n_known, base, texts = [], [], [], []
-        for text in docs.column("text"):
-            value = text.as_py().translate(_LOWER)
-            words = value.split()
-            found = [worth[w] for w in words if w in worth]
-            end = worth.get(b"", absent)
-            n_tokens.append(len(words) + 1)
-            n_known.append(len(found) + (b"" in worth))
-            base.append(math.fsum(found) + (len(words) - len(found)) * absent + end)
-            texts.append(value)
-        data, ends = _stream(texts, depth)
-        total = np.zeros(len(texts))
-        for low in range(depth, len(data), _CHUNK):
-            high = min(len(data), low + _CHUNK)
-            ok = _is_scored(ends, low, high, depth)
-            found = values[np.searchsorted(keys, _strings(data, low, high, depth)[ok])]
-            owner = np.searchsorted(ends, np.flatnonzero(ok) + low, "right")
-            first, last = int(owner[0]) if len(owner) else 0, int(owner[-1]) if len(owner) else -1
-            total[first : last + 1] += np.bincount(owner - first, found, last + 1 - first)
-        return pa.table(
+def _total(texts: list[bytes], strings: _Answers, depth: int) -> np.ndarray:
+    """Sum of the answers to each text's strings."""
+    data, ends = _stream(texts, depth)
+    total = np.zeros(len(texts))
+    for low in range(depth, len(data), _CHUNK):
+        high = min(len(data), low + _CHUNK)
+        value = np.zeros(high - low)
+        ok = _is_scored(ends, low, high, depth)
+        value[ok] = strings.of(_strings(data, low, high, depth)[ok])
+        first, last = np.searchsorted(ends, [low, high - 1], "right").tolist()
+        edges = np.concatenate([[low], ends[first:last]]) - low
+        total[first : last + 1] += np.add.reduceat(value, edges)[: len(total) - first]
+    return total
+
+
+class _Block:
+    """The answers of one block: values by string, log10 probabilities by word."""
+
+    def __init__(self, number: int, tokens: int, kinds: int):
+        self.number, self.held, self.strings = number, [], None
+        self.scale = math.log10(tokens + 0.5 * (kinds + 1))
+        self.absent = math.log10(0.5) - self.scale
+        self.worth: dict[bytes, float] = {}
+
+    def add(self, part: pa.RecordBatch) -> None:
+        of_string = part.filter(part.column("string").is_valid())
+        self.held.append((of_string.column("string").to_numpy(), of_string.column("value").to_numpy()))
+        of_word = part.filter(part.column("word").is_valid())
+        counts = np.log10(of_word.column("value").to_numpy() + 0.5) - self.scale
+        self.worth.update(zip(of_word.column("word").to_pylist(), counts.tolist(), strict=True))
+
+    def scored(self, part: pa.RecordBatch, depth: int) -> pa.RecordBatch:
+        if self.strings is None:
+            self.strings = _Answers(*(np.concatenate([h[i] for h in self.held]) for i in (0, 1)))
+            self.held = []
+        worth, absent = self.worth, self.absent
+        n_tokens, n_known, base, n_bytes, totals = [], [], [], [], []
+        for texts in _portions(part.column("text")):
+            for value in texts:
+                words = value.split()
+                found = [worth[w] for w in words if w in worth]
+                n_tokens.append(len(words) + 1)
+                n_known.append(len(found) + (b"" in worth))
+                base.append(math.fsum(found) + (len(words) - len(found)) * absent + worth.get(b"", absent))
+                n_bytes.append(len(value))
+            totals.append(_total(texts, self.strings, depth))
+        return pa.RecordBatch.from_arrays(
             [
-                docs.column("doc_id"), docs.column("held_out"), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(total),
+                part.column("doc_id"), part.column("held_out"), pa.array(n_bytes, pa.int64()),
+                pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
+                pa.array(np.concatenate(totals)),
             ],
             schema=_SCORES,
         )
 
+
+def _scored(depth: int, tokens: int, kinds: int):
+    """Scores of texts from rows sorted by block, a block's answers before its texts."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            place = 2 * batch.column("block").to_numpy().astype(np.int64) + batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(place)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+                if low == high:
+                    continue
+                part, number, kind = batch.slice(low, high - low), int(place[low]) // 2, int(place[low]) % 2
+                if block is None or block.number != number:
+                    block = _Block(number, tokens, kinds)
+                if kind:
+                    yield block.scored(part, depth)
+                else:
+                    block.add(part)
+
     return score
 
 
@@ -286,7 +409,9 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         held_out(F.col("doc_id")).alias("held_out"), "text",
     )
     asked = keep(
-        placed.groupBy("block").applyInArrow(_asked(depth), "block int, string long, word binary, n long"), "asked"
+        placed.repartition("block").sortWithinPartitions("block")
+        .mapInArrow(_asked(depth), "block int, string long, word binary, n long"),
+        "asked",
     )
     words = asked.where("word is not null").select("block", "word", F.sum("n").over(Window.partitionBy("word")).alias("c"))
     words = keep(words.where("c > 0"), "words")
@@ -294,16 +419,29 @@ def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     kinds = words.select("word").distinct().count()
     strings = asked.where("string is not null")
     scores = string_scores(keep(strings.groupBy("string").agg(F.sum("n").alias("n")), "strings"), depth)
+    # A string's value is its probability, a word's its number; both are exact in a double.
     answers = (
         strings.select("block", "string").join(scores, "string")
-        .select("block", "string", F.lit(None).cast("binary").alias("word"), "log10_p", F.lit(None).cast("long").alias("c"))
+        .select("block", "string", F.lit(None).cast("binary").alias("word"), F.col("log10_p").alias("value"))
         .unionByName(
-            words.select("block", F.lit(None).cast("long").alias("string"), "word", F.lit(None).cast("double").alias("log10_p"), "c")
+            words.select("block", F.lit(None).cast("long").alias("string"), "word", F.col("c").cast("double").alias("value"))
         )
     )
-    found = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scored(depth, tokens, kinds),
-        "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double",
+    nothing = {"doc_id": "long", "held_out": "boolean", "text": "binary", "string": "long", "word": "binary", "value": "double"}
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(
+            "block", F.lit(kind).alias("kind"),
+            *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in nothing.items()],
+        )
+
+    found = (
+        rows(answers, 0).unionByName(rows(placed, 1))
+        .repartition("block").sortWithinPartitions("block", "kind")
+        .mapInArrow(
+            _scored(depth, tokens, kinds),
+            "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double",
+        )
     )
     return found.select(
         "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
