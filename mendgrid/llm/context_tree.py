@@ -29,6 +29,7 @@ DEPTH = 5  # bytes of context; with the byte itself they have to fit 56 bits
 BLOCK_BYTES = 40 << 20
 EDGE = 0xFF  # stands before the first byte and for the end; never part of UTF-8
 _CHUNK = 1 << 19
+_PORTION = 8 << 20  # bytes of text taken together
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -63,8 +64,8 @@ def _counted(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     parts = []
     if texts:
         data, ends = _stream(texts, depth)
-        for low in range(depth, len(data), _CHUNK):
-            high = min(len(data), low + _CHUNK)
+        for low in range(depth, len(data), 4 * _CHUNK):
+            high = min(len(data), low + 4 * _CHUNK)
             found = _strings(data, low, high, depth)[_is_scored(ends, low, high, depth)]
             parts.append(np.unique(found, return_counts=True))
     return _joined(parts)
@@ -118,7 +119,7 @@ def _portions(column: pa.Array | pa.ChunkedArray) -> Iterator[list[bytes]]:
     for text in column:
         held.append(text.as_py().translate(_LOWER))
         size += len(held[-1])
-        if size >= 4 * _CHUNK:
+        if size >= _PORTION:
             yield held
             held, size = [], 0
     if held:
@@ -346,7 +347,8 @@ class _Block:
         for texts in _portions(part.column("text")):
             for value in texts:
                 words = value.split()
-                found = [worth[w] for w in words if w in worth]
+                # No log10 probability is 0.
+                found = list(filter(None, map(worth.get, words)))
                 n_tokens.append(len(words) + 1)
                 n_known.append(len(found) + (b"" in worth))
                 base.append(math.fsum(found) + (len(words) - len(found)) * absent + worth.get(b"", absent))
