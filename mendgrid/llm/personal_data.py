@@ -48,7 +48,7 @@ def base_spans(text: str) -> list[Span]:
         end = last
     if not _TRIGGER.search(text):
         return found
-    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
             found.append(("card", m.start(), m.end()))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mendgrid.llm import context_tree, periodic_runs, queries, whitening
+from mendgrid.llm import context_tree, periodic_runs, personal_data, queries, whitening
 
 PROSE = "the quick brown fox jumps over the lazy dog and the Quick dog sleeps"
 
@@ -329,3 +329,10 @@ def test_registered_queries_return_the_contracts_columns(spark):
     for name, columns in wanted.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert columns <= set(df.columns) and df.count() > 0
+
+
+def test_addresses_with_thousands_of_zeros():
+    """The length of a part doesn't matter, only its value."""
+    zeros = "x " + "0" * 5000 + ".1.1.1"
+    assert personal_data.base_spans(zeros) == [("ip", 2, len(zeros))]
+    assert personal_data.base_spans("x " + "0" * 5000 + "256.1.1.1") == []
