@@ -1,23 +1,32 @@
-"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over all their terms."""
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over all their terms, from a
+block-max inverted index that is stored as a table and read by the workers."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendgrid.llm.common import keep, texts
+from mendgrid.llm.common import keep, texts, work_folder
 from mendgrid.llm.shingles import batches, shingle_sets
 
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-CANDIDATES = 64  # examples that are scored whole once no other can be among the nearest
+BLOCK = 64  # consecutive examples that share one maximum per term
+SHARD = 16_000_000  # postings that a worker holds at once
+WORDS_HELD = 300_000  # words or terms that a task remembers at once
 
 
 def terms_of(word: str) -> list[str]:
@@ -29,109 +38,324 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
+def _digest(text: str) -> bytes:
+    return blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
+
+
+def _ranges(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from start[i] to start[i + 1] for each i, in a row, and how many each has."""
+    sizes = start[of + 1] - start[of]
+    ends = np.cumsum(sizes)
+    return np.repeat(start[of] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+
+def _table(path: str, columns: list[str]) -> pa.Table:
+    """A table that Spark stored, read by a worker from the shared folder."""
+    place, folder = FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
+    return pq.read_table(folder, columns=columns, filesystem=place, partitioning=None)
+
+
+class Vocabulary:
+    """Terms in order and their weights: idf times the weight by class."""
+
+    def __init__(self, path: str):
+        known = _table(path, ["term", "gain"]).sort_by("term").combine_chunks()
+        self.names, self.gain = known["term"], known["gain"].to_numpy()
+        self.terms = {t: i for i, t in enumerate(self.names.to_pylist())}
+        self.cache: dict[str, tuple[int, ...]] = {}
+
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of the text, and how often it has them."""
+        found: list[int] = []
+        times: list[int] = []
+        if len(self.cache) > WORDS_HELD:
+            self.cache.clear()
+        for word, n in Counter(_WORDS.findall(text.lower())).items():
+            got = self.cache.get(word)
+            if got is None:
+                got = self.cache[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+            found += got
+            times += [n] * len(got)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0)
+        ids, place = np.unique(np.array(found, np.int64), return_inverse=True)
+        return ids, np.bincount(place, times)
+
+    def weighted(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.gain[ids]
+        return ids, w / np.sqrt((w * w).sum())
+
+
+class Shard:
+    """Postings of the examples ``low`` to ``high``, by term and then block of ``BLOCK`` examples, with the
+    largest weight of each term in each of its blocks."""
+
+    def __init__(self, path: str, vocabulary: Vocabulary, norm: np.ndarray, low: int, high: int):
+        rows = _table(path, ["term", "block", "most", "examples", "counts"])
+        rows = rows.sort_by([("term", "ascending"), ("block", "ascending")]).combine_chunks()
+        term = pc.index_in(rows["term"], vocabulary.names).to_numpy().astype(np.int64)
+        self.low, self.size = low, high - low
+        self.blocks = -(-self.size // BLOCK)
+        self.entry = np.searchsorted(term, np.arange(len(vocabulary.terms) + 1))  # blocks of a term
+        self.block, self.block_most = rows["block"].to_numpy(), rows["most"].to_numpy()
+        lists = rows["examples"].combine_chunks()
+        of = lists.values.to_numpy()
+        sizes = pc.list_value_length(lists).to_numpy()
+        self.start = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)  # postings of a block
+        counts = rows["counts"].combine_chunks().values.to_numpy()
+        self.weight = (1 + np.log(counts)) * np.repeat(vocabulary.gain[term], sizes) / norm[of]
+        self.example = of - low
+        self.most = np.zeros(len(vocabulary.terms))
+        np.maximum.at(self.most, term, self.block_most)
+        self.postings = self.start[self.entry]  # of a term
+        self.read = 0  # blocks of terms read by the last search
+
+    def _least(self, found: np.ndarray, wanted: int) -> float:
+        """What the last of the nearest examples scores at least."""
+        return max(0.0, np.partition(found, -wanted)[-wanted]) if len(found) > wanted else 0.0
+
+    def nearest(self, ids: np.ndarray, w: np.ndarray, wanted: int, skip: list[int]) -> list[tuple[float, int]]:
+        """The ``wanted`` examples with the largest cosine, exactly; ties go to the lower number.
+
+        Terms are added by the most they can add, until an example without any of them can't be near. The
+        other terms are read by blocks of examples, in the order of what the maxima of these terms leave
+        possible in a block, and blocks that can't reach the last of the nearest are never read."""
+        bounds = w * self.most[ids]
+        by = np.argsort(-bounds, kind="stable")
+        rest = np.concatenate([np.cumsum(bounds[by][::-1])[::-1], [0.0]])
+        found = np.zeros(self.size)
+        found[[i - self.low for i in skip if 0 <= i - self.low < self.size]] = -np.inf
+        at, step, last, self.read = 0, 16, 0.0, 0
+        while at < len(by):
+            part = by[at : at + step]
+            at, step = at + len(part), 2 * step
+            places, sizes = _ranges(self.postings, ids[part])
+            found += np.bincount(self.example[places], np.repeat(w[part], sizes) * self.weight[places], self.size)
+            self.read += int((self.entry[ids[part] + 1] - self.entry[ids[part]]).sum())
+            last = self._least(found, wanted)
+            if last > 2 * rest[at]:
+                break
+        whole = np.full(self.blocks, at == len(by))
+        if at < len(by):
+            entries, sizes = _ranges(self.entry, ids[by[at:]])
+            block, heavy = self.block[entries], np.repeat(w[by[at:]], sizes)
+            bound = np.maximum.reduceat(found, np.arange(0, self.size, BLOCK)) + np.bincount(block, heavy * self.block_most[entries], self.blocks)
+            order, at, step = np.argsort(-bound, kind="stable"), 0, 8
+            while at < len(order) and bound[order[at]] >= last - 1e-9:
+                part = order[at : at + step]
+                part = part[bound[part] >= last - 1e-9]
+                at, step = at + len(part), 2 * step
+                whole[part] = True
+                now = np.zeros(self.blocks, bool)
+                now[part] = True
+                now = now[block]
+                places, sizes = _ranges(self.start, entries[now])
+                found += np.bincount(self.example[places], np.repeat(heavy[now], sizes) * self.weight[places], self.size)
+                self.read += int(now.sum())
+                last = self._least(found, wanted)
+        left = np.flatnonzero(np.repeat(whole, BLOCK)[: self.size])
+        scores = found[left]
+        order = np.lexsort((left, -scores))[:wanted]
+        return [(s, i + self.low) for s, i in zip(scores[order].tolist(), left[order].tolist(), strict=True) if s > 0]
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
+@lru_cache(maxsize=1)
+def _shard(path: str, terms: str, norm: bytes, low: int, high: int) -> Shard:
+    """The last shard read stays with the worker; an index of one shard is read once."""
+    return Shard(path, _vocabulary(terms), np.frombuffer(norm), low, high)
+
+
 @dataclass
 class Index:
-    """Postings of the examples by term and terms by example, with the largest weight of each term."""
-
-    terms: dict[str, int]
-    idf: np.ndarray  # times the weight of the term by class
-    start: np.ndarray  # of the postings of a term, terms + 1
-    example: np.ndarray
-    weight: np.ndarray
-    most: np.ndarray  # by term
-    own_start: np.ndarray  # of the terms of an example, examples + 1
-    own_term: np.ndarray
-    own_weight: np.ndarray
+    """Where the tables of terms and blocks lie, and the numbers kept per example."""
+
+    terms_path: str
+    blocks_path: str
+    cuts: list[int]  # the examples of shard i are cuts[i] to cuts[i + 1]
+    norm: bytes  # doubles, by example
     doc_ids: np.ndarray
     toxic: np.ndarray
+    same: dict[bytes, list[int]]  # examples by the digest of their text
     neighbours: int
     steps: np.ndarray  # votes at which the calibrated score rises
     scores: np.ndarray
     alone: float  # score without any neighbour
 
-    def __post_init__(self):
-        self._query = np.zeros(len(self.terms))  # of the query at hand, all 0 between queries
+    @property
+    def vocabulary(self) -> Vocabulary:
+        return _vocabulary(self.terms_path)
+
+    @property
+    def terms(self) -> dict[str, int]:
+        return self.vocabulary.terms
+
+    def shards(self) -> Iterator[Shard]:
+        for i, (low, high) in enumerate(zip(self.cuts, self.cuts[1:])):  # noqa: B905
+            yield _shard(f"{self.blocks_path}/shard={i}", self.terms_path, self.norm, low, high)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(sorted(counts), np.int64)
-        return self.weighted(ids, np.array([counts[i] for i in ids.tolist()], float))
+        return self.vocabulary.weighted(ids, np.array([counts[i] for i in ids.tolist()], float))
 
-    def weighted(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[ids]
-        return ids, w / np.sqrt((w * w).sum())
+    def best(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        return sorted(found, key=lambda f: (-f[0], f[1]))[: self.neighbours]
 
-    def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The ``neighbours`` examples with the largest cosine, exactly; ties go to the lower number. Terms
-        are added by the most they can add, until what the rest can add leaves few candidates; these are
-        then scored over all terms."""
-        bounds = w * self.most[ids]
-        by = np.argsort(-bounds, kind="stable")
-        rest = np.concatenate([np.cumsum(bounds[by][::-1])[::-1], [0.0]])
-        found = np.zeros(len(self.doc_ids))
-        if skip >= 0:
-            found[skip] = -np.inf
-        at, step, left = 0, 16, np.empty(0, np.int64)
-        while at < len(by):
-            part = by[at : at + step]
-            at, step = at + len(part), 2 * step
-            places, sizes = _ranges(self.start, ids[part])
-            found += np.bincount(self.example[places], np.repeat(w[part], sizes) * self.weight[places], len(found))
-            last = max(0.0, np.partition(found, -self.neighbours)[-self.neighbours]) if len(found) > self.neighbours else 0.0
-            if at < len(by) and last <= rest[at]:
-                continue  # an example without any of the terms so far could still be near
-            left = np.flatnonzero(found >= last - rest[at] - 1e-9)
-            if len(left) <= CANDIDATES:
-                break
-        places, sizes = _ranges(self.own_start, left)
-        self._query[ids] = w
-        shared = self._query[self.own_term[places]] * self.own_weight[places]
-        self._query[ids] = 0
-        scores = np.bincount(np.repeat(np.arange(len(left)), sizes), shared, len(left))
-        order = np.lexsort((left, -scores))[: self.neighbours]
-        return [(s, i) for s, i in zip(scores[order].tolist(), left[order].tolist(), strict=True) if s > 0]
+    def nearest(self, ids: np.ndarray, w: np.ndarray, skip: list[int] | None = None) -> list[tuple[float, int]]:
+        return self.best([f for s in self.shards() for f in s.nearest(ids, w, self.neighbours, skip or [])])
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Votes weighted by 1 / (distance + 0.1), with distance 1 - cosine."""
         weight = [1 / (1.1 - s) for s, _ in near]
         return sum(w * self.toxic[i] for w, (_, i) in zip(weight, near, strict=True)) / sum(weight)
 
-    def score(self, text: str, cache: dict[str, tuple[int, ...]]) -> tuple[float, list[tuple[float, int]]]:
-        found: list[int] = []
-        times: list[int] = []
-        for word, n in Counter(_WORDS.findall(text.lower())).items():
-            got = cache.get(word)
-            if got is None:
-                got = cache[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            found += got
-            times += [n] * len(got)
-        near = []
-        if found:
-            ids, place = np.unique(np.array(found, np.int64), return_inverse=True)
-            near = self.nearest(*self.weighted(ids, np.bincount(place, times)))
-        if not near:
-            return self.alone, []
-        return float(self.scores[np.searchsorted(self.steps, self.vote(near), side="right")]), near
+    def near(self, batch: list[str]) -> list[list[tuple[float, int]]]:
+        """The nearest examples of each text. An example of the same text has no vote on it: no text is
+        judged by its own label."""
+        queries: list[tuple[int, np.ndarray, np.ndarray, list[int]]] = []
+        near: list[list[tuple[float, int]]] = [[] for _ in batch]
+        if len(self.cuts) < 2:
+            return near
+        for k, text in enumerate(batch):
+            ids, counts = self.vocabulary.counted(text)
+            if len(ids):
+                queries.append((k, *self.vocabulary.weighted(ids, counts), self.same.get(_digest(text), [])))
+        for shard in self.shards():
+            for k, ids, w, skip in queries:
+                near[k] += shard.nearest(ids, w, self.neighbours, skip)
+        return [self.best(n) for n in near] if len(self.cuts) > 2 else near
+
+    def calibrated(self, near: list[tuple[float, int]]) -> float:
+        return float(self.scores[np.searchsorted(self.steps, self.vote(near), side="right")]) if near else self.alone
+
+    @cached_property
+    def _own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vectors of the examples one after the other, to look at them: starts, terms, weights."""
+        example, term, weight = [], [], []
+        for s in self.shards():
+            example.append(s.example + s.low)
+            term.append(np.repeat(np.arange(len(self.terms)), np.diff(s.postings)))
+            weight.append(s.weight)
+        example, term, weight = (np.concatenate(x) for x in (example, term, weight))
+        by = np.lexsort((term, example))
+        return np.searchsorted(example[by], np.arange(len(self.doc_ids) + 1)), term[by], weight[by]
+
+    @property
+    def own_start(self) -> np.ndarray:
+        return self._own[0]
+
+    @property
+    def own_term(self) -> np.ndarray:
+        return self._own[1]
+
+    @property
+    def own_weight(self) -> np.ndarray:
+        return self._own[2]
+
+
+def _postings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of the batch's examples by term, and how many of them are toxic."""
+    for batch in rows:
+        held: dict[str, tuple[list[int], list[int]]] = {}
+        toxic: Counter[str] = Counter()
+        for example, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found: Counter[str] = Counter()
+            for word, n in Counter(_WORDS.findall(text.lower())).items():
+                for t in terms_of(word):
+                    found[t] += n
+            for t, n in found.items():
+                at = held.setdefault(t, ([], []))
+                at[0].append(example)
+                at[1].append(n)
+            if label:
+                toxic.update(found.keys())
+        ints = pa.list_(pa.int32())
+        columns = [pa.array(list(held), pa.string()), pa.array([toxic[t] for t in held], pa.int64()), pa.array([a for a, _ in held.values()], ints), pa.array([c for _, c in held.values()], ints)]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "examples", "counts"])
 
 
-def _ranges(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places from start[i] to start[i + 1] for each i, in a row, and how many each has."""
-    sizes = start[of + 1] - start[of]
-    ends = np.cumsum(sizes)
-    return np.repeat(start[of] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+def _held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold a term, summed as far as a task remembers."""
+    n: Counter[str] = Counter()
+    cache: dict[str, list[str]] = {}
 
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "held"])
 
-def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts of the batch hold a term, and how many of them are toxic."""
     for batch in rows:
-        every, toxic = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = {t for w in set(_WORDS.findall(text.lower())) for t in terms_of(w)}
-            every.update(found)
-            if label:
-                toxic.update(found)
-        kept = list(every)
-        columns = [pa.array(kept, pa.string()), pa.array([every[t] for t in kept], pa.int64()), pa.array([toxic[t] for t in kept], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "n", "toxic"])
+        for text in batch.column(0).to_pylist():
+            found: set[str] = set()
+            for word in set(_WORDS.findall(text.lower())):
+                got = cache.get(word)
+                if got is None:
+                    got = cache[word] = terms_of(word)
+                found.update(got)
+            n.update(found)
+            if len(n) > WORDS_HELD:
+                yield counted()
+                n.clear()
+                cache.clear()
+    if n:
+        yield counted()
+
+
+def _squares(examples: int):
+    """The sum of the squared weights of each example, and how many terms it has."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square, terms = np.zeros(examples), np.zeros(examples, np.int64)
+        for batch in rows:
+            of, w = _gains(batch)
+            square += np.bincount(of, w * w, examples)
+            terms += np.bincount(of, minlength=examples)
+        held = np.flatnonzero(terms)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(square[held]), pa.array(terms[held])], ["example", "square", "terms"])
+
+    return run
+
+
+def _gains(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The postings of the rows ``gain, examples, counts`` one after the other: example, weight before the norm."""
+    gain, lists, counts = (batch.column(c) for c in ("gain", "examples", "counts"))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(), (1 + np.log(counts.flatten().to_numpy())) * np.repeat(gain.to_numpy(), sizes)
+
+
+def _cut(norm: bytes, cuts: list[int]):
+    """Rows of blocks: the postings of a term among ``BLOCK`` consecutive examples of a shard, with their maximum."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms, low = np.frombuffer(norm), np.array(cuts)
+        for batch in rows:
+            of, w = _gains(batch)
+            if not len(of):
+                continue
+            sizes = pc.list_value_length(batch.column("examples")).to_numpy(zero_copy_only=False)
+            row, counts = np.repeat(np.arange(len(batch)), sizes), batch.column("counts").flatten().to_numpy()
+            by = np.lexsort((of, row))
+            of, w, row, counts = of[by], w[by] / norms[of[by]], row[by], counts[by]
+            shard = np.searchsorted(low, of, side="right") - 1
+            block = (of - low[shard]) // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(shard) != 0) | (np.diff(block) != 0)]))
+            ends = pa.array(np.append(first, len(of)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (of, counts)]
+            columns = [batch.column("term").take(pa.array(row[first])), pa.array(shard[first].astype(np.int32)), pa.array(block[first].astype(np.int32)), pa.array(np.maximum.reduceat(w, first)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "shard", "block", "most", "examples", "counts"])
+
+    return run
+
+
+def _votes(index: Index):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            votes = [index.vote(n) if n else None for n in index.near(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["toxic", "vote"])
+
+    return run
 
 
 def _least_shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,47 +375,6 @@ def _not_near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(far, pa.bool_())).drop_columns(["first"])
 
 
-def _held_by(terms: dict[str, int]):
-    """How many texts hold each of the terms."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(terms), np.int64)
-        cache: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if len(cache) > 500_000:
-                    cache.clear()
-                found: set[int] = set()
-                for word in set(_WORDS.findall(text.lower())):
-                    got = cache.get(word)
-                    if got is None:
-                        got = cache[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
-                    found.update(got)
-                n[list(found)] += 1
-        held = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], ["term", "n"])
-
-    return run
-
-
-def _vectors(terms: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(2).to_pylist():
-                found: Counter[int] = Counter()
-                for word, n in Counter(_WORDS.findall(text.lower())).items():
-                    for t in terms_of(word):
-                        if t in terms:
-                            found[terms[t]] += n
-                ids.append(list(found))
-                counts.append(list(found.values()))
-            arrays = [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "ids", "counts"])
-
-    return run
-
-
 def rising(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(steps, scores): the non-decreasing step function of the vote closest to the labels, with half an
     example of either kind added to each step."""
@@ -236,7 +419,7 @@ def examples(docs: DataFrame, train: DataFrame, per_class: int) -> DataFrame:
     return keep(best[0].unionByName(best[1]).select("text", "toxic", F.col("at.doc_id").alias("doc_id")), "examples")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float = 3.0, neighbours: int = 15) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float = 3.0, neighbours: int = 15, shard: int = SHARD) -> Index:
     """An index of at most ``per_class`` labelled examples of either class, taken in hash order from the
     rows that aren't held out, after copies and verified near copies.
 
@@ -244,83 +427,101 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
     ratio z between the classes: the log of the ratio times z^2 / (z^2 + sure^2), where z is that log in
     standard errors, and a little for a term that tells nothing. Inputs are texts and labels alone.
     Without examples of both classes, every text scores the share of toxic examples, or 0 without any.
+
+    The driver sees a few numbers of each example. Terms and postings are tables in the shared folder:
+    examples are numbered by class and length, postings cut into blocks of them, and blocks into shards
+    of about ``shard`` postings, of which a worker holds one at a time.
     """
+    spark = docs.sparkSession
     train = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     train = train.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = examples(docs, train, per_class)
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    counted = sample.select("text", "toxic").mapInArrow(_count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    known = counted.toArrow().sort_by("term") if n0 and n1 else None
-    terms = {t: i for i, t in enumerate(known["term"].to_pylist())} if known else {}
-    idf = np.empty(0)
-    if terms:
-        a, b = (x.astype(float) for x in (known["toxic"].to_numpy(), known["n"].to_numpy() - known["toxic"].to_numpy()))
-        odds = np.abs(np.log((a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-        held = np.zeros(len(terms))
-        every = texts(docs).select("text").mapInArrow(_held_by(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        held[every["term"].to_numpy()] = every["n"].to_numpy()
-        del every
-        idf = (np.log((docs.count() + 1) / (held + 1)) + 1) * (odds * z**2 / (z**2 + sure**2) + 0.01)
-    del known
-    found = sample.select("doc_id", "toxic", "text").mapInArrow(_vectors(terms), "doc_id long, toxic int, ids array<int>, counts array<int>").toArrow()
-    found = found.sort_by([("toxic", "ascending"), ("doc_id", "ascending")])
-    ids, counts = found["ids"].combine_chunks(), found["counts"].combine_chunks()
-    toxic = found["toxic"].to_numpy().astype(float)
-    none = np.empty(0)
-    index = Index(terms, idf, *[none] * 7, found["doc_id"].to_numpy(), toxic, neighbours, none, np.zeros(1), 0.0)
-    vectors = []
-    for i in range(len(found)):
-        own, times = ids[i].values.to_numpy(), counts[i].values.to_numpy().astype(float)
-        by = np.argsort(own)
-        vectors.append(index.weighted(own[by], times[by]) if len(own) else (np.empty(0, np.int32), np.empty(0)))
-    del found, ids, counts
-    term = np.concatenate([np.empty(0, np.int32), *(v[0] for v in vectors)])
-    weight = np.concatenate([np.empty(0), *(v[1] for v in vectors)])
-    lengths = [len(v[0]) for v in vectors]
-    example = np.repeat(np.arange(len(vectors), dtype=np.int32), lengths)
-    index.own_start, index.own_term, index.own_weight = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64), term, weight
-    # The vectors are held once, as parts of the whole.
-    vectors = list(zip(np.split(term, index.own_start[1:-1]), np.split(weight, index.own_start[1:-1]), strict=True)) if vectors else []
-    by = np.argsort(term, kind="stable")
-    index.example, index.weight = example[by], weight[by]
-    index.start = np.searchsorted(term[by], np.arange(len(terms) + 1))
-    index.most = np.maximum.reduceat(index.weight, index.start[:-1]) if terms else none
+    # At most 2 * per_class rows of numbers.
+    drawn = sample.select("toxic", F.length("text").alias("n"), "doc_id", F.xxhash64("text").alias("h")).toArrow()
+    drawn = drawn.sort_by([("toxic", "ascending"), ("n", "ascending"), ("doc_id", "ascending"), ("h", "ascending")])
+    toxic = drawn["toxic"].to_numpy().astype(float)
+    n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
+    scale = {0: sizes.get(0, 0) / max(1, n0), 1: sizes.get(1, 0) / max(1, n1)}
+    index = Index("", "", [], b"", drawn["doc_id"].to_numpy(), toxic, {}, neighbours, np.empty(0), np.zeros(1), float(bool(n1 and not n0)))
+    if not (n0 and n1):
+        return index
+    number = {k: i for i, k in enumerate(zip(*(drawn[c].to_pylist() for c in ("toxic", "doc_id", "h")), strict=True))}
+    numbers = spark.createDataFrame([(*k, i) for k, i in number.items()], "toxic int, doc_id long, h long, example int")
+    sample = sample.withColumn("h", F.xxhash64("text")).join(numbers, ["toxic", "doc_id", "h"]).select("example", "toxic", "text")
+    sample = keep(sample.repartition(32, "example"), "numbered")
+    for r in sample.mapInArrow(_digests, "example int, digest binary").collect():
+        index.same.setdefault(bytes(r["digest"]), []).append(r["example"])
+
+    parts = sample.mapInArrow(_postings, "term string, toxic long, examples array<int>, counts array<int>")
+    own = parts.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.collect_list(F.struct("examples", "counts")).alias("p"))
+    own = own.select("term", "a", F.flatten("p.examples").alias("examples"), F.flatten("p.counts").alias("counts"))
+    own = own.withColumn("b", F.size("examples") - F.col("a"))
+    every = texts(docs).select("text").mapInArrow(_held, "term string, held long").groupBy("term").agg(F.sum("held").alias("held"))
+    a, b = F.col("a"), F.col("b")
+    odds = F.abs(F.log((a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))))
+    square = F.pow(odds, 2) / (1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
+    idf = F.log((docs.count() + 1) / (F.col("held") + 1)) + 1
+    known = own.join(every, "term").select("term", (idf * (odds * square / (square + sure**2) + 0.01)).alias("gain"), "examples", "counts")
+    index.terms_path = f"{work_folder(spark)}/terms-{uuid.uuid4().hex}"
+    known.write.option("compression", "zstd").parquet(index.terms_path)
+    known = spark.read.schema(known.schema).parquet(index.terms_path)
+    sums = known.mapInArrow(_squares(len(toxic)), "example long, square double, terms long").groupBy("example")
+    norm, terms = np.ones(len(toxic)), np.zeros(len(toxic), np.int64)
+    for r in sums.agg(F.sum("square").alias("square"), F.sum("terms").alias("terms")).collect():
+        norm[r["example"]], terms[r["example"]] = np.sqrt(r["square"]), r["terms"]
+    index.norm = norm.tobytes()
+    if terms.any():
+        index.cuts, held = [0], 0
+        for i, n in enumerate(terms.tolist()):
+            if held and n and held + n > shard:
+                index.cuts.append(i)
+                held = 0
+            held += n
+        index.cuts.append(len(toxic))
+        index.blocks_path = f"{work_folder(spark)}/blocks-{uuid.uuid4().hex}"
+        blocks = known.mapInArrow(_cut(index.norm, index.cuts), "term string, shard int, block int, most double, examples array<int>, counts array<int>")
+        blocks.write.option("compression", "zstd").partitionBy("shard").parquet(index.blocks_path)
+
     # Calibration on the examples themselves, each without its own vote and weighed by the size of its class.
-    scale = {y: sizes.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)}
     votes, ys, ws, alone = [], [], [], [0.0, 0.0]
-    for i, (ids, w) in enumerate(vectors):
-        y = int(toxic[i])
-        near = index.nearest(ids, w, skip=i) if len(ids) else []
-        if near:
-            votes.append(index.vote(near))
+    for r in sample.select("toxic", "text").mapInArrow(_votes(index), "toxic int, vote double").orderBy("vote", "toxic").collect():
+        y = r["toxic"]
+        if r["vote"] is None:
+            alone[y] += scale[y]
+        else:
+            votes.append(r["vote"])
             ys.append(y)
             ws.append(scale[y])
-        else:
-            alone[y] += scale[y]
     index.steps, index.scores = rising(np.array(votes), np.array(ys, float), np.array(ws))
-    index.alone = alone[1] / (alone[0] + alone[1]) if sum(alone) else (float(bool(n1)) if not n0 else 0.0)
+    index.alone = alone[1] / sum(alone) if sum(alone) else 0.0
     return index
 
 
+def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        digests = [_digest(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["example", "digest"])
+
+
 SCORES = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double>>"
+PART = 1000  # texts whose nearest examples are held at once
+
+
+def _parts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for at in range(0, len(batch), PART):
+            yield batch.slice(at, PART)
 
 
 def _score(index: Index, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                if len(cache) > 500_000:
-                    cache.clear()
-                s, near = index.score(text, cache)
-                scores.append(s)
-                evidence.append([{"doc_id": int(index.doc_ids[i]), "cosine": c} for c, i in near])
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows if len(index.cuts) > 2 else _parts(rows):
+            found = index.near(batch.column(1).to_pylist())
+            scores = [index.calibrated(near) for near in found]
+            evidence = [[{"doc_id": int(index.doc_ids[i]), "cosine": c} for c, i in near] for near in found]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-            arrays = [batch.column(0), pa.array(scores), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)]
+            arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted", "evidence"])
 
     return run
@@ -329,27 +530,24 @@ def _score(index: Index, threshold: float):
 def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     """``doc_id, score, predicted, evidence`` of every row: the calibrated vote of the nearest examples of
     the whole text, and those examples with their cosines. A text without any term of the index, an empty
-    or null text included, has no neighbour and scores what such examples do. Null doc_ids and repeated
-    rows are scored like any other, other columns aren't read, and an empty table gives no rows."""
+    or null text included, has no neighbour and scores what such examples do. Equal texts score alike.
+    Null doc_ids and repeated rows are scored like any other, other columns aren't read, and an empty
+    table gives no rows."""
     return texts(docs).mapInArrow(_score(index, threshold), SCORES)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, all columns as they are."""
-    index = fit(docs, labels)
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    found = texts(keyed, "__key").mapInArrow(_toxic_keys(index, threshold), "doc_id long, __text_key long").distinct()
-    on = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["__key"] == found["__text_key"])
-    return keyed.join(found, on, "left_anti").drop("__key")
-
-
-def _toxic_keys(index: Index, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            if len(cache) > 500_000:
-                cache.clear()
-            bad = pa.array([index.score(t, cache)[0] >= threshold for t in batch.column(1).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(bad), batch.column(2).filter(bad)], ["doc_id", "__text_key"])
+    """The rows of ``docs`` that aren't predicted toxic, all columns as they are, in one pass. A null text is
+    judged as an empty one, repeated rows alike, and an empty table stays empty."""
+    beside = docs.select(F.coalesce(docs["text"], F.lit("")).alias("__judged"), *(docs[f"`{c}`"] for c in docs.columns))
+    return beside.mapInArrow(_clean(fit(docs, labels), threshold), docs.schema)
+
+
+def _clean(index: Index, threshold: float):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows if len(index.cuts) > 2 else _parts(rows):
+            good = pa.array([index.calibrated(near) < threshold for near in index.near(batch.column(0).to_pylist())], pa.bool_())
+            kept = batch.filter(good)
+            yield pa.RecordBatch.from_arrays(kept.columns[1:], kept.schema.names[1:])
 
     return run

@@ -318,6 +318,61 @@ def test_toxicity_keeps_rare_terms(spark):
         assert all(cosines[i] == pytest.approx(s) for s, i in near)
 
 
+def test_toxicity_skips_blocks(spark):
+    """Blocks that can't hold a near example aren't read, and shards of the index change nothing."""
+    r = random.Random(13)
+    make = lambda k: " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(20)) + f" topic{chr(97 + k)} about{chr(97 + k)}"
+    rows = [(i, make(i * 20 // 1500)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 300 < 75)) for i in range(1500)], "doc_id long, toxic int")
+    index, cut = toxicity.fit(docs, labels), toxicity.fit(docs, labels, shard=4000)
+    assert len(index.cuts) == 2 and len(cut.cuts) > 5 and cut.doc_ids.tolist() == index.doc_ids.tolist()
+    shard = next(index.shards())
+    full = np.zeros((len(index.doc_ids), len(index.terms)))
+    for i in range(len(full)):
+        at = slice(index.own_start[i], index.own_start[i + 1])
+        full[i, index.own_term[at]] = index.own_weight[at]
+    assert np.allclose((full**2).sum(axis=1), 1)
+    skipped, texts = 0, [t for _, t in rows[::10]]
+    for text in texts:
+        ids, w = index.vocabulary.weighted(*index.vocabulary.counted(text))
+        near = shard.nearest(ids, w, 15, [])
+        cosines = full[:, ids] @ w
+        assert [s for s, _ in near] == pytest.approx(sorted(cosines, reverse=True)[:15])
+        skipped += int((shard.entry[ids + 1] - shard.entry[ids]).sum()) - shard.read
+    assert skipped > 0
+    for a, b in zip(index.near(texts), cut.near(texts), strict=True):
+        assert [s for s, _ in a] == pytest.approx([s for s, _ in b])
+
+
+def test_no_text_votes_on_itself(spark):
+    r = random.Random(14)
+    make = lambda: " ".join(r.choice(WORDS) + r.choice("abcd") for _ in range(12))
+    rows = [(i, make()) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    for x in toxicity.score(docs, index).collect():
+        assert x["evidence"] and x["doc_id"] not in {e["doc_id"] for e in x["evidence"]}
+
+
+def test_drop_toxic_keeps_rows_whole(spark):
+    """Nulls, repeated rows, long texts and clashing columns; the rows that stay are those below the threshold."""
+    r = random.Random(15)
+    make = lambda n, bad: " ".join([r.choice(WORDS) + r.choice("abcdefgh") for _ in range(n)] + ["grumpf zorkish"] * bad)
+    rows = [(i, make(30, i % 4 == 0), "en", "a", i, 1, 2, None) for i in range(400)]
+    rows += [rows[8], rows[9], (None, None, None, None, None, None, None, "x"), (500, "", "en", None, 0, 0, 0, "toxic"), (501, make(30_000, False), "en", "b", 1, 1, 1, "score")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit(3)).withColumn("predicted", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    want = sorted((repr(x["doc_id"]) for x in scored if x["score"] < 0.7))
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.schema == docs.schema and sorted(repr(x["doc_id"]) for x in kept.collect()) == want
+    assert set(kept.collect()) <= set(docs.collect()) and {"None", "500", "501"} <= set(want)
+    assert sum(i % 4 == 0 for i in range(400) if repr(i) in want) <= 2
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_drops_verified_copies_only(spark):
     """Texts that share a passage stay; copies take no places of the limit."""
     r = random.Random(4)
