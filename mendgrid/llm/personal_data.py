@@ -5,25 +5,28 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mendgrid.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
-# Fixed patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# Fixed patterns, in forms that never read a stretch twice: a run of digits is entered at its start only.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+MOST_CARD = 37  # characters of 19 digits with a mark between any two
 
-_AROUND = re.compile(r"[A-Za-z0-9._%+@-]*")
 _TRIGGER = re.compile(r"[0-9@]")
-_ISLAND = re.compile(r"\S*[0-9@]\S*(?:[ \t]\S*[0-9@]\S*)*")
+_ISLAND = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[ \t][^\s0-9@]*+[0-9@]\S*+)*+")
 _SHAPE = re.compile(r"[A-Za-zÀ-ɏ]+|[0-9]+|[^A-Za-z0-9À-ɏ]")
 MOST_WORDS, MOST_CHARS = 4, 64
 
@@ -38,19 +41,19 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """The spans of the fixed patterns, by kind and then start."""
     found: list[Span] = []
-    end = 0
-    while (at := text.find("@", end)) >= 0:  # an address lies in the run of its characters around an @
-        start = at
-        while start > end and _AROUND.fullmatch(text[start - 1]):
-            start -= 1
-        last = _AROUND.match(text, at).end()
-        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, start, last)]
-        end = last
+    free, at = 0, text.find("@")
+    while at >= 0:  # the run before an @, as far as no @ or earlier address ends it, and the domain after it
+        start = at - _LOCAL.match(text[free:at][::-1]).end()
+        free = at + 1
+        if start < at and (m := EMAIL.match(text, start)):
+            found.append(("email", start, m.end()))
+            free = m.end()
+        at = text.find("@", free)
     if not _TRIGGER.search(text):
         return found
     found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
-        if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
+        if m.end() - m.start() <= MOST_CARD and 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
             found.append(("card", m.start(), m.end()))
     for m in PHONE.finditer(text):
         if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -58,6 +61,25 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+class Covered:
+    """The fixed spans of a text as stretches that don't overlap, to be asked what touches them."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def touches(self, start: int, end: int, whole: bool = False) -> bool:
+        """If a stretch overlaps start to end, or holds it ``whole``."""
+        i = bisect_right(self.ends, start)
+        return i < len(self.ends) and (self.starts[i] <= start and self.ends[i] >= end if whole else self.starts[i] < end)
+
+
 def islands(text: str) -> Iterator[list[tuple[int, int]]]:
     """Neighbouring words that hold a digit or an @, as (start, end) without the marks around them. Only
     segments of an island can be entities; all other words are outside."""
@@ -136,8 +158,10 @@ def decode(weights: Weights, text: str, words: list[tuple[int, int]]) -> list[Sp
 
 def train(examples: list[tuple[str, list[tuple[int, int]], list[Span]]], epochs: int = 4, rate: float = 0.5, shrink: float = 1e-3) -> Weights:
     """Weights by stochastic gradient on the conditional likelihood of the segmentations: observed less
-    expected features, with expectations from the forward and backward sums over all segmentations."""
+    expected features, with expectations from the forward and backward sums over all segmentations. Examples
+    are trained in other forms of their spans too."""
     weights: Weights = defaultdict(lambda: dict.fromkeys(KINDS, 0.0))
+    examples = [v for e in examples for v in _variants(*e)]
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         for text, words, gold in examples:
@@ -162,40 +186,61 @@ def train(examples: list[tuple[str, list[tuple[int, int]], list[Span]]], epochs:
 
 
 def _variants(text: str, words: list[tuple[int, int]], gold: list[Span]) -> Iterator[tuple[str, list[tuple[int, int]], list[Span]]]:
-    """The island as it is, and its phone numbers in forms that the fixed pattern doesn't know: without the
-    country code, with points, with dashes."""
+    """The island as it is, and its fixed spans in forms that the patterns don't know: phone numbers without
+    the country code, with points or dashes; cards with points, bars or slashes; addresses in brackets."""
     yield text, words, gold
     for kind, start, end in gold:
-        if kind == "phone" and (m := re.fullmatch(r"\+\d{1,3} ?\(?(\d{3})\)?[ -](\d{3})-(\d{4})", text[start:end])):
-            for form in (f"({m[1]}) {m[2]}-{m[3]}", f"{m[1]}-{m[2]}-{m[3]}", f"{m[1]}.{m[2]}.{m[3]}"):
-                own = next(islands(form))
-                yield form, own, [("phone", own[0][0], own[-1][1])]
-
-
-def fit(docs: DataFrame, most: int = 3000) -> Weights:
-    """A field trained on all distinct islands of at most ``most`` documents, the first in hash order of those with
-    a digit or an @; their fixed spans are the labels. An empty table gives no weights, hence no spans."""
+        whole, forms = text[start:end], []
+        if kind == "phone" and (m := re.fullmatch(r"\+\d{1,3} ?\(?(\d{3})\)?[ -](\d{3})-(\d{4})", whole)):
+            forms = [f"({m[1]}) {m[2]}-{m[3]}", f"{m[1]}-{m[2]}-{m[3]}", f"{m[1]}.{m[2]}.{m[3]}"]
+        elif kind == "card" and len(d := re.sub("[ -]", "", whole)) == 16:
+            forms = [mark.join(d[i : i + 4] for i in range(0, 16, 4)) for mark in "._/"]
+        elif kind == "ip":
+            forms = [whole.replace(".", "[.]"), whole.replace(".", "(.)")]
+        elif kind == "email":
+            forms = [whole.replace("@", "[@]"), "[.]".join(whole.rsplit(".", 1)), whole.replace("@", "(@)")]
+        for form in forms:
+            own = next(islands(form))
+            yield form, own, [(kind, own[0][0], own[-1][1])]
+
+
+def fit(docs: DataFrame, most: int = 3000, quota: int = 4000) -> Weights:
+    """A field trained on the distinct islands of at most ``most`` documents, the first in hash order of those with
+    a digit or an @; their fixed spans are the labels. Of the islands that hold a span of a kind first, and of
+    those without span, at most ``quota`` each are taken, in hash order. Islands of more than ``LONG``
+    characters are cut between words, outside of fixed spans. An empty table gives no weights, hence no spans."""
     marked = texts(docs).where(F.col("text").rlike("[0-9@]"))
     picked = marked.select(F.xxhash64("doc_id", "text", F.lit(10)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(most)
     rows = texts(docs).withColumn("h", F.xxhash64("doc_id", "text", F.lit(10))).join(picked.select("h").distinct(), "h")
     kept = rows.select("text").mapInArrow(_training, "island string, starts array<int>, ends array<int>, kinds array<string>, s array<int>, e array<int>")
-    found = kept.distinct().orderBy("island").collect()
-    examples = []
-    for r in found:
-        examples += _variants(r["island"], list(zip(r["starts"], r["ends"], strict=True)), list(zip(r["kinds"], r["s"], r["e"], strict=True)))
-    return train(examples)
+    each = Window.partitionBy(F.coalesce(F.get("kinds", F.lit(0)), F.lit(""))).orderBy(F.xxhash64("island", F.lit(11)), "island")
+    found = kept.distinct().withColumn("place", F.row_number().over(each)).where(F.col("place") <= quota).orderBy("island").collect()
+    return train([(r["island"], list(zip(r["starts"], r["ends"], strict=True)), list(zip(r["kinds"], r["s"], r["e"], strict=True))) for r in found])
+
+
+LONG = 300
+
+
+def _pieces(words: list[tuple[int, int]], covered: Covered) -> Iterator[list[tuple[int, int]]]:
+    """The island in pieces of about ``LONG`` characters; no fixed span lies in two pieces."""
+    first = 0
+    for i in range(1, len(words)):
+        if words[i][1] - words[first][0] > LONG and not covered.touches(words[i - 1][1] - 1, words[i][0] + 1, whole=True):
+            yield words[first:i]
+            first = i
+    yield words[first:]
 
 
 def _training(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         out = []
         for text in batch.column(0).to_pylist():
-            base = base_spans(text)
-            for words in islands(text):
+            base = sorted(base_spans(text), key=lambda b: b[1])
+            begins, covered = [b[1] for b in base], Covered(base)
+            for words in (piece for island in islands(text) for piece in _pieces(island, covered)):
                 first, last = words[0][0], words[-1][1]
-                if last - first > 300:
-                    continue
-                own = [(k, s - first, e - first) for k, s, e in base if s >= first and e <= last]
+                near = base[bisect_right(begins, first - 1) : bisect_right(begins, last)]
+                own = [(k, s - first, e - first) for k, s, e in near if e <= last]
                 starts, ends = {w[0] - first for w in words}, {w[1] - first for w in words}
                 if all(s in starts and e in ends for _, s, e in own):
                     out.append((text[first:last], [w[0] - first for w in words], [w[1] - first for w in words], *([list(c) for c in zip(*own, strict=True)] or [[], [], []])))
@@ -209,12 +254,10 @@ def all_spans(weights: Weights, text: str) -> tuple[list[Span], list[Span]]:
     """(fixed spans, all spans), each by kind and then start. The field's spans are added where they don't
     touch a fixed one."""
     base = base_spans(text)
-    added = []
-    for words in islands(text):
-        inside = [b for b in base if b[1] < words[-1][1] and b[2] > words[0][0]]
-        free = [w for w in words if not any(b[1] < w[1] and b[2] > w[0] for b in inside)]
-        if free and weights:
-            added += [s for s in decode(weights, text, words) if not any(b[1] < s[2] and b[2] > s[1] for b in inside)]
+    covered, added = Covered(base), []
+    for words in islands(text) if weights else ():
+        if not all(covered.touches(*w) for w in words):
+            added += [s for s in decode(weights, text, words) if not covered.touches(s[1], s[2])]
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
