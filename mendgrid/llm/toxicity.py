@@ -26,7 +26,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 BLOCK = 64  # consecutive examples that share one maximum per term
 SHARD = 16_000_000  # postings that a worker holds at once
-WORDS_HELD = 300_000  # words or terms that a task remembers at once
+WORDS_HELD = 100_000  # words or terms that a task remembers at once
 
 
 def terms_of(word: str) -> list[str]:
@@ -102,17 +102,34 @@ class Shard:
         of = lists.values.to_numpy()
         sizes = pc.list_value_length(lists).to_numpy()
         self.start = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)  # postings of a block
+        # A posting takes three or four bytes: its example and its count.
         counts = rows["counts"].combine_chunks().values.to_numpy()
-        self.weight = (1 + np.log(counts)) * np.repeat(vocabulary.gain[term], sizes) / norm[of]
-        self.example = of - low
+        most = int(counts.max(initial=1))
+        self.place = counts.astype(np.min_scalar_type(most))
+        self.times = 1 + np.log(np.maximum(1, np.arange(most + 1)))  # by count
+        self.example = (of - low).astype(np.min_scalar_type(self.size))
+        self.gain, self.inverse = vocabulary.gain, 1 / norm[low:high]
         self.most = np.zeros(len(vocabulary.terms))
         np.maximum.at(self.most, term, self.block_most)
         self.postings = self.start[self.entry]  # of a term
         self.read = 0  # blocks of terms read by the last search
+        del rows, lists, of, counts
+        pa.default_memory_pool().release_unused()
 
-    def _least(self, found: np.ndarray, wanted: int) -> float:
+    def own_weights(self) -> np.ndarray:
+        """The weight of each posting."""
+        return self.times[self.place] * np.repeat(self.gain, np.diff(self.postings)) * self.inverse[self.example]
+
+    def _least(self, scores: np.ndarray, wanted: int) -> float:
         """What the last of the nearest examples scores at least."""
-        return max(0.0, np.partition(found, -wanted)[-wanted]) if len(found) > wanted else 0.0
+        return max(0.0, np.partition(scores, -wanted)[-wanted]) if len(scores) > wanted else 0.0
+
+    def _sums(self, first: np.ndarray, last: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What postings in few long stretches add to each example, before its norm."""
+        spans = list(zip(first.tolist(), last.tolist(), strict=True))
+        example = np.concatenate([self.example[a:b] for a, b in spans])
+        place = np.concatenate([self.place[a:b] for a, b in spans])
+        return np.bincount(example, self.times[place] * np.repeat(w, last - first), self.size)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, wanted: int, skip: list[int]) -> list[tuple[float, int]]:
         """The ``wanted`` examples with the largest cosine, exactly; ties go to the lower number.
@@ -123,23 +140,30 @@ class Shard:
         bounds = w * self.most[ids]
         by = np.argsort(-bounds, kind="stable")
         rest = np.concatenate([np.cumsum(bounds[by][::-1])[::-1], [0.0]])
-        found = np.zeros(self.size)
-        found[[i - self.low for i in skip if 0 <= i - self.low < self.size]] = -np.inf
-        at, step, last, self.read = 0, 16, 0.0, 0
+        heavy = w * self.gain[ids]
+        found, inverse = np.zeros(self.size), self.inverse
+        never = [i - self.low for i in skip if 0 <= i - self.low < self.size]
+
+        def scored() -> np.ndarray:
+            scores = found * inverse
+            scores[never] = -np.inf
+            return scores
+
+        at, step, last, self.read = 0, 64, 0.0, 0
         while at < len(by):
             part = by[at : at + step]
             at, step = at + len(part), 2 * step
-            places, sizes = _ranges(self.postings, ids[part])
-            found += np.bincount(self.example[places], np.repeat(w[part], sizes) * self.weight[places], self.size)
+            found += self._sums(self.postings[ids[part]], self.postings[ids[part] + 1], heavy[part])
             self.read += int((self.entry[ids[part] + 1] - self.entry[ids[part]]).sum())
-            last = self._least(found, wanted)
+            last = self._least(scored(), wanted)
             if last > 2 * rest[at]:
                 break
         whole = np.full(self.blocks, at == len(by))
         if at < len(by):
             entries, sizes = _ranges(self.entry, ids[by[at:]])
-            block, heavy = self.block[entries], np.repeat(w[by[at:]], sizes)
-            bound = np.maximum.reduceat(found, np.arange(0, self.size, BLOCK)) + np.bincount(block, heavy * self.block_most[entries], self.blocks)
+            block, most = self.block[entries], np.repeat(w[by[at:]], sizes) * self.block_most[entries]
+            heavy = np.repeat(heavy[by[at:]], sizes)
+            bound = np.maximum.reduceat(scored(), np.arange(0, self.size, BLOCK)) + np.bincount(block, most, self.blocks)
             order, at, step = np.argsort(-bound, kind="stable"), 0, 8
             while at < len(order) and bound[order[at]] >= last - 1e-9:
                 part = order[at : at + step]
@@ -150,11 +174,11 @@ class Shard:
                 now[part] = True
                 now = now[block]
                 places, sizes = _ranges(self.start, entries[now])
-                found += np.bincount(self.example[places], np.repeat(heavy[now], sizes) * self.weight[places], self.size)
+                found += np.bincount(self.example[places], self.times[self.place[places]] * np.repeat(heavy[now], sizes), self.size)
                 self.read += int(now.sum())
-                last = self._least(found, wanted)
+                last = self._least(scored(), wanted)
         left = np.flatnonzero(np.repeat(whole, BLOCK)[: self.size])
-        scores = found[left]
+        scores = scored()[left]
         order = np.lexsort((left, -scores))[:wanted]
         return [(s, i + self.low) for s, i in zip(scores[order].tolist(), left[order].tolist(), strict=True) if s > 0]
 
@@ -237,9 +261,9 @@ class Index:
         """The vectors of the examples one after the other, to look at them: starts, terms, weights."""
         example, term, weight = [], [], []
         for s in self.shards():
-            example.append(s.example + s.low)
+            example.append(s.example.astype(np.int64) + s.low)
             term.append(np.repeat(np.arange(len(self.terms)), np.diff(s.postings)))
-            weight.append(s.weight)
+            weight.append(s.own_weights())
         example, term, weight = (np.concatenate(x) for x in (example, term, weight))
         by = np.lexsort((term, example))
         return np.searchsorted(example[by], np.arange(len(self.doc_ids) + 1)), term[by], weight[by]
@@ -258,10 +282,16 @@ class Index:
 
 
 def _postings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of the batch's examples by term, and how many of them are toxic."""
+    """The postings of examples by term, and how many of them are toxic, as far as a task remembers terms."""
+    held: dict[str, tuple[list[int], list[int]]] = {}
+    toxic: Counter[str] = Counter()
+
+    def listed() -> pa.RecordBatch:
+        ints = pa.list_(pa.int32())
+        columns = [pa.array(list(held), pa.string()), pa.array([toxic[t] for t in held], pa.int64()), pa.array([a for a, _ in held.values()], ints), pa.array([c for _, c in held.values()], ints)]
+        return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "examples", "counts"])
+
     for batch in rows:
-        held: dict[str, tuple[list[int], list[int]]] = {}
-        toxic: Counter[str] = Counter()
         for example, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found: Counter[str] = Counter()
             for word, n in Counter(_WORDS.findall(text.lower())).items():
@@ -273,9 +303,12 @@ def _postings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at[1].append(n)
             if label:
                 toxic.update(found.keys())
-        ints = pa.list_(pa.int32())
-        columns = [pa.array(list(held), pa.string()), pa.array([toxic[t] for t in held], pa.int64()), pa.array([a for a, _ in held.values()], ints), pa.array([c for _, c in held.values()], ints)]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "examples", "counts"])
+            if len(held) > WORDS_HELD:
+                yield listed()
+                held.clear()
+                toxic.clear()
+    if held:
+        yield listed()
 
 
 def _held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +319,7 @@ def _held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def counted() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "held"])
 
-    for batch in rows:
+    for batch in _parts(rows):
         for text in batch.column(0).to_pylist():
             found: set[str] = set()
             for word in set(_WORDS.findall(text.lower())):
@@ -304,16 +337,20 @@ def _held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _squares(examples: int):
-    """The sum of the squared weights of each example, and how many terms it has."""
+    """The sum of the squared weights of each example, and how many terms it has. The sum is in whole numbers,
+    2^-16 and 2^-60, so that it doesn't depend on the order of the rows and an index comes out the same again."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square, terms = np.zeros(examples), np.zeros(examples, np.int64)
+        high, low, terms = (np.zeros(examples, np.int64) for _ in range(3))
         for batch in rows:
             of, w = _gains(batch)
-            square += np.bincount(of, w * w, examples)
+            scaled = w * w * 2.0**16
+            whole = np.floor(scaled)
+            np.add.at(high, of, whole.astype(np.int64))
+            np.add.at(low, of, ((scaled - whole) * 2.0**44).astype(np.int64))
             terms += np.bincount(of, minlength=examples)
         held = np.flatnonzero(terms)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(square[held]), pa.array(terms[held])], ["example", "square", "terms"])
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(high[held]), pa.array(low[held]), pa.array(terms[held])], ["example", "high", "low", "terms"])
 
     return run
 
@@ -359,6 +396,10 @@ def _votes(index: Index):
 
 
 def _least_shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A worker that scored by an earlier index lets go of it.
+    _shard.cache_clear()
+    _vocabulary.cache_clear()
+    pa.default_memory_pool().release_unused()
     for batch in rows:
         least = [int(s[0].view(np.int64)) if len(s) else 0 for _, data in batches(batch.column(0).to_pylist()) for s in shingle_sets(data, 5)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "sketch"])
@@ -466,10 +507,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
     index.terms_path = f"{work_folder(spark)}/terms-{uuid.uuid4().hex}"
     known.write.option("compression", "zstd").parquet(index.terms_path)
     known = spark.read.schema(known.schema).parquet(index.terms_path)
-    sums = known.mapInArrow(_squares(len(toxic)), "example long, square double, terms long").groupBy("example")
+    sums = known.mapInArrow(_squares(len(toxic)), "example long, high long, low long, terms long").groupBy("example")
     norm, terms = np.ones(len(toxic)), np.zeros(len(toxic), np.int64)
-    for r in sums.agg(F.sum("square").alias("square"), F.sum("terms").alias("terms")).collect():
-        norm[r["example"]], terms[r["example"]] = np.sqrt(r["square"]), r["terms"]
+    for r in sums.agg(*(F.sum(c).alias(c) for c in ("high", "low", "terms"))).collect():
+        norm[r["example"]], terms[r["example"]] = np.sqrt((r["high"] + r["low"] * 2.0**-44) * 2.0**-16), r["terms"]
     index.norm = norm.tobytes()
     if terms.any():
         index.cuts, held = [0], 0
