@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ PREFIXES = (4, 5, 6)
 BLOCK = 64  # consecutive examples that share one maximum per term
 SHARD = 16_000_000  # postings that a worker holds at once
 WORDS_HELD = 100_000  # words or terms that a task remembers at once
+CELLS = 8_000_000  # of the matrix that holds the most frequent terms of a shard
+GROUP = 64  # queries that are multiplied with it at once
+COUNTED = 500  # texts whose words are looked up at once
 
 
 def terms_of(word: str) -> list[str]:
@@ -60,26 +64,43 @@ class Vocabulary:
 
     def __init__(self, path: str):
         known = _table(path, ["term", "gain"]).sort_by("term").combine_chunks()
-        self.names, self.gain = known["term"], known["gain"].to_numpy()
-        self.terms = {t: i for i, t in enumerate(self.names.to_pylist())}
+        self.names, self.gain = known["term"].combine_chunks(), known["gain"].to_numpy()
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of the text, and how often it has them."""
-        found: list[int] = []
-        times: list[int] = []
+    @cached_property
+    def terms(self) -> dict[str, int]:
+        """The number of each term, to look at it; scoring has no use for so many strings."""
+        return {t: i for i, t in enumerate(self.names.to_pylist())}
+
+    def _learn(self, words: set[str]) -> None:
+        """The terms of words not met lately, looked up together."""
         if len(self.cache) > WORDS_HELD:
             self.cache.clear()
-        for word, n in Counter(_WORDS.findall(text.lower())).items():
-            got = self.cache.get(word)
-            if got is None:
-                got = self.cache[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            found += got
-            times += [n] * len(got)
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        ids, place = np.unique(np.array(found, np.int64), return_inverse=True)
-        return ids, np.bincount(place, times)
+        new = [w for w in words if w not in self.cache]
+        listed = [terms_of(w) for w in new]
+        flat = pa.array([t for terms in listed for t in terms], pa.string())
+        ids = pc.fill_null(pc.index_in(flat, self.names), -1).to_pylist()
+        at = 0
+        for word, terms in zip(new, listed, strict=True):
+            self.cache[word] = tuple(i for i in ids[at : at + len(terms)] if i >= 0)
+            at += len(terms)
+
+    def counted_texts(self, batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The terms of each text, and how often it has them."""
+        for at in range(0, len(batch), COUNTED):
+            part = [Counter(_WORDS.findall(text.lower())) for text in batch[at : at + COUNTED]]
+            self._learn(set().union(*part))
+            for words in part:
+                got = [self.cache[word] for word in words]
+                found = np.fromiter(chain.from_iterable(got), np.int64)
+                times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, got), np.int64, len(got)))
+                by = np.argsort(found, kind="stable")
+                found = found[by]
+                first = np.flatnonzero(np.concatenate([[True], np.diff(found) != 0])) if len(found) else by
+                yield found[first], np.add.reduceat(times[by], first).astype(float) if len(found) else np.empty(0)
+
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.counted_texts([text]))
 
     def weighted(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.gain[ids]
@@ -88,37 +109,65 @@ class Vocabulary:
 
 class Shard:
     """Postings of the examples ``low`` to ``high``, by term and then block of ``BLOCK`` examples, with the
-    largest weight of each term in each of its blocks."""
+    largest weight of each term in each of its blocks. The most frequent terms, which one in sixteen examples
+    and at least four blocks of them have, lie in a matrix of at most ``CELLS`` numbers instead, as almost every block has them."""
 
     def __init__(self, path: str, vocabulary: Vocabulary, norm: np.ndarray, low: int, high: int):
         rows = _table(path, ["term", "block", "most", "examples", "counts"])
         rows = rows.sort_by([("term", "ascending"), ("block", "ascending")]).combine_chunks()
+        terms = len(vocabulary.names)
         term = pc.index_in(rows["term"], vocabulary.names).to_numpy().astype(np.int64)
         self.low, self.size = low, high - low
         self.blocks = -(-self.size // BLOCK)
-        self.entry = np.searchsorted(term, np.arange(len(vocabulary.terms) + 1))  # blocks of a term
-        self.block, self.block_most = rows["block"].to_numpy(), rows["most"].to_numpy()
         lists = rows["examples"].combine_chunks()
-        of = lists.values.to_numpy()
+        example = (lists.values.to_numpy() - low).astype(np.min_scalar_type(self.size))
         sizes = pc.list_value_length(lists).to_numpy()
-        self.start = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)  # postings of a block
-        # A posting takes three or four bytes: its example and its count.
         counts = rows["counts"].combine_chunks().values.to_numpy()
         most = int(counts.max(initial=1))
-        self.place = counts.astype(np.min_scalar_type(most))
         self.times = 1 + np.log(np.maximum(1, np.arange(most + 1)))  # by count
-        self.example = (of - low).astype(np.min_scalar_type(self.size))
+        # A posting takes three or four bytes: its example and its count.
+        place = counts.astype(np.min_scalar_type(most))
         self.gain, self.inverse = vocabulary.gain, 1 / norm[low:high]
-        self.most = np.zeros(len(vocabulary.terms))
+
+        held = np.bincount(term, sizes, terms)
+        frequent = np.argsort(-held, kind="stable")[: CELLS // self.size]
+        frequent = np.sort(frequent[held[frequent] >= max(4 * BLOCK, self.size / 16)])
+        self.row = np.full(terms, -1, np.int32)  # of the matrix, by term
+        self.row[frequent] = np.arange(len(frequent))
+        self.matrix = np.zeros((len(frequent), self.size))
+        row = np.repeat(self.row[term], sizes)
+        rare = row < 0
+        self.matrix[row[~rare], example[~rare]] = self.times[place[~rare]]
+        self.example, self.place = example[rare], place[rare]
+
+        rare = self.row[term] < 0
+        term, sizes = term[rare], sizes[rare]
+        self.entry = np.searchsorted(term, np.arange(terms + 1))  # blocks of a term
+        self.block, self.block_most = rows["block"].to_numpy()[rare], rows["most"].to_numpy()[rare]
+        self.start = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)  # postings of a block
+        self.most = np.zeros(terms)
         np.maximum.at(self.most, term, self.block_most)
         self.postings = self.start[self.entry]  # of a term
         self.read = 0  # blocks of terms read by the last search
-        del rows, lists, of, counts
+        del rows, lists, counts, example, place, row
         pa.default_memory_pool().release_unused()
 
-    def own_weights(self) -> np.ndarray:
-        """The weight of each posting."""
-        return self.times[self.place] * np.repeat(self.gain, np.diff(self.postings)) * self.inverse[self.example]
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Example, term and weight of all postings, to look at them."""
+        row, column = np.nonzero(self.matrix)
+        example = np.concatenate([self.example.astype(np.int64), column])
+        term = np.concatenate([np.repeat(np.arange(len(self.row)), np.diff(self.postings)), np.flatnonzero(self.row >= 0)[row]])
+        times = np.concatenate([self.times[self.place], self.matrix[row, column]])
+        return example + self.low, term, times * self.gain[term] * self.inverse[example]
+
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the most frequent terms of each query add to each example, before its norm."""
+        heavy = np.zeros((len(queries), len(self.matrix)))
+        for q, (ids, w) in enumerate(queries):
+            row = self.row[ids]
+            own = row >= 0
+            heavy[q, row[own]] = (w * self.gain[ids])[own]
+        return heavy @ self.matrix
 
     def _least(self, scores: np.ndarray, wanted: int) -> float:
         """What the last of the nearest examples scores at least."""
@@ -131,17 +180,21 @@ class Shard:
         place = np.concatenate([self.place[a:b] for a, b in spans])
         return np.bincount(example, self.times[place] * np.repeat(w, last - first), self.size)
 
-    def nearest(self, ids: np.ndarray, w: np.ndarray, wanted: int, skip: list[int]) -> list[tuple[float, int]]:
-        """The ``wanted`` examples with the largest cosine, exactly; ties go to the lower number.
+    def nearest(self, ids: np.ndarray, w: np.ndarray, wanted: int, skip: list[int], found: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The ``wanted`` examples with the largest cosine, to twelve digits; ties go to the lower number.
+        ``found``: what ``frequent`` gives for the query.
 
-        Terms are added by the most they can add, until an example without any of them can't be near. The
-        other terms are read by blocks of examples, in the order of what the maxima of these terms leave
+        The other terms are added by the most they can add, until an example without any of those left
+        can't be near. These are read by blocks of examples, in the order of what the maxima of these terms leave
         possible in a block, and blocks that can't reach the last of the nearest are never read."""
+        found = self.frequent([(ids, w)])[0] if found is None else found
+        rare = self.row[ids] < 0
+        ids, w = ids[rare], w[rare]
         bounds = w * self.most[ids]
         by = np.argsort(-bounds, kind="stable")
         rest = np.concatenate([np.cumsum(bounds[by][::-1])[::-1], [0.0]])
         heavy = w * self.gain[ids]
-        found, inverse = np.zeros(self.size), self.inverse
+        inverse = self.inverse
         never = [i - self.low for i in skip if 0 <= i - self.low < self.size]
 
         def scored() -> np.ndarray:
@@ -149,15 +202,13 @@ class Shard:
             scores[never] = -np.inf
             return scores
 
-        at, step, last, self.read = 0, 64, 0.0, 0
-        while at < len(by):
+        at, step, last, self.read = 0, 16, self._least(scored(), wanted), 0
+        while at < len(by) and last <= 2 * rest[at]:
             part = by[at : at + step]
             at, step = at + len(part), 2 * step
             found += self._sums(self.postings[ids[part]], self.postings[ids[part] + 1], heavy[part])
             self.read += int((self.entry[ids[part] + 1] - self.entry[ids[part]]).sum())
             last = self._least(scored(), wanted)
-            if last > 2 * rest[at]:
-                break
         whole = np.full(self.blocks, at == len(by))
         if at < len(by):
             entries, sizes = _ranges(self.entry, ids[by[at:]])
@@ -178,7 +229,7 @@ class Shard:
                 self.read += int(now.sum())
                 last = self._least(scored(), wanted)
         left = np.flatnonzero(np.repeat(whole, BLOCK)[: self.size])
-        scores = scored()[left]
+        scores = np.round(scored()[left], 12)
         order = np.lexsort((left, -scores))[:wanted]
         return [(s, i + self.low) for s, i in zip(scores[order].tolist(), left[order].tolist(), strict=True) if s > 0]
 
@@ -244,13 +295,14 @@ class Index:
         near: list[list[tuple[float, int]]] = [[] for _ in batch]
         if len(self.cuts) < 2:
             return near
-        for k, text in enumerate(batch):
-            ids, counts = self.vocabulary.counted(text)
+        for k, (ids, counts) in enumerate(self.vocabulary.counted_texts(batch)):
             if len(ids):
-                queries.append((k, *self.vocabulary.weighted(ids, counts), self.same.get(_digest(text), [])))
+                queries.append((k, *self.vocabulary.weighted(ids, counts), self.same.get(_digest(batch[k]), [])))
         for shard in self.shards():
-            for k, ids, w, skip in queries:
-                near[k] += shard.nearest(ids, w, self.neighbours, skip)
+            for at in range(0, len(queries), GROUP):
+                part = queries[at : at + GROUP]
+                for (k, ids, w, skip), found in zip(part, shard.frequent([(ids, w) for _, ids, w, _ in part]), strict=True):
+                    near[k] += shard.nearest(ids, w, self.neighbours, skip, found)
         return [self.best(n) for n in near] if len(self.cuts) > 2 else near
 
     def calibrated(self, near: list[tuple[float, int]]) -> float:
@@ -259,12 +311,7 @@ class Index:
     @cached_property
     def _own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The vectors of the examples one after the other, to look at them: starts, terms, weights."""
-        example, term, weight = [], [], []
-        for s in self.shards():
-            example.append(s.example.astype(np.int64) + s.low)
-            term.append(np.repeat(np.arange(len(self.terms)), np.diff(s.postings)))
-            weight.append(s.own_weights())
-        example, term, weight = (np.concatenate(x) for x in (example, term, weight))
+        example, term, weight = (np.concatenate(x) for x in zip(*(s.own() for s in self.shards()), strict=True))
         by = np.lexsort((term, example))
         return np.searchsorted(example[by], np.arange(len(self.doc_ids) + 1)), term[by], weight[by]
 
