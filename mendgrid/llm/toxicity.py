@@ -31,6 +31,7 @@ WORDS_HELD = 100_000  # words or terms that a task remembers at once
 CELLS = 8_000_000  # of the matrix that holds the most frequent terms of a shard
 GROUP = 64  # queries that are multiplied with it at once
 COUNTED = 500  # texts whose words are looked up at once
+STRETCH = 1024  # terms whose sums travel together
 
 
 def terms_of(word: str) -> list[str]:
@@ -60,11 +61,11 @@ def _table(path: str, columns: list[str]) -> pa.Table:
 
 
 class Vocabulary:
-    """Terms in order and their weights: idf times the weight by class."""
+    """Terms in order and their weights, once known: idf times the weight by class."""
 
-    def __init__(self, path: str):
-        known = _table(path, ["term", "gain"]).sort_by("term").combine_chunks()
-        self.names, self.gain = known["term"].combine_chunks(), known["gain"].to_numpy()
+    def __init__(self, path: str, weighed: bool = True):
+        known = _table(path, ["term", "gain"][: 1 + weighed]).sort_by("term").combine_chunks()
+        self.names, self.gain = known["term"].combine_chunks(), known["gain"].to_numpy() if weighed else np.empty(0)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     @cached_property
@@ -72,7 +73,7 @@ class Vocabulary:
         """The number of each term, to look at it; scoring has no use for so many strings."""
         return {t: i for i, t in enumerate(self.names.to_pylist())}
 
-    def _learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """The terms of words not met lately, looked up together."""
         if len(self.cache) > WORDS_HELD:
             self.cache.clear()
@@ -89,7 +90,7 @@ class Vocabulary:
         """The terms of each text, and how often it has them."""
         for at in range(0, len(batch), COUNTED):
             part = [Counter(_WORDS.findall(text.lower())) for text in batch[at : at + COUNTED]]
-            self._learn(set().union(*part))
+            self.learn(set().union(*part))
             for words in part:
                 got = [self.cache[word] for word in words]
                 found = np.fromiter(chain.from_iterable(got), np.int64)
@@ -239,6 +240,11 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=1)
+def _names(path: str) -> Vocabulary:
+    return Vocabulary(path, weighed=False)
+
+
 @lru_cache(maxsize=1)
 def _shard(path: str, terms: str, norm: bytes, low: int, high: int) -> Shard:
     """The last shard read stays with the worker; an index of one shard is read once."""
@@ -358,29 +364,42 @@ def _postings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield listed()
 
 
-def _held(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts hold a term, summed as far as a task remembers."""
-    n: Counter[str] = Counter()
-    cache: dict[str, list[str]] = {}
+def _held(path: str):
+    """How many texts hold each of the terms at ``path``: a task's sums, ``STRETCH`` terms a row."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _names(path)
+        terms = len(vocabulary.names)
+        held, last = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
+        for batch in _parts(rows):
+            part = [set(_WORDS.findall(text.lower())) for text in batch.column(0).to_pylist()]
+            vocabulary.learn(set().union(*part))
+            for words in part:
+                found = np.fromiter(chain.from_iterable(map(vocabulary.cache.__getitem__, words)), np.int64)
+                # A term of several words counts where it comes last.
+                places = np.arange(len(found))
+                last[found] = places
+                held[found[last[found] == places]] += 1
+        starts = np.append(np.arange(0, terms, STRETCH), terms)
+        sums = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts) - 1, dtype=np.int32)), sums], ["stretch", "held"])
+
+    return run
+
 
-    def counted() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "held"])
+def _held_in_all(path: str):
+    """``term, held`` over all tasks, from the rows of whole stretches."""
 
-    for batch in _parts(rows):
-        for text in batch.column(0).to_pylist():
-            found: set[str] = set()
-            for word in set(_WORDS.findall(text.lower())):
-                got = cache.get(word)
-                if got is None:
-                    got = cache[word] = terms_of(word)
-                found.update(got)
-            n.update(found)
-            if len(n) > WORDS_HELD:
-                yield counted()
-                n.clear()
-                cache.clear()
-    if n:
-        yield counted()
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sums = _names(path).names, {}
+        for batch in rows:
+            for stretch, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = held.values.to_numpy()
+                sums[stretch] = sums[stretch] + held if stretch in sums else held
+        for stretch, held in sums.items():
+            yield pa.RecordBatch.from_arrays([names.slice(stretch * STRETCH, len(held)), pa.array(held)], ["term", "held"])
+
+    return run
 
 
 def _squares(examples: int):
@@ -389,6 +408,7 @@ def _squares(examples: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high, low, terms = (np.zeros(examples, np.int64) for _ in range(3))
+        _names.cache_clear()
         for batch in rows:
             of, w = _gains(batch)
             scaled = w * w * 2.0**16
@@ -446,6 +466,7 @@ def _least_shingle(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # A worker that scored by an earlier index lets go of it.
     _shard.cache_clear()
     _vocabulary.cache_clear()
+    _names.cache_clear()
     pa.default_memory_pool().release_unused()
     for batch in rows:
         least = [int(s[0].view(np.int64)) if len(s) else 0 for _, data in batches(batch.column(0).to_pylist()) for s in shingle_sets(data, 5)]
@@ -545,7 +566,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
     own = parts.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.collect_list(F.struct("examples", "counts")).alias("p"))
     own = own.select("term", "a", F.flatten("p.examples").alias("examples"), F.flatten("p.counts").alias("counts"))
     own = own.withColumn("b", F.size("examples") - F.col("a"))
-    every = texts(docs).select("text").mapInArrow(_held, "term string, held long").groupBy("term").agg(F.sum("held").alias("held"))
+    own_path = f"{work_folder(spark)}/own-{uuid.uuid4().hex}"
+    own.write.option("compression", "zstd").parquet(own_path)
+    own = spark.read.schema(own.schema).parquet(own_path)
+    every = texts(docs).select("text").mapInArrow(_held(own_path), "stretch int, held array<long>")
+    every = every.repartition("stretch").mapInArrow(_held_in_all(own_path), "term string, held long")
     a, b = F.col("a"), F.col("b")
     odds = F.abs(F.log((a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))))
     square = F.pow(odds, 2) / (1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
