@@ -68,6 +68,8 @@ _JOIN_SCHEMA = T.StructType(
     ]
 )
 _STATE_SCHEMA = "at string, id long, status string"
+_SPAN = ["batch_id", *[f.name for f in SPAN_SCHEMA.fields if f.name != "action_id"]]
+_JOINED = [f.name for f in _JOIN_SCHEMA.fields]
 
 
 def spans(events: DataFrame) -> DataFrame:
@@ -101,23 +103,20 @@ def join_spans(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     """Join an action's new spans, batch by batch, to the last event held for it."""
     held = state.get if state.exists else None
     out = []
-    rows = pd.concat(frames).sort_values("batch_id")
-    for row in rows.to_dict("records"):
-        first = tuple(_or_none(row[f"first_{c}"]) for c in ("at", "id", "status"))
-        last = tuple(_or_none(row[f"last_{c}"]) for c in ("at", "id", "status"))
+    # Plain tuples: there is a call for every action, and frames of a row or two cost far more than the rows.
+    rows = sorted((row for f in frames for row in zip(*[f[c].tolist() for c in _SPAN], strict=True)), key=lambda r: r[0])
+    for batch_id, *ends in rows:
+        first, last = ([_or_none(v) for v in e] for e in (ends[:3], ends[3:]))
         first, last = (None if e[1] is None else (e[0], int(e[1]), e[2]) for e in (first, last))
         if held is not None and _order(*first[:2]) <= _order(*held[:2]):
-            out.append((row["batch_id"], None, key[0], None, None, None, held[0], held[1]))
+            out.append((batch_id, None, key[0], None, None, None, held[0], held[1]))
         elif (old := held[2] if held is not None else None) != first[2]:
-            out.append((row["batch_id"], first[1], key[0], old, first[2], first[0], None, None))
+            out.append((batch_id, first[1], key[0], old, first[2], first[0], None, None))
         if held is None or _order(*last[:2]) > _order(*held[:2]):
             held = last
     state.update(held)
-    names = [f.name for f in _JOIN_SCHEMA.fields]
-    made = pd.DataFrame(out, columns=names)
-    for name in ("span_batch", "event_id", "action_id", "held_id"):
-        made[name] = made[name].astype("Int64")
-    yield made
+    if out:
+        yield pd.DataFrame(out, columns=_JOINED, dtype=object)
 
 
 def start_joins(spark: SparkSession, root: str, checkpoint_dir: str) -> StreamingQuery:
