@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
@@ -18,8 +19,34 @@ _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 _WORD_AND_MARK = rf"{_LATIN}+(?=[.,]?(?:\s|\Z))|(?<={_LATIN})[.,](?=\s|\Z)"
 _SPACED = re.compile(rf" ?{_WORD_AND_MARK}| ?\S+|\s+(?!\S)|\s+")
 _DROPPED = re.compile(rf"{_WORD_AND_MARK}|\S+")
+# A chunk that the tokenizers' patterns keep whole, of letters that are lowered to one character below U+0250.
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0239]+")
 # Outside this range, and for one letter in it, lower case isn't a matter of single characters.
 _NOT_PLAIN = re.compile("[^\x00-\u024f]|\u0130")
+# The pattern of tokenizers that drop white space under which a Latin word stays whole.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that a byte-level tokenizer's model sees for the characters of a Latin word with a space before it."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x20, 0x250)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Chunks(dict[str, bytes]):
+    """The ids of chunks, encoded when first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = self.encode(chunk)
+        return ids
 
 
 class CachedEncoder:
@@ -29,7 +56,8 @@ class CachedEncoder:
     chunk is a run of other characters with the one space before it, and those that turn white space
     into separators and drop it, where a chunk is such a run (in lower case, if they lower it). A comma
     or full stop that ends a Latin word is a chunk too. The chunks are encoded by the tokenizer
-    when first seen; at ``entries`` chunks the cache starts anew. Texts that hold a special token's string
+    when first seen; beyond ``entries`` chunks the cache starts anew. A Latin word passes the tokenizer's patterns whole,
+    so it goes to the tokenizer's model at once, in the letters that the byte level has for it. Texts that hold a special token's string
     or one of four control characters, and all other tokenizers, are encoded whole.
     """
 
@@ -37,13 +65,14 @@ class CachedEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.entries = entries
-        self.cache: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.cache = _Chunks(self._encoded)
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre, normalizer = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
-        self.chunks, self.lower = None, False
+        self.chunks, self.lower, self.words = None, False, False
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not normalizer:
-            self.chunks = _SPACED.findall
+            self.chunks, self.words = _SPACED.findall, True
         elif pre.get("type") == "Sequence" and normalizer.get("type") == "Sequence":
             split, rest = pre["pretokenizers"][0], normalizer["normalizers"]
             kinds = [n["type"] for n in rest]
@@ -51,29 +80,31 @@ class CachedEncoder:
             drops = split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
             if drops and set(kinds) <= {"NFC", "Replace", "Lowercase"} and all(n["pattern"] == {"Regex": r"\s+"} for n in spaces):
                 self.chunks, self.lower = _DROPPED.findall, "Lowercase" in kinds
+                level = pre["pretokenizers"][1:]
+                plain = [p["type"] == "ByteLevel" and not p["use_regex"] and not p["add_prefix_space"] for p in level]
+                self.words = split["pattern"] == {"Regex": _SPLIT} and plain == [True]
+        self.words = self.words and not any(t["normalized"] for t in spec["added_tokens"])
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, chunk: str) -> bytes:
         # One by one: a call of the batch methods costs more than the few chunks a text adds.
-        encode = self.tokenizer.encode
-        return [array("I", encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        if self.words and _WORD.fullmatch(chunk):
+            word = chunk.lower() if self.lower else chunk
+            letters = word.replace(" ", _LETTERS[0x20]) if word.isascii() else word.translate(_LETTERS)
+            return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return self._whole(chunk)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.chunks is None or any(s in text for s in self.special) or _UNLIKE.search(text):
-            return self._bytes([text])[0]
+            return self._whole(text)
         if self.lower and not _NOT_PLAIN.search(text):
             text = text.lower()
-        chunks, cache = self.chunks(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = list(set(chunks).difference(cache))
-        if len(cache) + len(missing) > self.entries:
-            cache.clear()
-            missing = list(set(chunks))
-        cache.update(zip(missing, self._bytes(missing), strict=True))
-        return b"".join(map(cache.__getitem__, chunks))
+        if len(self.cache) > self.entries:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, self.chunks(text)))
 
 
 @lru_cache(maxsize=4)

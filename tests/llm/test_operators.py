@@ -489,3 +489,13 @@ def test_personal_data(spark, none):
     assert found[0]["n_email"] == 1 and found[0]["n_phone"] == 1 and found[1000]["spans"] == ""
     assert all(found[150 + i]["spans"] == "" for i in range(150))
     assert personal_data.find(none, {}).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "word_bpe_49k"])
+def test_latin_words_go_to_the_model(name, monkeypatch):
+    e = CachedEncoder(f"{TOKENIZERS}/{name}.json")
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    for text in [" ".join(f"{c} x{c}Yz, {c.upper()}{c}." for c in letters), " ".join(letters) + " Σas", "".join(letters), "İstanbul Şi İ."]:
+        assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(e, "_whole", lambda text: 1 / 0)
+    assert e.ids("Unmetword Ungesehenes été") == np.array(e.tokenizer.encode("Unmetword Ungesehenes été", add_special_tokens=False).ids, "<u4").tobytes()
