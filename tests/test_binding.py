@@ -65,3 +65,36 @@ def test_pairs_are_dealt_before_repeats_are_dropped(spark):
     assert sorted((r[0], r[1], r[2]) for r in pairs.collect()) == [(5 * 200000 + 3, 3, 5), (6 * 200000 + 3, 3, 6)]
     installs = binding.asset_software_installs(lines, orders, spark.range(10).withColumnRenamed("id", "asset_id"))
     assert [(r["asset_id_fk"], r["software_id_fk"]) for r in installs.collect()] == [(7, 3)]
+
+
+def test_feed_is_dealt_before_it_is_grouped(spark):
+    """A table of the whole feed, made before the shuffle, has to be spilled."""
+    lines, orders = feed(spark)
+    assets = spark.createDataFrame([(7, 1, 2)], "asset_id bigint, org_id_fk bigint, criticality smallint")
+    vulns = spark.createDataFrame(
+        [(p, None, None, True) for p in (5, 6)],
+        "vuln_id bigint, cvss_score decimal(3,1), epss_score decimal(5,4), exploit_available boolean",
+    )
+    found = binding.scan_findings(binding.sightings(lines, orders), assets, vulns)
+    text = plan(found)
+    dealt = text[text.index("REPARTITION_BY_NUM"):]
+    assert "Aggregate" not in dealt
+    assert "l_returnflag" not in dealt[: dealt.index("Exchange")]
+    assert {r["sw_vuln_id_fk"]: r["finding_id"] for r in found.collect()} == {
+        p * 200000 + 3: 7 * binding.PAIRS + p * 200000 + 3 for p in (5, 6)
+    }
+
+
+def test_part_of_a_pair(spark):
+    rows = spark.createDataFrame([(p, s) for p in (-7, 0, 5, 10**12) for s in (0, 3, 199999)] + [(None, 3)], "l_partkey bigint, l_suppkey bigint")
+    got = rows.selectExpr("l_partkey", f"{binding.with_supplier('l_partkey')} pair").withColumn("part", binding.part_of("pair"))
+    assert all(r["part"] == r["l_partkey"] for r in got.collect())
+
+
+def test_flags_without_a_status_of_their_own(spark):
+    day = datetime(1998, 1, 1)
+    flags = [("R", "F"), ("X", "Y"), (None, "O"), ("N", None)]
+    lines = spark.createDataFrame([(1, i, 3, *f, day) for i, f in enumerate(flags)] + [(1, 9, 3, "N", "O", None)], LINES)
+    orders = spark.createDataFrame([(1, 7, day)], ORDERS)
+    got = {r["l_partkey"]: (r["status"], r["ship"]) for r in binding.sightings(lines, orders).collect()}
+    assert got == {**dict.fromkeys(range(4), ("False Positive", day.date())), 9: ("Open", None)}
