@@ -91,12 +91,12 @@ def unpack_segment(data: bytes, first: int = 0, last: int | None = None) -> tupl
         alike.setdefault((n, width), []).append(k)
     for (n, width), of in alike.items():
         size = -(-n * width // 8)
-        body = np.frombuffer(b"".join(data[(a := starts[k] + 9 + 6 * heads[k][3]) : a + size] for k in of), np.uint8)
-        bits = np.unpackbits(body.reshape(len(of), size), axis=1, count=n * width, bitorder="little").reshape(len(of), n, width)
-        wide = np.zeros((len(of), n, 4), np.uint8)
-        packed = np.packbits(bits, axis=2, bitorder="little")
-        wide[:, :, : packed.shape[2]] = packed
-        values = wide.view("<u4")[:, :, 0]
+        body = b"".join(data[(a := starts[k] + 9 + 6 * heads[k][3]) : a + size] for k in of) + bytes(8)
+        # The eight bytes from each byte on: a number begins in the first of them and takes 39 bits at most.
+        eight = np.ndarray(len(body) - 7, "<u8", body, strides=(1,))
+        at = np.arange(n) * width
+        places = (np.arange(len(of)) * size)[:, None] + (at >> 3)
+        values = ((eight[places] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
         for k, row in zip(of, values, strict=True):
             low, _, _, over = heads[k]
             if over:

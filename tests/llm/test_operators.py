@@ -499,3 +499,10 @@ def test_latin_words_go_to_the_model(name, monkeypatch):
         assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     monkeypatch.setattr(e, "_whole", lambda text: 1 / 0)
     assert e.ids("Unmetword Ungesehenes été") == np.array(e.tokenizer.encode("Unmetword Ungesehenes été", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("width", [*range(0, 33)])
+def test_segments_of_any_width(width):
+    ids = np.random.default_rng(width).integers(0, 1 << width, 300, np.uint64).astype(np.uint32)
+    lengths, back = token_blocks.unpack_segment(token_blocks.pack_segment(ids, [300], percentile=100))
+    assert (back == ids).all() and back.dtype == np.uint32
