@@ -106,21 +106,21 @@ def unpack_segment(data: bytes, first: int = 0, last: int | None = None) -> tupl
     return lengths, out
 
 
-SEGMENTS = "part int, segment int, doc_ids array<long>, tokens long, data binary"
+SEGMENTS = "part int, segment int, before long, doc_ids array<long>, tokens long, data binary"
 
 
 def _encode(path: str, end_id: int, block: int, percentile: float, fill: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, parts, held = [], [], 0
         encode, end = encoder(path).ids, np.array([end_id], "<u4").tobytes()
 
         def row() -> pa.RecordBatch:
             data = pack_segment(np.frombuffer(b"".join(parts), "<u4"), [len(p) // 4 for p in parts], block, percentile)
-            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([data], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "doc_ids", "tokens", "data"])
+            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "segment", "before", "doc_ids", "tokens", "data"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,7 +130,7 @@ def _encode(path: str, end_id: int, block: int, percentile: float, fill: int):
                 held += len(ids) // 4
                 if held >= fill:
                     yield row()
-                    number, doc_ids, parts, held = number + 1, [], [], 0
+                    number, before, doc_ids, parts, held = number + 1, before + held, [], [], 0
         if doc_ids:
             yield row()
 
@@ -171,11 +171,10 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(segments: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the segments alone. ``start`` is the
-    number of ids of all documents before it: segments are summed per part, then parts in order."""
-    within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    number of ids of all documents before it: a segment knows those of its part, and parts are summed in order."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = segments.groupBy("part").agg(F.sum("tokens").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    index = segments.select("part", "segment", F.coalesce(F.sum("tokens").over(within), F.lit(0)).alias("inner"))
-    starts = index.join(parts, "part").select("part", "segment", (F.col("base") + F.col("inner")).alias("start"))
-    return segments.join(starts, ["part", "segment"]).select("start", "doc_ids", "data").mapInArrow(_decode, ROWS)
+    # One row for each task that wrote; the segments stay where they are.
+    parts = segments.groupBy("part").agg(F.max(F.col("before") + F.col("tokens")).alias("n"))
+    parts = F.broadcast(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    starts = segments.join(parts, "part").select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "data")
+    return starts.mapInArrow(_decode, ROWS)

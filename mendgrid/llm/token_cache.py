@@ -15,10 +15,12 @@ from tokenizers import Tokenizer
 
 # The control characters that Python counts as white space and the tokenizers' patterns don't.
 _UNLIKE = re.compile("[\x1c-\x1f]")
-# A Latin word, and the one mark that ends it before white space, are chunks of their own. The letter left out is lowered
+# A Latin word, and the marks that end it before white space, are chunks of their own. The letter left out is lowered
 # to a letter and an accent, which a mark is not parted from.
 _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
-_WORD_AND_MARK = rf"{_LATIN}+(?=[.,]?(?:\s|\Z))|(?<={_LATIN})[.,](?=\s|\Z)"
+# The apostrophe isn't among the marks, as patterns join it with letters.
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
+_WORD_AND_MARK = rf"{_LATIN}+(?={_MARKS}*(?:\s|\Z))|(?<={_LATIN}){_MARKS}+(?=\s|\Z)"
 _SPACED = re.compile(rf" ?{_WORD_AND_MARK}| ?\S+|\s+(?!\S)|\s+")
 _DROPPED = re.compile(rf"{_WORD_AND_MARK}|\S+")
 # A chunk that the tokenizers' patterns keep whole, of letters that are lowered to one letter of these.
@@ -57,8 +59,8 @@ class CachedEncoder:
 
     Two kinds of tokenizer never merge across white space: byte-level ones without normalizer, where a
     chunk is a run of other characters with the one space before it, and those that turn white space
-    into separators and drop it, where a chunk is such a run (in lower case, if they lower it). A comma
-    or full stop that ends a Latin word is a chunk too. The chunks are encoded by the tokenizer
+    into separators and drop it, where a chunk is such a run (in lower case, if they lower it). ASCII marks
+    that end a Latin word are a chunk too. The chunks are encoded by the tokenizer
     when first seen; beyond ``entries`` chunks the cache starts anew. A Latin word passes the tokenizer's patterns whole,
     so it goes to the tokenizer's model at once, in the letters that the byte level has for it. Texts that hold a special token's string
     or one of four control characters, and all other tokenizers, are encoded whole.

@@ -506,3 +506,28 @@ def test_segments_of_any_width(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 300, np.uint64).astype(np.uint32)
     lengths, back = token_blocks.unpack_segment(token_blocks.pack_segment(ids, [300], percentile=100))
     assert (back == ids).all() and back.dtype == np.uint32
+
+
+def test_starts_need_no_shuffle_of_segments(docs):
+    """``start`` follows the order of doc_id over many segments, and a segment isn't dealt anew for it."""
+    found = token_blocks.read_tokens(token_blocks.write_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2, fill=200))
+    rows = sorted(found.collect(), key=lambda x: x["start"])
+    assert [x["start"] for x in rows] == np.cumsum([0, *(x["n_tokens"] for x in rows)]).tolist()[:-1]
+    ids = [x["doc_id"] for x in rows]
+    assert len(rows) == docs.count() and ids == sorted(ids, key=lambda i: (i is not None, i))
+    assert "segment#" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "word_bpe_49k"])
+def test_marks_after_words_are_chunks(name):
+    """Whatever marks end a word, it is looked up as itself, and ids are the tokenizer's."""
+    path = f"{TOKENIZERS}/{name}.json"
+    cached, plain = CachedEncoder(path), Tokenizer.from_file(path)
+    r = random.Random(22)
+    parts = ["word", "Öl", "don't", "x's", "'s", "$$$", "%%", "a_b", "!?", "...", "'", "3", "é", "e\u0301", "=\u0338", "İ", "日本", " ", "  ", "\n", "\t", "<|", "|>", "word$$$", "it's!!", "a'!"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(cached.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    cached = CachedEncoder(path)
+    cached.ids(" word$$$ word!! word")
+    assert len([chunk for chunk in cached.cache if "word" in chunk]) == 1
