@@ -205,7 +205,7 @@ def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds
         joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
         return keep(joined.mapInArrow(_judge(words), JUDGED), "judged")
 
-    links = None
+    parts = None  # of the links so far
     state = members.withColumn("part", F.col("class"))
     size_ok = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
     for turn in range(pivot_rounds + 1):
@@ -224,21 +224,22 @@ def near_groups(docs: DataFrame, words: int = 2, percent: int = 80, pivot_rounds
             pairs = _rare_shingle_pairs(open_, whole, words, percent)
         judged = judge(pairs.distinct())
         found = judged.where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b")
-        links = found if links is None else links.unionByName(found)
+        grown = not found.isEmpty()
+        if grown:
+            # A component stands in for its links: later rounds add to it.
+            parts = components(found if parts is None else parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
         if turn == pivot_rounds:
             break
         # The pivot has been compared with every member that isn't connected to it: it leaves the bucket.
-        parts = components(links)
-        state = (
-            near.where(F.col("class") != F.col("pivot")).drop("part").join(parts, F.col("class") == F.col("node"), "left")
-            .select("bucket", "class", "n", F.coalesce("component", "class").alias("part"))
-        )
-        state = keep(state, "state")
+        state = near.where(F.col("class") != F.col("pivot")).select("bucket", "class", "n", "part")
+        if grown:
+            state = state.drop("part").join(parts, F.col("class") == F.col("node"), "left")
+            state = state.select("bucket", "class", "n", F.coalesce("component", "class").alias("part"))
+            state = keep(state, "state")
     named = sketched.select("doc_id", "n_shingles", "class")
-    if links is None:
+    if parts is None:
         placed = named.withColumn("part", F.col("class"))
     else:
-        parts = components(links)
         placed = named.join(parts, named["class"] == parts["node"], "left").select("doc_id", "n_shingles", "class", F.coalesce("component", "class").alias("part"))
     least = placed.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "part", "left").select(

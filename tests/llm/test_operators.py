@@ -531,3 +531,12 @@ def test_marks_after_words_are_chunks(name):
     cached = CachedEncoder(path)
     cached.ids(" word$$$ word!! word")
     assert len([chunk for chunk in cached.cache if "word" in chunk]) == 1
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    """A star is found to be one without another round."""
+    kept = []
+    monkeypatch.setattr(graph, "keep", lambda df, name, keep=graph.keep: kept.append(name) or keep(df, name))
+    found = graph.components(spark.createDataFrame([(9, 1), (1, 7), (3, 1), (8, 4), (2, 2)], "a long, b long"))
+    assert {(x["node"], x["component"]) for x in found.collect()} == {(9, 1), (7, 1), (3, 1), (8, 4)}
+    assert kept.count("stars") == 1
