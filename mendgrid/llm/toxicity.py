@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendgrid.llm.common import keep, texts, work_folder
-from mendgrid.llm.shingles import batches, shingle_sets
+from mendgrid.llm.shingles import batches, mix, shingle_sets
 
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 BLOCK = 64  # consecutive examples that share one maximum per term
 SHARD = 16_000_000  # postings that a worker holds at once
-WORDS_HELD = 100_000  # words or terms that a task remembers at once
+WORDS_HELD = 100_000  # terms that a task remembers at once
 CELLS = 8_000_000  # of the matrix that holds the most frequent terms of a shard
 GROUP = 64  # queries that are multiplied with it at once
-COUNTED = 500  # texts whose words are looked up at once
+CHARACTERS = 500_000  # of texts whose words are looked up at once
+LOOKED_UP = 50_000  # terms that are looked up at once
+FILES = 32  # of a shard, from 32 to 63
 STRETCH = 1024  # terms whose sums travel together
 
+_BASE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
 
 def terms_of(word: str) -> list[str]:
     """A word is its own term, and its beginnings are terms too: they hold the stem of inflected words."""
@@ -57,48 +60,109 @@ def _ranges(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _table(path: str, columns: list[str]) -> pa.Table:
     """A table that Spark stored, read by a worker from the shared folder."""
     place, folder = FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
-    return pq.read_table(folder, columns=columns, filesystem=place, partitioning=None)
+    return pq.read_table(folder, columns=columns, filesystem=place, partitioning=None, use_threads=False)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points words are made of."""
+    of = np.zeros(0x110000, bool)
+    for run in _WORDS.finditer("".join(map(chr, range(0x110000)))):
+        of[run.start() : run.end()] = True
+    return of
+
+
+class _Strings:
+    """Strings that lie one after the other as code points, to hash whole or up to a place: 64 bits of each."""
+
+    def __init__(self, points: np.ndarray, lengths: np.ndarray):
+        self.lengths = lengths
+        self.begins = np.cumsum(lengths) - lengths
+        powers = np.full(int(lengths.max(initial=1)), _BASE)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        place = np.arange(len(points)) - np.repeat(self.begins, lengths)
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points + np.uint64(1)) * powers[place], out=self.sums[1:])
+
+    def hashes(self, of: np.ndarray | slice, until: np.ndarray, begun: bool = False) -> np.ndarray:
+        """Hashes of the first ``until`` characters, as whole words or as beginnings of words."""
+        at = self.begins[of]
+        return mix(self.sums[at + until] - self.sums[at] + (2 * until + begun).astype(np.uint64) * _LENGTH)
+
+
+def _term_hashes(terms: pa.StringArray) -> np.ndarray:
+    """What a term hashes to: a word, or a beginning that ends with a star."""
+    lengths = pc.utf8_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    begun = pc.ends_with(terms, "*").to_numpy(zero_copy_only=False).astype(bool)
+    _, ends, data = terms.buffers()
+    ends = np.frombuffer(ends, np.int32)[terms.offset : terms.offset + len(terms) + 1]
+    text = data[ends[0] : ends[-1]].to_pybytes().decode()
+    found = _Strings(np.frombuffer(text.encode("utf-32-le"), "<u4"), lengths)
+    return np.where(begun, found.hashes(slice(None), lengths - begun, True), found.hashes(slice(None), lengths))
 
 
 class Vocabulary:
-    """Terms in order and their weights, once known: idf times the weight by class."""
+    """Terms in order and their weights, once known: idf times the weight by class. Texts are cut into words, and
+    words looked up, by arrays of the hashes of all words of a stretch of texts."""
 
     def __init__(self, path: str, weighed: bool = True):
         known = _table(path, ["term", "gain"][: 1 + weighed]).sort_by("term").combine_chunks()
         self.names, self.gain = known["term"].combine_chunks(), known["gain"].to_numpy() if weighed else np.empty(0)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        hashes = np.concatenate([np.empty(0, np.uint64), *(_term_hashes(self.names.slice(at, LOOKED_UP)) for at in range(0, len(self.names), LOOKED_UP))])
+        self.number = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.number]
 
     @cached_property
     def terms(self) -> dict[str, int]:
         """The number of each term, to look at it; scoring has no use for so many strings."""
         return {t: i for i, t in enumerate(self.names.to_pylist())}
 
-    def learn(self, words: set[str]) -> None:
-        """The terms of words not met lately, looked up together."""
-        if len(self.cache) > WORDS_HELD:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        listed = [terms_of(w) for w in new]
-        flat = pa.array([t for terms in listed for t in terms], pa.string())
-        ids = pc.fill_null(pc.index_in(flat, self.names), -1).to_pylist()
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The terms with these hashes, -1 for none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.searchsorted(self.hashes, hashes).clip(max=len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], np.int32(-1))
+
+    def found(self, batch: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Stretches of texts, from one to before another: which text has which term, in order, and how often."""
         at = 0
-        for word, terms in zip(new, listed, strict=True):
-            self.cache[word] = tuple(i for i in ids[at : at + len(terms)] if i >= 0)
-            at += len(terms)
+        while at < len(batch):
+            first, part, size = at, [], 0
+            while at < len(batch) and (not part or size < CHARACTERS):
+                part.append(batch[at].lower())
+                size += len(part[-1]) + 1
+                at += 1
+            yield first, at, *self._found(part)
+
+    def _found(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        points = np.frombuffer("\n".join([*part, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = _letters()[points]
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        starts = edges[0::2]
+        words = _Strings(points[inside], edges[1::2] - starts)
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in part]), starts, side="right")
+        _, first, word = np.unique(words.hashes(slice(None), words.lengths), return_index=True, return_inverse=True)
+        lengths = words.lengths[first]
+        ids = np.full((len(first), 1 + len(PREFIXES)), -1, np.int32)
+        ids[:, 0] = self.numbers(words.hashes(first, lengths))
+        for k, n in enumerate(PREFIXES, 1):
+            long = np.flatnonzero(lengths >= n)
+            ids[long, k] = self.numbers(words.hashes(first[long], np.full(len(long), n), True))
+        of = ids[word]
+        known = of >= 0
+        terms = max(1, len(self.names))
+        pairs, times = np.unique(np.repeat(text * terms, known.sum(axis=1)) + of[known], return_counts=True)
+        text = pairs // terms
+        return text, pairs - text * terms, times
 
     def counted_texts(self, batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The terms of each text, and how often it has them."""
-        for at in range(0, len(batch), COUNTED):
-            part = [Counter(_WORDS.findall(text.lower())) for text in batch[at : at + COUNTED]]
-            self.learn(set().union(*part))
-            for words in part:
-                got = [self.cache[word] for word in words]
-                found = np.fromiter(chain.from_iterable(got), np.int64)
-                times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, got), np.int64, len(got)))
-                by = np.argsort(found, kind="stable")
-                found = found[by]
-                first = np.flatnonzero(np.concatenate([[True], np.diff(found) != 0])) if len(found) else by
-                yield found[first], np.add.reduceat(times[by], first).astype(float) if len(found) else np.empty(0)
+        for low, high, text, term, times in self.found(batch):
+            cuts = np.searchsorted(text, np.arange(high - low + 1)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield term[a:b], times[a:b].astype(float)
 
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return next(self.counted_texts([text]))
@@ -108,49 +172,59 @@ class Vocabulary:
         return ids, w / np.sqrt((w * w).sum())
 
 
+def _files(path: str, columns: list[str]) -> Iterator[pa.Table]:
+    """The files of a shard, one after the other: terms are in order within a file and from file to file."""
+    place, folder = FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
+    for f in sorted(pq.ParquetDataset(folder, filesystem=place, partitioning=None).files):
+        yield pq.read_table(f, columns=columns, filesystem=place, partitioning=None, use_threads=False).combine_chunks()
+
+
+def _small(values: np.ndarray, most: int) -> np.ndarray:
+    """Numbers up to ``most``, in the fewest bytes."""
+    return values.astype(np.min_scalar_type(most))
+
+
 class Shard:
     """Postings of the examples ``low`` to ``high``, by term and then block of ``BLOCK`` examples, with the
     largest weight of each term in each of its blocks. The most frequent terms, which one in sixteen examples
     and at least four blocks of them have, lie in a matrix of at most ``CELLS`` numbers instead, as almost every block has them."""
 
     def __init__(self, path: str, vocabulary: Vocabulary, norm: np.ndarray, low: int, high: int):
-        rows = _table(path, ["term", "block", "most", "examples", "counts"])
-        rows = rows.sort_by([("term", "ascending"), ("block", "ascending")]).combine_chunks()
-        terms = len(vocabulary.names)
-        term = pc.index_in(rows["term"], vocabulary.names).to_numpy().astype(np.int64)
         self.low, self.size = low, high - low
         self.blocks = -(-self.size // BLOCK)
-        lists = rows["examples"].combine_chunks()
-        example = (lists.values.to_numpy() - low).astype(np.min_scalar_type(self.size))
-        sizes = pc.list_value_length(lists).to_numpy()
-        counts = rows["counts"].combine_chunks().values.to_numpy()
-        most = int(counts.max(initial=1))
-        self.times = 1 + np.log(np.maximum(1, np.arange(most + 1)))  # by count
-        # A posting takes three or four bytes: its example and its count.
-        place = counts.astype(np.min_scalar_type(most))
+        terms = len(vocabulary.names)
         self.gain, self.inverse = vocabulary.gain, 1 / norm[low:high]
-
-        held = np.bincount(term, sizes, terms)
+        most, held = 1, np.zeros(terms, np.int64)
+        for rows in _files(path, ["number", "n", "highest"]):
+            np.add.at(held, rows["number"].to_numpy(), rows["n"].to_numpy())
+            most = max(most, pc.max(rows["highest"]).as_py() or 1)
+        self.times = 1 + np.log(np.maximum(1, np.arange(most + 1)))  # by count
         frequent = np.argsort(-held, kind="stable")[: CELLS // self.size]
         frequent = np.sort(frequent[held[frequent] >= max(4 * BLOCK, self.size / 16)])
         self.row = np.full(terms, -1, np.int32)  # of the matrix, by term
         self.row[frequent] = np.arange(len(frequent))
         self.matrix = np.zeros((len(frequent), self.size))
-        row = np.repeat(self.row[term], sizes)
-        rare = row < 0
-        self.matrix[row[~rare], example[~rare]] = self.times[place[~rare]]
-        self.example, self.place = example[rare], place[rare]
-
-        rare = self.row[term] < 0
-        term, sizes = term[rare], sizes[rare]
-        self.entry = np.searchsorted(term, np.arange(terms + 1))  # blocks of a term
-        self.block, self.block_most = rows["block"].to_numpy()[rare], rows["most"].to_numpy()[rare]
-        self.start = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)  # postings of a block
         self.most = np.zeros(terms)
-        np.maximum.at(self.most, term, self.block_most)
+        entries = np.zeros(terms, np.int64)
+        parts = [(np.empty(0, np.int32), np.empty(0), np.empty(0, np.int32), _small(np.empty(0), self.size), _small(np.empty(0), most))]
+        for rows in _files(path, ["number", "block", "most", "n", "examples", "counts"]):
+            term, block, block_most, sizes = (rows[c].to_numpy() for c in ("number", "block", "most", "n"))
+            # A posting takes three or four bytes: its example and its count.
+            example = _small(rows["examples"].combine_chunks().flatten().to_numpy() - low, self.size)
+            place = _small(rows["counts"].combine_chunks().flatten().to_numpy(), most)
+            row = np.repeat(self.row[term], sizes)
+            rare = row < 0
+            self.matrix[row[~rare], example[~rare]] = self.times[place[~rare]]
+            own = self.row[term] < 0
+            np.maximum.at(self.most, term[own], block_most[own])
+            np.add.at(entries, term[own], 1)
+            parts.append((block[own], block_most[own], sizes[own], example[rare], place[rare]))
+        self.block, self.block_most, sizes, self.example, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        self.entry = np.concatenate([[0], np.cumsum(entries)])  # blocks of a term
+        self.start = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])  # postings of a block
         self.postings = self.start[self.entry]  # of a term
         self.read = 0  # blocks of terms read by the last search
-        del rows, lists, counts, example, place, row
         pa.default_memory_pool().release_unused()
 
     def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,16 +444,10 @@ def _held(path: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _names(path)
         terms = len(vocabulary.names)
-        held, last = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
+        held = np.zeros(terms, np.int64)
         for batch in _parts(rows):
-            part = [set(_WORDS.findall(text.lower())) for text in batch.column(0).to_pylist()]
-            vocabulary.learn(set().union(*part))
-            for words in part:
-                found = np.fromiter(chain.from_iterable(map(vocabulary.cache.__getitem__, words)), np.int64)
-                # A term of several words counts where it comes last.
-                places = np.arange(len(found))
-                last[found] = places
-                held[found[last[found] == places]] += 1
+            for *_, term, _ in vocabulary.found(batch.column(0).to_pylist()):
+                held += np.bincount(term, minlength=terms)
         starts = np.append(np.arange(0, terms, STRETCH), terms)
         sums = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(held))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts) - 1, dtype=np.int32)), sums], ["stretch", "held"])
@@ -388,7 +456,7 @@ def _held(path: str):
 
 
 def _held_in_all(path: str):
-    """``term, held`` over all tasks, from the rows of whole stretches."""
+    """``term, number, held`` over all tasks, from the rows of whole stretches. Terms are numbered in order."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sums = _names(path).names, {}
@@ -397,7 +465,9 @@ def _held_in_all(path: str):
                 held = held.values.to_numpy()
                 sums[stretch] = sums[stretch] + held if stretch in sums else held
         for stretch, held in sums.items():
-            yield pa.RecordBatch.from_arrays([names.slice(stretch * STRETCH, len(held)), pa.array(held)], ["term", "held"])
+            first = stretch * STRETCH
+            columns = [names.slice(first, len(held)), pa.array(np.arange(first, first + len(held), dtype=np.int32)), pa.array(held)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "number", "held"])
 
     return run
 
@@ -447,8 +517,8 @@ def _cut(norm: bytes, cuts: list[int]):
             first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(shard) != 0) | (np.diff(block) != 0)]))
             ends = pa.array(np.append(first, len(of)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (of, counts)]
-            columns = [batch.column("term").take(pa.array(row[first])), pa.array(shard[first].astype(np.int32)), pa.array(block[first].astype(np.int32)), pa.array(np.maximum.reduceat(w, first)), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "shard", "block", "most", "examples", "counts"])
+            columns = [batch.column("number").take(pa.array(row[first])), pa.array(shard[first].astype(np.int32)), pa.array(block[first].astype(np.int32)), pa.array(np.maximum.reduceat(w, first)), pa.array(np.diff(np.append(first, len(of))).astype(np.int32)), pa.array(np.maximum.reduceat(counts, first).astype(np.int32)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["number", "shard", "block", "most", "n", "highest", "examples", "counts"])
 
     return run
 
@@ -570,12 +640,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
     own.write.option("compression", "zstd").parquet(own_path)
     own = spark.read.schema(own.schema).parquet(own_path)
     every = texts(docs).select("text").mapInArrow(_held(own_path), "stretch int, held array<long>")
-    every = every.repartition("stretch").mapInArrow(_held_in_all(own_path), "term string, held long")
+    every = every.repartition("stretch").mapInArrow(_held_in_all(own_path), "term string, number int, held long")
     a, b = F.col("a"), F.col("b")
     odds = F.abs(F.log((a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))))
     square = F.pow(odds, 2) / (1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
     idf = F.log((docs.count() + 1) / (F.col("held") + 1)) + 1
-    known = own.join(every, "term").select("term", (idf * (odds * square / (square + sure**2) + 0.01)).alias("gain"), "examples", "counts")
+    known = own.join(every, "term").select("term", "number", (idf * (odds * square / (square + sure**2) + 0.01)).alias("gain"), "examples", "counts")
     index.terms_path = f"{work_folder(spark)}/terms-{uuid.uuid4().hex}"
     known.write.option("compression", "zstd").parquet(index.terms_path)
     known = spark.read.schema(known.schema).parquet(index.terms_path)
@@ -593,8 +663,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
             held += n
         index.cuts.append(len(toxic))
         index.blocks_path = f"{work_folder(spark)}/blocks-{uuid.uuid4().hex}"
-        blocks = known.mapInArrow(_cut(index.norm, index.cuts), "term string, shard int, block int, most double, examples array<int>, counts array<int>")
-        blocks.write.option("compression", "zstd").partitionBy("shard").parquet(index.blocks_path)
+        blocks = known.mapInArrow(_cut(index.norm, index.cuts), "number int, shard int, block int, most double, n int, highest int, examples array<int>, counts array<int>")
+        # A worker reads one file after the other, in order, and never holds or sorts all rows. Names of files have equally many digits.
+        stretch = (F.lit(FILES) + F.floor(F.col("number") * F.lit(FILES) / known.count())).cast("int")
+        blocks = blocks.withColumn("stretch", stretch).repartition("stretch").sortWithinPartitions("shard", "stretch", "number", "block")
+        blocks.write.option("compression", "zstd").partitionBy("shard", "stretch").parquet(index.blocks_path)
 
     # Calibration on the examples themselves, each without its own vote and weighed by the size of its class.
     votes, ys, ws, alone = [], [], [], [0.0, 0.0]

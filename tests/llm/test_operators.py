@@ -540,3 +540,18 @@ def test_components_end_at_stars(spark, monkeypatch):
     found = graph.components(spark.createDataFrame([(9, 1), (1, 7), (3, 1), (8, 4), (2, 2)], "a long, b long"))
     assert {(x["node"], x["component"]) for x in found.collect()} == {(9, 1), (7, 1), (3, 1), (8, 4)}
     assert kept.count("stars") == 1
+
+
+def test_words_are_looked_up_by_batches(spark):
+    """Terms and counts of texts by arrays equal those word by word; a shard's files hold its terms in order."""
+    r = random.Random(21)
+    odd = ["", " ", "İstanbul ΣΑΣ straße ﬁne x²y", "日本語テキスト foo_bar9baz", "\U0001d4d0\U0001d4d1 z" * 3, "Ab" * 70_000, "the,the.THE the"]
+    texts = odd + [" ".join(r.choice(WORDS) + r.choice("abcÉ") for _ in range(60)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int"))
+    known = index.terms
+    for text, (ids, counts) in zip(texts, index.vocabulary.counted_texts(texts), strict=True):
+        want = collections.Counter(known[t] for w in re.findall(r"[^\W\d_]+", text.lower()) for t in toxicity.terms_of(w) if t in known)
+        assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == want and ids.tolist() == sorted(want)
+    files = [f["number"].to_pylist() for f in toxicity._files(f"{index.blocks_path}/shard=0", ["number"])]
+    assert len(files) > 5 and (numbers := sum(files, [])) == sorted(numbers) and set(numbers) == set(known.values())
