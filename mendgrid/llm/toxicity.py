@@ -27,8 +27,11 @@ PREFIXES = (4, 5, 6)
 BLOCK = 64  # consecutive examples that share one maximum per term
 SHARD = 16_000_000  # postings that a worker holds at once
 WORDS_HELD = 100_000  # terms that a task remembers at once
-CELLS = 8_000_000  # of the matrix that holds the most frequent terms of a shard
-GROUP = 64  # queries that are multiplied with it at once
+CELLS = 12_000_000  # of the matrix that holds the most frequent terms of a shard
+COUNTED = 1000  # the largest count that a term of the matrix has; from its single precision a count is found again
+GROUP = 256  # queries that are multiplied with it at once
+PAYS = 4  # postings a block has on average, from which its maximum is worth a look
+EXACTLY = 256  # examples whose cosines are told exactly at once
 CHARACTERS = 500_000  # of texts whose words are looked up at once
 LOOKED_UP = 50_000  # terms that are looked up at once
 FILES = 32  # of a shard, from 32 to 63
@@ -54,7 +57,9 @@ def _ranges(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places from start[i] to start[i + 1] for each i, in a row, and how many each has."""
     sizes = start[of + 1] - start[of]
     ends = np.cumsum(sizes)
-    return np.repeat(start[of] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+    places = np.repeat(start[of] - ends + sizes, sizes)
+    places += np.arange(len(places))
+    return places, sizes
 
 
 def _table(path: str, columns: list[str]) -> pa.Table:
@@ -110,8 +115,13 @@ class Vocabulary:
         known = _table(path, ["term", "gain"][: 1 + weighed]).sort_by("term").combine_chunks()
         self.names, self.gain = known["term"].combine_chunks(), known["gain"].to_numpy() if weighed else np.empty(0)
         hashes = np.concatenate([np.empty(0, np.uint64), *(_term_hashes(self.names.slice(at, LOOKED_UP)) for at in range(0, len(self.names), LOOKED_UP))])
-        self.number = np.argsort(hashes).astype(np.int32)
-        self.hashes = hashes[self.number]
+        number = np.argsort(hashes)
+        # One more that no term has, where a search ends.
+        self.hashes = np.append(hashes[number], np.uint64(2**64 - 1))
+        self.number = np.append(number, -1).astype(np.int32)
+        bits = max(1, len(number).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(self.hashes[:-1] >> self.shift, np.arange(2**bits, dtype=np.uint64)).astype(np.int32)
 
     @cached_property
     def terms(self) -> dict[str, int]:
@@ -120,9 +130,11 @@ class Vocabulary:
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The terms with these hashes, -1 for none."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int32)
-        at = np.searchsorted(self.hashes, hashes).clip(max=len(self.hashes) - 1)
+        at = self.begins[hashes >> self.shift]
+        before = np.flatnonzero(self.hashes[at] < hashes)
+        while len(before):
+            at[before] += 1
+            before = before[self.hashes[at[before]] < hashes[before]]
         return np.where(self.hashes[at] == hashes, self.number[at], np.int32(-1))
 
     def found(self, batch: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -143,13 +155,20 @@ class Vocabulary:
         starts = edges[0::2]
         words = _Strings(points[inside], edges[1::2] - starts)
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in part]), starts, side="right")
-        _, first, word = np.unique(words.hashes(slice(None), words.lengths), return_index=True, return_inverse=True)
+        hashes = words.hashes(slice(None), words.lengths)
+        by = np.argsort(hashes)
+        new = np.diff(hashes[by], prepend=~hashes[by[:1]]) != 0
+        first, word = by[new], np.empty(len(by), np.intp)
+        word[by] = np.cumsum(new) - 1
         lengths = words.lengths[first]
         ids = np.full((len(first), 1 + len(PREFIXES)), -1, np.int32)
-        ids[:, 0] = self.numbers(words.hashes(first, lengths))
+        # Beginnings of a term are terms too: where one is unknown, longer ones and the word needn't be looked up.
+        open_ = np.ones(len(first), bool)
         for k, n in enumerate(PREFIXES, 1):
-            long = np.flatnonzero(lengths >= n)
+            long = np.flatnonzero(open_ & (lengths >= n))
             ids[long, k] = self.numbers(words.hashes(first[long], np.full(len(long), n), True))
+            open_[long] = ids[long, k] >= 0
+        ids[open_, 0] = self.numbers(hashes[first[open_]])
         of = ids[word]
         known = of >= 0
         terms = max(1, len(self.names))
@@ -186,74 +205,96 @@ def _small(values: np.ndarray, most: int) -> np.ndarray:
 
 class Shard:
     """Postings of the examples ``low`` to ``high``, by term and then block of ``BLOCK`` examples, with the
-    largest weight of each term in each of its blocks. The most frequent terms, which one in sixteen examples
-    and at least four blocks of them have, lie in a matrix of at most ``CELLS`` numbers instead, as almost every block has them."""
+    largest weight of each term in each of its blocks. The most frequent terms, which one in twenty examples
+    and at least four blocks of them have, lie in a matrix of at most ``CELLS`` numbers instead, as almost every block has them.
+    It is in single precision, with a bound of its error: what it tells is who may be near, never a cosine."""
 
     def __init__(self, path: str, vocabulary: Vocabulary, norm: np.ndarray, low: int, high: int):
         self.low, self.size = low, high - low
         self.blocks = -(-self.size // BLOCK)
         terms = len(vocabulary.names)
         self.gain, self.inverse = vocabulary.gain, 1 / norm[low:high]
-        most, held = 1, np.zeros(terms, np.int64)
+        held, highest, entries = (np.zeros(terms, np.int32) for _ in range(3))
         for rows in _files(path, ["number", "n", "highest"]):
-            np.add.at(held, rows["number"].to_numpy(), rows["n"].to_numpy())
-            most = max(most, pc.max(rows["highest"]).as_py() or 1)
+            term = rows["number"].to_numpy()
+            np.add.at(held, term, rows["n"].to_numpy())
+            np.add.at(entries, term, 1)
+            np.maximum.at(highest, term, rows["highest"].to_numpy())
+        most = max(1, int(highest.max(initial=0)))
         self.times = 1 + np.log(np.maximum(1, np.arange(most + 1)))  # by count
-        frequent = np.argsort(-held, kind="stable")[: CELLS // self.size]
-        frequent = np.sort(frequent[held[frequent] >= max(4 * BLOCK, self.size / 16)])
+        self.times[0] = 0
+        frequent = np.flatnonzero((held >= max(4 * BLOCK, self.size / 20)) & (highest <= COUNTED))
+        frequent = np.sort(frequent[np.argsort(-held[frequent], kind="stable")[: CELLS // self.size]])
         self.row = np.full(terms, -1, np.int32)  # of the matrix, by term
         self.row[frequent] = np.arange(len(frequent))
-        self.matrix = np.zeros((len(frequent), self.size))
+        self.matrix = np.zeros((self.size, len(frequent)), np.float32)
+        held[frequent] = entries[frequent] = 0
         self.most = np.zeros(terms)
-        entries = np.zeros(terms, np.int64)
-        parts = [(np.empty(0, np.int32), np.empty(0), np.empty(0, np.int32), _small(np.empty(0), self.size), _small(np.empty(0), most))]
+        self.entry = np.append(0, np.cumsum(entries))  # blocks of a term
+        self.postings = np.append(0, np.cumsum(held))  # of a term
+        # A posting takes three or four bytes: its example and its count.
+        self.example, self.place = (np.empty(self.postings[-1], np.min_scalar_type(x)) for x in (self.size, most))
+        self.block = np.empty(self.entry[-1], np.min_scalar_type(self.blocks))
+        self.block_most = np.empty(self.entry[-1], np.float32)  # rounded up
+        self.start = np.zeros(self.entry[-1] + 1, np.int32)  # postings of a block
+        del held, highest, entries
+        at = to = 0
         for rows in _files(path, ["number", "block", "most", "n", "examples", "counts"]):
             term, block, block_most, sizes = (rows[c].to_numpy() for c in ("number", "block", "most", "n"))
-            # A posting takes three or four bytes: its example and its count.
-            example = _small(rows["examples"].combine_chunks().flatten().to_numpy() - low, self.size)
-            place = _small(rows["counts"].combine_chunks().flatten().to_numpy(), most)
-            row = np.repeat(self.row[term], sizes)
-            rare = row < 0
-            self.matrix[row[~rare], example[~rare]] = self.times[place[~rare]]
+            example = rows["examples"].combine_chunks().flatten().to_numpy() - low
+            place = rows["counts"].combine_chunks().flatten().to_numpy()
             own = self.row[term] < 0
+            rare = np.repeat(own, sizes)
+            self.matrix[example[~rare], np.repeat(self.row[term[~own]], sizes[~own])] = self.times[place[~rare]]
             np.maximum.at(self.most, term[own], block_most[own])
-            np.add.at(entries, term[own], 1)
-            parts.append((block[own], block_most[own], sizes[own], example[rare], place[rare]))
-        self.block, self.block_most, sizes, self.example, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        self.entry = np.concatenate([[0], np.cumsum(entries)])  # blocks of a term
-        self.start = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])  # postings of a block
-        self.postings = self.start[self.entry]  # of a term
+            n, m = int(own.sum()), int(rare.sum())
+            self.block[at : at + n] = block[own]
+            self.block_most[at : at + n] = np.nextafter(block_most[own].astype(np.float32), np.float32(np.inf))
+            self.start[at + 1 : at + n + 1] = to + np.cumsum(sizes[own])
+            self.example[to : to + m], self.place[to : to + m] = example[rare], place[rare]
+            at, to = at + n, to + m
+        # Most postings have a count of 1; for those with more, what is above 1 is added from a list of their own.
+        again = np.flatnonzero(self.place > 1)
+        self.again, self.more = self.example[again], self.place[again]
+        self.repeats = np.searchsorted(again, self.postings)  # of a term
         self.read = 0  # blocks of terms read by the last search
         pa.default_memory_pool().release_unused()
 
     def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Example, term and weight of all postings, to look at them."""
         row, column = np.nonzero(self.matrix)
-        example = np.concatenate([self.example.astype(np.int64), column])
-        term = np.concatenate([np.repeat(np.arange(len(self.row)), np.diff(self.postings)), np.flatnonzero(self.row >= 0)[row]])
-        times = np.concatenate([self.times[self.place], self.matrix[row, column]])
+        example = np.concatenate([self.example.astype(np.int64), row])
+        term = np.concatenate([np.repeat(np.arange(len(self.row)), np.diff(self.postings)), np.flatnonzero(self.row >= 0)[column]])
+        times = np.concatenate([self.times[self.place], self._exact(self.matrix[row, column])])
         return example + self.low, term, times * self.gain[term] * self.inverse[example]
 
+    def _exact(self, cells: np.ndarray) -> np.ndarray:
+        """Cells of the matrix in double precision, by the counts that they stand for."""
+        return self.times[np.rint(np.exp(cells - 1)).astype(np.intp)]
+
     def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the most frequent terms of each query add to each example, before its norm."""
-        heavy = np.zeros((len(queries), len(self.matrix)))
+        """What the most frequent terms of each query add to each example, before its norm, in single precision."""
+        heavy = np.zeros((len(queries), self.matrix.shape[1]), np.float32)
         for q, (ids, w) in enumerate(queries):
             row = self.row[ids]
             own = row >= 0
             heavy[q, row[own]] = (w * self.gain[ids])[own]
-        return heavy @ self.matrix
+        return heavy @ self.matrix.T
 
     def _least(self, scores: np.ndarray, wanted: int) -> float:
         """What the last of the nearest examples scores at least."""
         return max(0.0, np.partition(scores, -wanted)[-wanted]) if len(scores) > wanted else 0.0
 
-    def _sums(self, first: np.ndarray, last: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """What postings in few long stretches add to each example, before its norm."""
-        spans = list(zip(first.tolist(), last.tolist(), strict=True))
-        example = np.concatenate([self.example[a:b] for a, b in spans])
-        place = np.concatenate([self.place[a:b] for a, b in spans])
-        return np.bincount(example, self.times[place] * np.repeat(w, last - first), self.size)
+    def _sums(self, ids: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        """What all postings of terms add to each example, before its norm."""
+        self.read += int((self.entry[ids + 1] - self.entry[ids]).sum())
+        places, sizes = _ranges(self.postings, ids)
+        sums = np.bincount(self.example[places], np.repeat(heavy, sizes), self.size)
+        places, sizes = _ranges(self.repeats, ids)
+        more = self.times[self.more[places]]
+        more -= 1
+        more *= np.repeat(heavy, sizes)
+        return sums + np.bincount(self.again[places], more, self.size)
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, wanted: int, skip: list[int], found: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The ``wanted`` examples with the largest cosine, to twelve digits; ties go to the lower number.
@@ -261,50 +302,65 @@ class Shard:
 
         The other terms are added by the most they can add, until an example without any of those left
         can't be near. These are read by blocks of examples, in the order of what the maxima of these terms leave
-        possible in a block, and blocks that can't reach the last of the nearest are never read."""
+        possible in a block, and blocks that can't reach the last of the nearest are never read. Where blocks hold
+        few postings each, to read them all costs less than to look at their maxima.
+
+        Weights are never negative, so a sum of single precision is off by a share of itself: at most one
+        rounding for each of its terms and a few more. Whoever is near within that is summed in double precision."""
         found = self.frequent([(ids, w)])[0] if found is None else found
-        rare = self.row[ids] < 0
-        ids, w = ids[rare], w[rare]
-        bounds = w * self.most[ids]
-        by = np.argsort(-bounds, kind="stable")
-        rest = np.concatenate([np.cumsum(bounds[by][::-1])[::-1], [0.0]])
-        heavy = w * self.gain[ids]
-        inverse = self.inverse
+        row, heavy = self.row[ids], w * self.gain[ids]
+        common, rare = row >= 0, row < 0
+        row, often = row[common], heavy[common]
+        ids, w, heavy = ids[rare], w[rare], heavy[rare]
+        off = (len(row) + 8) * 2.0**-23
         never = [i - self.low for i in skip if 0 <= i - self.low < self.size]
+        sums = np.zeros(self.size)
 
         def scored() -> np.ndarray:
-            scores = found * inverse
+            scores = (found + sums) * self.inverse
             scores[never] = -np.inf
             return scores
 
-        at, step, last, self.read = 0, 16, self._least(scored(), wanted), 0
-        while at < len(by) and last <= 2 * rest[at]:
-            part = by[at : at + step]
-            at, step = at + len(part), 2 * step
-            found += self._sums(self.postings[ids[part]], self.postings[ids[part] + 1], heavy[part])
-            self.read += int((self.entry[ids[part] + 1] - self.entry[ids[part]]).sum())
-            last = self._least(scored(), wanted)
-        whole = np.full(self.blocks, at == len(by))
-        if at < len(by):
-            entries, sizes = _ranges(self.entry, ids[by[at:]])
-            block, most = self.block[entries], np.repeat(w[by[at:]], sizes) * self.block_most[entries]
-            heavy = np.repeat(heavy[by[at:]], sizes)
-            bound = np.maximum.reduceat(scored(), np.arange(0, self.size, BLOCK)) + np.bincount(block, most, self.blocks)
-            order, at, step = np.argsort(-bound, kind="stable"), 0, 8
-            while at < len(order) and bound[order[at]] >= last - 1e-9:
-                part = order[at : at + step]
-                part = part[bound[part] >= last - 1e-9]
+        self.read, whole = 0, None
+        if (self.postings[ids + 1] - self.postings[ids]).sum() <= PAYS * (self.entry[ids + 1] - self.entry[ids]).sum():
+            sums += self._sums(ids, heavy)
+        else:
+            bounds = w * self.most[ids]
+            by = np.argsort(-bounds, kind="stable")
+            rest = np.concatenate([np.cumsum(bounds[by][::-1])[::-1], [0.0]])
+            at, step, last = 0, 16, self._least(scored(), wanted)
+            while at < len(by) and last <= 2 * rest[at]:
+                part = by[at : at + step]
                 at, step = at + len(part), 2 * step
-                whole[part] = True
-                now = np.zeros(self.blocks, bool)
-                now[part] = True
-                now = now[block]
-                places, sizes = _ranges(self.start, entries[now])
-                found += np.bincount(self.example[places], self.times[self.place[places]] * np.repeat(heavy[now], sizes), self.size)
-                self.read += int(now.sum())
+                sums += self._sums(ids[part], heavy[part])
                 last = self._least(scored(), wanted)
-        left = np.flatnonzero(np.repeat(whole, BLOCK)[: self.size])
-        scores = np.round(scored()[left], 12)
+            if at < len(by):
+                whole = np.zeros(self.blocks, bool)
+                entries, sizes = _ranges(self.entry, ids[by[at:]])
+                block, most = self.block[entries], np.repeat(w[by[at:]], sizes) * self.block_most[entries]
+                heavy = np.repeat(heavy[by[at:]], sizes)
+                bound = np.maximum.reduceat(scored(), np.arange(0, self.size, BLOCK)) + np.bincount(block, most, self.blocks)
+                order, at, step = np.argsort(-bound, kind="stable"), 0, 8
+                while at < len(order) and bound[order[at]] >= last * (1 - 2 * off) - 1e-9:
+                    part = order[at : at + step]
+                    part = part[bound[part] >= last * (1 - 2 * off) - 1e-9]
+                    at, step = at + len(part), 2 * step
+                    whole[part] = True
+                    now = np.zeros(self.blocks, bool)
+                    now[part] = True
+                    now = now[block]
+                    places, sizes = _ranges(self.start, entries[now])
+                    sums += np.bincount(self.example[places], self.times[self.place[places]] * np.repeat(heavy[now], sizes), self.size)
+                    self.read += int(now.sum())
+                    last = self._least(scored(), wanted)
+        scores = scored()
+        left = np.flatnonzero((scores >= self._least(scores, wanted) * (1 - 2 * off) - 1e-11) & (scores > 0))
+        if whole is not None:
+            left = left[whole[left // BLOCK]]
+        exact = sums[left]
+        for at in range(0, len(left), EXACTLY):
+            exact[at : at + EXACTLY] += (self._exact(self.matrix[np.ix_(left[at : at + EXACTLY], row)]) * often).sum(axis=1)
+        scores = np.round(exact * self.inverse[left], 12)
         order = np.lexsort((left, -scores))[:wanted]
         return [(s, i + self.low) for s, i in zip(scores[order].tolist(), left[order].tolist(), strict=True) if s > 0]
 
@@ -671,14 +727,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, sure: float =
 
     # Calibration on the examples themselves, each without its own vote and weighed by the size of its class.
     votes, ys, ws, alone = [], [], [], [0.0, 0.0]
-    for r in sample.select("toxic", "text").mapInArrow(_votes(index), "toxic int, vote double").orderBy("vote", "toxic").collect():
-        y = r["toxic"]
-        if r["vote"] is None:
-            alone[y] += scale[y]
-        else:
-            votes.append(r["vote"])
-            ys.append(y)
-            ws.append(scale[y])
+    # They are sorted here: Spark would take all votes twice, to find out their ranges first.
+    cast = [(r["vote"], r["toxic"]) for r in sample.select("toxic", "text").mapInArrow(_votes(index), "toxic int, vote double").collect()]
+    for _, y in (r for r in cast if r[0] is None):
+        alone[y] += scale[y]
+    for vote, y in sorted(r for r in cast if r[0] is not None):
+        votes.append(vote)
+        ys.append(y)
+        ws.append(scale[y])
     index.steps, index.scores = rising(np.array(votes), np.array(ys, float), np.array(ws))
     index.alone = alone[1] / sum(alone) if sum(alone) else 0.0
     return index

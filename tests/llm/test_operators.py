@@ -555,3 +555,60 @@ def test_words_are_looked_up_by_batches(spark):
         assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == want and ids.tolist() == sorted(want)
     files = [f["number"].to_pylist() for f in toxicity._files(f"{index.blocks_path}/shard=0", ["number"])]
     assert len(files) > 5 and (numbers := sum(files, [])) == sorted(numbers) and set(numbers) == set(known.values())
+
+
+def test_single_precision_finds_the_nearest_of_close_cosines(spark):
+    """The matrix of frequent terms tells who may be near; cosines are those of doubles, however close, and equal ones go by number."""
+    r = random.Random(31)
+    common = [f"common{chr(97 + i)}" for i in range(12)]
+    # Counts above those of the matrix, texts that differ in one count of many, and copies in other words' order.
+    make = lambda i: [w for k, w in enumerate(common) for _ in range(1 + (i + k) % 3)] + ["common" + chr(97 + i % 12)] * 200 + [f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}"]
+    words = [make(i % 700) for i in range(1000)]
+    texts = [" ".join(r.sample(w, len(w))) for w in words] + [" ".join(["commona"] * 5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(len(texts))], "doc_id long, toxic int"))
+    shard = next(index.shards())
+    assert shard.matrix.dtype == np.float32 and shard.matrix.shape[1] > 5
+    full = np.zeros((len(index.doc_ids), len(index.terms)))
+    for i in range(len(full)):
+        at = slice(index.own_start[i], index.own_start[i + 1])
+        full[i, index.own_term[at]] = index.own_weight[at]
+    assert np.allclose((full**2).sum(axis=1), 1, atol=1e-12, rtol=0)
+    for text in texts[:40] + texts[-1:]:
+        ids, w = index.vocabulary.weighted(*index.vocabulary.counted(text))
+        cosines = np.round(full[:, ids] @ w, 11)
+        near = shard.nearest(ids, w, 15, [])
+        assert [s for s, _ in near] == pytest.approx(sorted(cosines, reverse=True)[:15], abs=2e-11)
+        assert near == sorted(near, key=lambda n: (-n[0], n[1]))
+
+
+def test_examples_vote_once(spark, monkeypatch, tmp_path):
+    """Calibration searches the neighbours of each example once."""
+    seen, votes = str(tmp_path / "seen"), toxicity._votes
+
+    def noted(index):
+        run = votes(index)
+
+        def count(rows):
+            for batch in run(rows):
+                with open(seen, "a") as f:
+                    f.write(f"{len(batch)}\n")
+                yield batch
+
+        return count
+
+    monkeypatch.setattr(toxicity, "_votes", noted)
+    r = random.Random(32)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(12))) for i in range(300)], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int"))
+    assert sum(map(int, open(seen).read().split())) == len(index.doc_ids) > 150
+
+
+def test_terms_are_found_by_their_hashes(spark, tmp_path):
+    """Every term has its number, others have none, an empty vocabulary none at all."""
+    for n in (0, 1, 2, 5000):
+        spark.createDataFrame([(f"t{i}", 1.0) for i in range(n)], "term string, gain double").write.parquet(path := f"{tmp_path}/{n}")
+        v = toxicity.Vocabulary(path)
+        assert v.numbers(v.hashes[:-1]).tolist() == v.number[:-1].tolist() and sorted(v.number[:-1]) == list(range(n))
+        other = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+        assert v.numbers(other[~np.isin(other, v.hashes[:-1])]).max() == -1
