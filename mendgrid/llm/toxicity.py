@@ -26,14 +26,15 @@ _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 BLOCK = 64  # consecutive examples that share one maximum per term
 SHARD = 16_000_000  # postings that a worker holds at once
-WORDS_HELD = 100_000  # terms that a task remembers at once
-CELLS = 12_000_000  # of the matrix that holds the most frequent terms of a shard
+WORDS_HELD = 40_000  # words that a task remembers at once
+PAIRS_HELD = 250_000  # of an example and a word
+CELLS = 16_000_000  # of the matrix that holds the most frequent terms of a shard
 COUNTED = 1000  # the largest count that a term of the matrix has; from its single precision a count is found again
 GROUP = 256  # queries that are multiplied with it at once
-PAYS = 4  # postings a block has on average, from which its maximum is worth a look
+PAYS = 5  # postings a block has on average, from which its maximum is worth a look
 EXACTLY = 256  # examples whose cosines are told exactly at once
 CHARACTERS = 500_000  # of texts whose words are looked up at once
-LOOKED_UP = 50_000  # terms that are looked up at once
+LOOKED_UP = 10_000  # terms that are looked up at once
 FILES = 32  # of a shard, from 32 to 63
 STRETCH = 1024  # terms whose sums travel together
 
@@ -72,8 +73,10 @@ def _table(path: str, columns: list[str]) -> pa.Table:
 def _letters() -> np.ndarray:
     """Which code points words are made of."""
     of = np.zeros(0x110000, bool)
-    for run in _WORDS.finditer("".join(map(chr, range(0x110000)))):
-        of[run.start() : run.end()] = True
+    # All of them as strings at once would take 100 MB.
+    for first in range(0, len(of), 4096):
+        for run in _WORDS.finditer("".join(map(chr, range(first, first + 4096)))):
+            of[first + run.start() : first + run.end()] = True
     return of
 
 
@@ -122,6 +125,8 @@ class Vocabulary:
         bits = max(1, len(number).bit_length())
         self.shift = np.uint64(64 - bits)
         self.begins = np.searchsorted(self.hashes[:-1] >> self.shift, np.arange(2**bits, dtype=np.uint64)).astype(np.int32)
+        del known
+        pa.default_memory_pool().release_unused()
 
     @cached_property
     def terms(self) -> dict[str, int]:
@@ -359,7 +364,7 @@ class Shard:
             left = left[whole[left // BLOCK]]
         exact = sums[left]
         for at in range(0, len(left), EXACTLY):
-            exact[at : at + EXACTLY] += (self._exact(self.matrix[np.ix_(left[at : at + EXACTLY], row)]) * often).sum(axis=1)
+            exact[at : at + EXACTLY] += (self._exact(self.matrix[left[at : at + EXACTLY]].take(row, axis=1)) * often).sum(axis=1)
         scores = np.round(exact * self.inverse[left], 12)
         order = np.lexsort((left, -scores))[:wanted]
         return [(s, i + self.low) for s, i in zip(scores[order].tolist(), left[order].tolist(), strict=True) if s > 0]
@@ -367,6 +372,7 @@ class Shard:
 
 @lru_cache(maxsize=1)
 def _vocabulary(path: str) -> Vocabulary:
+    _names.cache_clear()  # whoever scores has no use for it any more
     return Vocabulary(path)
 
 
@@ -465,32 +471,39 @@ class Index:
 
 
 def _postings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of examples by term, and how many of them are toxic, as far as a task remembers terms."""
-    held: dict[str, tuple[list[int], list[int]]] = {}
-    toxic: Counter[str] = Counter()
+    """The postings of examples by term, and how many of them are toxic, as far as a task remembers words."""
+    known: dict[str, int] = {}
+    parts: list[tuple[int, int, list[int], list[int]]] = []  # example, label, words and how often
+    pairs = 0
 
     def listed() -> pa.RecordBatch:
-        ints = pa.list_(pa.int32())
-        columns = [pa.array(list(held), pa.string()), pa.array([toxic[t] for t in held], pa.int64()), pa.array([a for a, _ in held.values()], ints), pa.array([c for _, c in held.values()], ints)]
-        return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "examples", "counts"])
+        number: dict[str, int] = {}
+        of = [[number.setdefault(t, len(number)) for t in terms_of(word)] for word in known]
+        start = np.append(0, np.cumsum([len(t) for t in of]))
+        terms = np.array([t for ts in of for t in ts], np.int64)
+        places, sizes = _ranges(start, np.concatenate([np.array(p[2], np.int64) for p in parts]))
+        lengths = [len(p[2]) for p in parts]
+        row = np.repeat(np.repeat(np.arange(len(parts)), lengths), sizes)
+        of_term, back = np.unique(terms[places] * len(parts) + row, return_inverse=True)
+        counts = np.bincount(back, np.repeat(np.concatenate([p[3] for p in parts]), sizes)).astype(np.int32)
+        term, row = of_term // len(parts), of_term % len(parts)
+        ends = np.searchsorted(term, np.arange(len(number) + 1)).astype(np.int32)
+        example, label = (np.array([p[i] for p in parts], np.int32)[row] for i in (0, 1))
+        toxic = np.bincount(term, label != 0, len(number)).astype(np.int64)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (example, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(toxic), *lists], ["term", "toxic", "examples", "counts"])
 
     for batch in rows:
         for example, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found: Counter[str] = Counter()
-            for word, n in Counter(_WORDS.findall(text.lower())).items():
-                for t in terms_of(word):
-                    found[t] += n
-            for t, n in found.items():
-                at = held.setdefault(t, ([], []))
-                at[0].append(example)
-                at[1].append(n)
-            if label:
-                toxic.update(found.keys())
-            if len(held) > WORDS_HELD:
+            found = Counter(_WORDS.findall(text.lower()))
+            parts.append((example, label, [known.setdefault(w, len(known)) for w in found], list(found.values())))
+            pairs += len(found)
+            if len(known) > WORDS_HELD or pairs > PAIRS_HELD:
                 yield listed()
-                held.clear()
-                toxic.clear()
-    if held:
+                known.clear()
+                parts.clear()
+                pairs = 0
+    if known:
         yield listed()
 
 
@@ -761,9 +774,10 @@ def _score(index: Index, threshold: float):
         for batch in rows if len(index.cuts) > 2 else _parts(rows):
             found = index.near(batch.column(1).to_pylist())
             scores = [index.calibrated(near) for near in found]
-            evidence = [[{"doc_id": int(index.doc_ids[i]), "cosine": c} for c, i in near] for near in found]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-            arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)]
+            beside = [n for near in found for n in near]
+            ids, cosines = index.doc_ids[np.array([i for _, i in beside], np.intp)], np.array([c for c, _ in beside], float)
+            evidence = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(cosines)], ["doc_id", "cosine"]))
+            arrays = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), evidence]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted", "evidence"])
 
     return run
@@ -781,15 +795,16 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns as they are, in one pass. A null text is
     judged as an empty one, repeated rows alike, and an empty table stays empty."""
-    beside = docs.select(F.coalesce(docs["text"], F.lit("")).alias("__judged"), *(docs[f"`{c}`"] for c in docs.columns))
-    return beside.mapInArrow(_clean(fit(docs, labels), threshold), docs.schema)
+    text = [c.lower() for c in docs.columns].index("text")
+    return docs.mapInArrow(_clean(fit(docs, labels), threshold, text), docs.schema)
+
 
+def _clean(index: Index, threshold: float, text: int):
+    """The rows whose column ``text`` is judged clean. It goes to the worker and back once, as a batch takes memory on both sides."""
 
-def _clean(index: Index, threshold: float):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows if len(index.cuts) > 2 else _parts(rows):
-            good = pa.array([index.calibrated(near) < threshold for near in index.near(batch.column(0).to_pylist())], pa.bool_())
-            kept = batch.filter(good)
-            yield pa.RecordBatch.from_arrays(kept.columns[1:], kept.schema.names[1:])
+            near = index.near([t or "" for t in batch.column(text).to_pylist()])
+            yield batch.filter(pa.array([index.calibrated(n) < threshold for n in near], pa.bool_()))
 
     return run

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -612,3 +613,14 @@ def test_terms_are_found_by_their_hashes(spark, tmp_path):
         assert v.numbers(v.hashes[:-1]).tolist() == v.number[:-1].tolist() and sorted(v.number[:-1]) == list(range(n))
         other = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
         assert v.numbers(other[~np.isin(other, v.hashes[:-1])]).max() == -1
+
+
+def test_letters_take_little_memory():
+    """The code points of words are found without strings of all of them at once."""
+    toxicity._letters.cache_clear()
+    tracemalloc.start()
+    letters = toxicity._letters()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5_000_000
+    assert all(letters[ord(c)] for c in "aZéßЖ日") and not any(letters[ord(c)] for c in "0_ \n.-\ud800")
