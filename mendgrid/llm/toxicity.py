@@ -33,7 +33,7 @@ COUNTED = 1000  # the largest count that a term of the matrix has; from its sing
 GROUP = 256  # queries that are multiplied with it at once
 PAYS = 5  # postings a block has on average, from which its maximum is worth a look
 EXACTLY = 256  # examples whose cosines are told exactly at once
-CHARACTERS = 500_000  # of texts whose words are looked up at once
+CHARACTERS = 250_000  # of texts whose words are looked up at once
 LOOKED_UP = 10_000  # terms that are looked up at once
 FILES = 32  # of a shard, from 32 to 63
 STRETCH = 1024  # terms whose sums travel together
@@ -597,6 +597,9 @@ def _votes(index: Index):
         for batch in rows:
             votes = [index.vote(n) if n else None for n in index.near(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["toxic", "vote"])
+        # Spark may give what follows to other workers, while this one waits with the index.
+        _shard.cache_clear()
+        _vocabulary.cache_clear()
 
     return run
 
@@ -760,7 +763,7 @@ def _digests(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SCORES = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double>>"
-PART = 1000  # texts whose nearest examples are held at once
+PART = GROUP  # texts whose nearest examples are held at once
 
 
 def _parts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
